@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from quadrat.models.families import DERIVED, HAS_DISPERSION, num, row_terms
 from quadrat.models.spec import INTERCEPT, ModelSpec, design, model_rows, with_levels
-from quadrat.session import materialize
+from quadrat.session import Scratch, materialize
 
 HOT_ROWS = 200_000
 BROADCAST_NODES = 100_000
+HESSIAN_JOBS = 4
 LOG_SD_BOUNDS = (-6.0, 4.0)
 LOG_DISPERSION_BOUNDS = (-9.0, 12.0)
 
@@ -98,7 +100,8 @@ class _Problem:
         self.has_disp = HAS_DISPERSION[spec.family]
         self.size = self.p + self.levels + self.has_disp
         self.keys = [f"g{k}" for k in range(1, self.levels + 1)]
-        raw = materialize(model_rows(df, self.spec))
+        self.scratch = Scratch(df.sparkSession, f"fit-{spec.name or spec.response}")
+        raw = self.scratch.keep(model_rows(df, self.spec))
         self._standardise(raw)
         self._split(raw, hot_rows)
 
@@ -141,15 +144,23 @@ class _Problem:
             spread = F.pmod(F.xxhash64("y", "off", *[f"x{j}" for j in range(self.p)]), F.coalesce("parts", F.lit(1)))
             scaled = scaled.join(hot, self.keys, "left").withColumn("part", spread.cast("int")).drop("parts")
         laid_out = scaled.repartition(*self.keys, "part")
-        self.rows = materialize(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = self.scratch.keep(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
         zero = [F.lit(0.0).alias(f"b{k}") for k in range(1, self.levels + 1)]
-        self.start_state = materialize(leaves.select(*self.keys, "parts", *zero))
+        self.start_state = self.scratch.keep(leaves.select(*self.keys, "parts", *zero))
         paths = [F.count_distinct(F.struct(*self.keys[:k])).alias(str(k)) for k in range(1, self.levels)]
         counted = self.start_state.agg(F.count(F.lit(1)).alias("leaves"), *paths).first()
         self.nodes = {k: counted[str(k)] for k in range(1, self.levels)} | {self.levels: counted["leaves"]}
 
+    def effects(self, point: _Point) -> DataFrame | None:
+        """Random intercepts per deepest path, under the names of the grouping columns."""
+        if not self.levels:
+            return None
+        names = [F.col(f"g{k}").alias(g) for k, g in enumerate(self.spec.groups, 1)]
+        return materialize(point.state.select(*names, *[f"b{k}" for k in range(1, self.levels + 1)]))
+
     def close(self) -> None:
         self.rows.unpersist()
+        self.scratch.clear()
 
     # -- passes over the rows -----------------------------------------------------------------------------
 
@@ -209,7 +220,7 @@ class _Problem:
                 f"wt{k}*wt{k}/(d{k}*d{k})*v + 1D/d{k} AS V_{k}", f"{own}*{own}/(d{k}*d{k})*v + 1D/d{k} AS v",
             )
         seen = Observation()
-        new = materialize(above.drop("up").observe(seen, F.max("move").alias("move")))
+        new = self.scratch.keep(above.drop("up").observe(seen, F.max("move").alias("move")))
         return new.drop("move"), seen.get["move"]
 
     def _small(self, table: DataFrame, level: int) -> DataFrame:
@@ -275,7 +286,7 @@ class _Problem:
             grad[-1], info[-1, -1] = row["gd"], max(row["hd"], 1e-2)
         return row["val"], grad, info
 
-    def evaluate(self, theta: np.ndarray, state: DataFrame | None, tol: float = 1e-6, rounds: int = 40) -> _Point:
+    def evaluate(self, theta: np.ndarray, state: DataFrame | None, tol: float = 1e-4, rounds: int = 40) -> _Point:
         """Intercepts at their mode for this theta, then objective and gradient."""
         if self.levels:
             for _ in range(1 if self.spec.family == "gaussian" else rounds):
@@ -318,7 +329,7 @@ class _Problem:
         """Parameters not pinned at a bound: moving along the gradient changes them."""
         return np.abs(self.clip(point.theta + 1e-3 * np.sign(point.grad)) - point.theta) > 1e-9
 
-    def maximise(self, max_iter: int = 60, tol: float = 1e-7, log=None) -> tuple[_Point, bool, int]:
+    def maximise(self, max_iter: int = 60, tol: float = 1e-6, log=None) -> tuple[_Point, bool, int]:
         """Quasi-Newton ascent started from the approximate information."""
         point = self.evaluate(self.start(), self.start_state)
         inverse = np.linalg.pinv(point.info)
@@ -363,13 +374,17 @@ class _Problem:
         """Negative second derivatives by differences of the exact gradient; bound parameters are held."""
         free = np.flatnonzero(self.free(point))
         se = 1.0 / np.sqrt(np.maximum(np.diag(point.info), 1e-8))
-        out = np.zeros((len(free), len(free)))
-        for row, i in enumerate(free):
+        h = 0.01 * np.minimum(se, 1.0)
+
+        def row(i: int) -> np.ndarray:
             theta = point.theta.copy()
-            h = 0.01 * min(se[i], 1.0)
-            theta[i] += h
-            moved = self.evaluate(theta, point.state, tol=1e-8)
-            out[row] = (point.grad[free] - moved.grad[free]) / h
+            theta[i] += h[i]
+            moved = self.evaluate(theta, point.state, tol=1e-6)
+            return (point.grad[free] - moved.grad[free]) / h[i]
+
+        # The moved points do not depend on each other, so their Spark jobs run side by side.
+        with ThreadPoolExecutor(HESSIAN_JOBS) as pool:
+            out = np.array(list(pool.map(row, free)))
         return 0.5 * (out + out.T)
 
     def fixed_cov(self, point: _Point, how: str) -> np.ndarray:
@@ -393,17 +408,12 @@ def fit_glmm(
     try:
         point, converged, iterations = problem.maximise(max_iter)
         cov = problem.fixed_cov(point, se)
+        effects = problem.effects(point)
     finally:
         problem.close()
     back = np.diag(1.0 / problem.scale)
     back[0, 1:] = -(problem.mean / problem.scale)[1:]
     theta, p, depth = point.theta, problem.p, problem.levels
-    effects = None
-    if depth:
-        names = list(spec.groups)
-        effects = point.state.select(
-            *[F.col(f"g{k}").alias(g) for k, g in enumerate(names, 1)], *[f"b{k}" for k in range(1, depth + 1)]
-        )
     return Fit(
         problem.spec, problem.terms, back @ theta[:p], back @ cov @ back.T, float(point.value), problem.n,
         tuple(float(v) for v in np.exp(theta[p:p + depth])),

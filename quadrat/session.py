@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -53,3 +54,24 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables written below the shared folder between the rounds of a loop.
+
+    A table that was written and read back starts a new plan: unlike a checkpoint it does not carry the
+    partitionings of all earlier joins along, which multiply from round to round.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, scratch_path(spark, name), itertools.count()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{next(self.count)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the tables of this loop."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
