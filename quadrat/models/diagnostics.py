@@ -60,7 +60,7 @@ def count_frequencies(df: DataFrame, model: Fit, upto: int = 20) -> DataFrame:
     """
     scored = score(df, model)
     eta = scored.groupBy(F.round("eta", 12).alias("eta")).agg(F.count(F.lit(1)).alias("rows"))
-    grid = eta.withColumn("y", F.expr(f"explode(sequence(0, {upto}))").cast("double"))
+    grid = eta.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(upto)))).withColumn("y", F.col("k").cast("double"))
     for step in row_terms(model.spec.family, math.log(model.dispersion) if model.dispersion else 0.0):
         grid = grid.withColumns({k: F.expr(v) for k, v in step.items()})
     expected = grid.groupBy(F.col("y").cast("int").alias("count")).agg(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.operators.aggregates import collapse_period, sum_counts, visit_counts, weighted_zone_mean
+from quadrat.functions.nulls import in_set
+from quadrat.operators.aggregates import center, collapse_period, sum_counts, visit_counts, weighted_zone_mean
 from quadrat.operators.filters import complete_cases, without_value
 from quadrat.plans import study_values as v
 from quadrat.plans.campaigns import VISIT
@@ -63,3 +64,15 @@ def period_base(base: DataFrame, early: Sequence[int] = tuple(v.EARLY_YEARS)) ->
 
 def others_basal_area(base: DataFrame) -> DataFrame:
     return base.withColumn("others_ba", F.col("total_ba") - F.col("quercus_sp_ba"))
+
+
+def modelling_bases(tidy: DataFrame) -> dict[str, DataFrame]:
+    """Every base of the fit list by name, with ``period`` and the centred year where models use them."""
+    out = {}
+    for name in ("oaks_all", "oaks_noshoots", "oaks_all_ext", "oaks_noshoots_ext"):
+        base = analysis_base(tidy, name)
+        period = F.when(in_set("year", v.EARLY_YEARS), "early").otherwise("late")
+        out[name] = center(base.withColumn("period", period), "year", "year_c")
+    for name in ("oaks_period", "oaks_0305", "oaks_2025", "oaks_sem"):
+        out[name] = analysis_base(tidy, name)
+    return out
