@@ -1,6 +1,6 @@
 """Mixed count-rate models with nested random intercepts, fitted as Spark aggregations.
 
-The Laplace-approximated likelihood is maximised over theta = (fixed effects, log sd per level, log dispersion).
+The Laplace-approximated likelihood is maximised over theta = (fixed effects, sd per level, log dispersion).
 Rows never leave the executors; the driver holds vectors and matrices of the size of theta.
 
 For nested intercepts the matrix of second derivatives in the intercepts is a tree, so it is eliminated level by
@@ -34,7 +34,7 @@ from quadrat.session import Scratch, materialize
 HOT_ROWS = 200_000
 BROADCAST_NODES = 100_000
 HESSIAN_JOBS = 4
-LOG_SD_BOUNDS = (-6.0, 4.0)
+SD_BOUNDS = (1e-3, 50.0)
 LOG_DISPERSION_BOUNDS = (-9.0, 12.0)
 
 
@@ -165,8 +165,8 @@ class _Problem:
     # -- passes over the rows -----------------------------------------------------------------------------
 
     def _unpack(self, theta: np.ndarray) -> tuple[np.ndarray, list[float], float]:
-        log_sd = theta[self.p:self.p + self.levels]
-        return theta[:self.p], [math.exp(-2.0 * v) for v in log_sd], float(theta[-1]) if self.has_disp else 0.0
+        sd = theta[self.p:self.p + self.levels]
+        return theta[:self.p], [1.0 / float(v * v) for v in sd], float(theta[-1]) if self.has_disp else 0.0
 
     def _with_terms(self, state: DataFrame | None, theta: np.ndarray, want: Sequence[str]) -> DataFrame:
         """Rows joined with the intercepts of their leaf, with the wanted row terms at ``eta``."""
@@ -242,7 +242,7 @@ class _Problem:
             sums |= {"gd": f"n*(d_loglik - 0.5D*{v}*d_weight)", "hd": "n*d_loglik*d_loglik"}
         totals = list(sums)
         if not depth:
-            return self._read(rows.agg(*[F.expr(f"sum({t}) AS {c}") for c, t in sums.items()]).first().asDict())
+            return self._read(theta, rows.agg(*[F.expr(f"sum({t}) AS {c}") for c, t in sums.items()]).first().asDict())
         # Vectors eliminated along with the weights: a (from the log determinant) and the sensitivities.
         vectors = {"a": "n*pull", **{f"cx{j}": f"n*weight*x{j}" for j in range(p)}}
         if self.has_disp:
@@ -272,16 +272,17 @@ class _Problem:
                 *[F.expr(f"sum({t}) AS {c}") for c, t in {**out, **up}.items()]
             )
             totals = list(out)
-        return self._read(table.first().asDict())
+        return self._read(theta, table.first().asDict())
 
-    def _read(self, row: dict) -> tuple[float, np.ndarray, np.ndarray]:
+    def _read(self, theta: np.ndarray, row: dict) -> tuple[float, np.ndarray, np.ndarray]:
         p, grad, info = self.p, np.zeros(self.size), np.zeros((self.size, self.size))
         for j in range(p):
             grad[j] = row[f"gx{j}"]
             for i in range(j + 1):
                 info[i, j] = info[j, i] = row[f"h{i}_{j}"]
         for k in range(1, self.levels + 1):
-            grad[p + k - 1], info[p + k - 1, p + k - 1] = row[f"gs{k}"], max(row[f"hs{k}"], 1e-2)
+            sd = theta[p + k - 1]
+            grad[p + k - 1], info[p + k - 1, p + k - 1] = row[f"gs{k}"] / sd, max(row[f"hs{k}"] / sd**2, 1e-2)
         if self.has_disp:
             grad[-1], info[-1, -1] = row["gd"], max(row["hd"], 1e-2)
         return row["val"], grad, info
@@ -303,7 +304,7 @@ class _Problem:
         if self.spec.family == "gaussian":
             theta[0] = self.y_mean - self.off_mean
             theta[-1] = 0.5 * math.log(max(self.y_var, 1e-12))
-            level = theta[-1] - 0.5 * math.log(self.levels + 1)
+            level = math.exp(theta[-1]) / math.sqrt(self.levels + 1)
         else:
             theta[0] = math.log(max(self.y_mean, 1e-8) / self.exposure)
             extra = max(self.y_var - self.y_mean, 0.05 * self.y_mean)
@@ -311,70 +312,94 @@ class _Problem:
                 theta[-1] = math.log(max(self.y_mean**2 / extra, 1e-3) * (2.0 if self.levels else 1.0))
             if self.spec.family == "nb1":
                 theta[-1] = math.log(extra / self.y_mean / (2.0 if self.levels else 1.0))
-            level = math.log(0.4)
+            level = 0.4
         theta[self.p:self.p + self.levels] = level
         return self.clip(theta)
 
     def clip(self, theta: np.ndarray) -> np.ndarray:
-        theta, shift = theta.copy(), 0.0
-        if self.spec.family == "gaussian":
-            shift = 0.5 * math.log(max(self.y_var, 1e-12))
+        theta, unit = theta.copy(), self._unit()
         sd = slice(self.p, self.p + self.levels)
-        theta[sd] = np.clip(theta[sd], LOG_SD_BOUNDS[0] + shift, LOG_SD_BOUNDS[1] + shift)
+        theta[sd] = np.clip(theta[sd], SD_BOUNDS[0] * unit, SD_BOUNDS[1] * unit)
         if self.has_disp:
-            theta[-1] = np.clip(theta[-1], LOG_DISPERSION_BOUNDS[0] + shift, LOG_DISPERSION_BOUNDS[1] + shift)
+            low, high = LOG_DISPERSION_BOUNDS
+            theta[-1] = np.clip(theta[-1], low + math.log(unit), high + math.log(unit))
         return theta
 
+    def _unit(self) -> float:
+        """Scale of the linear predictor: the spread of a gaussian response, 1 on the log scale."""
+        return math.sqrt(max(self.y_var, 1e-12)) if self.spec.family == "gaussian" else 1.0
+
     def free(self, point: _Point) -> np.ndarray:
         """Parameters not pinned at a bound: moving along the gradient changes them."""
-        return np.abs(self.clip(point.theta + 1e-3 * np.sign(point.grad)) - point.theta) > 1e-9
-
-    def maximise(self, max_iter: int = 60, tol: float = 1e-6, log=None) -> tuple[_Point, bool, int]:
-        """Quasi-Newton ascent started from the approximate information."""
-        point = self.evaluate(self.start(), self.start_state)
-        inverse = np.linalg.pinv(point.info)
-        fresh = 0
+        nudge = 1e-6 * self._unit() * np.sign(point.grad)
+        return np.abs(self.clip(point.theta + nudge) - point.theta) > 0.0
+
+    def _direction(self, point: _Point, grad: np.ndarray, free: np.ndarray, pairs: list) -> np.ndarray:
+        """Limited-memory quasi-Newton direction on top of the information at this point."""
+        info = np.where(np.outer(free, free), point.info, np.eye(self.size))
+        pairs = [(np.where(free, s, 0.0), np.where(free, y, 0.0)) for s, y in pairs]
+        pairs = [(s, y) for s, y in pairs if s @ y > 1e-8 * np.linalg.norm(s) * np.linalg.norm(y)]
+        q, used = grad.copy(), []
+        for s, y in reversed(pairs):
+            alpha = (s @ q) / (s @ y)
+            q = q - alpha * y
+            used.append(alpha)
+        r = np.linalg.solve(info, q)
+        for (s, y), alpha in zip(pairs, reversed(used)):
+            r = r + s * (alpha - (y @ r) / (s @ y))
+        return np.where(free, r, 0.0)
+
+    def maximise(self, max_iter: int = 60, tol: float = 1e-5, log=None) -> tuple[_Point, bool, int]:
+        """Ascent from the start values; stops when the log-likelihood can gain less than ``tol``."""
+        unit = self._unit()
+        caps = np.array([2.0 * unit] * self.p + [0.6 * unit] * self.levels + [1.5] * self.has_disp)
+        point = self.evaluate(self.start(), self.start_state, 1e-2)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        exact, last, held = False, math.inf, None
         for it in range(1, max_iter + 1):
             free = self.free(point)
             grad = np.where(free, point.grad, 0.0)
-            step = np.where(free, inverse @ grad, 0.0)
-            if grad @ step <= 0:
-                inverse = np.linalg.pinv(point.info)
-                step = np.where(free, inverse @ grad, 0.0)
-            if 0.5 * (grad @ step) < tol:
-                if fresh:
-                    return point, True, it
-                # Confirm with the information at this point: a worn approximation may end too early.
-                inverse, fresh = np.linalg.pinv(point.info), 1
-                step = np.where(free, inverse @ grad, 0.0)
-                if 0.5 * (grad @ step) < tol:
-                    return point, True, it
-            limit = 2.0 if self.spec.family != "gaussian" else 5.0 * math.sqrt(max(self.y_var, 1e-12))
-            caps = np.array([limit] * self.p + [1.5] * (self.size - self.p))
-            step = step * min(1.0, float((caps / np.maximum(np.abs(step), 1e-12)).min()))
+            if held is not None and (held != free).any():
+                pairs = []
+            held = free
+
+            def bounded(pairs: list) -> tuple[np.ndarray, float]:
+                step = np.clip(self._direction(point, grad, free, pairs), -caps, caps)
+                step = self.clip(point.theta + step) - point.theta
+                return step, 0.5 * (grad @ step)
+
+            step, gain = bounded(pairs)
+            if pairs and not 0 < gain < last:
+                # Steps taken far from here describe another curvature.
+                pairs = []
+                step, gain = bounded(pairs)
+            last = gain
             if log:
-                log(f"{it}: value {point.value:.8f} expected gain {0.5 * (grad @ step):.2e}")
-            for _ in range(12):
-                trial = self.evaluate(self.clip(point.theta + step), point.state)
-                if np.isfinite(trial.value) and trial.value >= point.value + 1e-4 * (grad @ step) - 1e-9 * abs(point.value):
+                log(f"{it}: value {point.value:.8f} expected gain {gain:.2e}")
+            if gain < tol:
+                if exact:
+                    return point, True, it
+                point, exact = self.evaluate(point.theta, point.state), True
+                continue
+            # Far from the top a rough mode of the intercepts is enough to choose the next step.
+            rough = 1e-2 if gain > 0.5 else 1e-4
+            for _ in range(10):
+                trial = self.evaluate(self.clip(point.theta + step), point.state, rough)
+                slack = 1e-9 * abs(point.value) + (1e-3 if rough > 1e-3 else 0.0)
+                if np.isfinite(trial.value) and trial.value >= point.value + 1e-4 * (grad @ step) - slack:
                     break
-                step = 0.4 * step
+                step = 0.35 * step
             else:
-                return point, False, it
-            s, y = trial.theta - point.theta, point.grad - trial.grad
-            if s @ y > 1e-10 * np.linalg.norm(s) * np.linalg.norm(y):
-                rho = 1.0 / (s @ y)
-                left = np.eye(self.size) - rho * np.outer(s, y)
-                inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-                fresh = 0
-            point = trial
+                return point, gain < 1e-3, it
+            pairs = [*pairs, (trial.theta - point.theta, point.grad - trial.grad)][-8:]
+            point, exact = trial, rough < 1e-3
         return point, False, max_iter
 
     def hessian(self, point: _Point) -> np.ndarray:
         """Negative second derivatives by differences of the exact gradient; bound parameters are held."""
         free = np.flatnonzero(self.free(point))
         se = 1.0 / np.sqrt(np.maximum(np.diag(point.info), 1e-8))
-        h = 0.01 * np.minimum(se, 1.0)
+        h = 0.01 * np.minimum(se, self._unit())
 
         def row(i: int) -> np.ndarray:
             theta = point.theta.copy()
@@ -416,7 +441,7 @@ def fit_glmm(
     theta, p, depth = point.theta, problem.p, problem.levels
     return Fit(
         problem.spec, problem.terms, back @ theta[:p], back @ cov @ back.T, float(point.value), problem.n,
-        tuple(float(v) for v in np.exp(theta[p:p + depth])),
+        tuple(float(v) for v in theta[p:p + depth]),
         float(math.exp(theta[-1])) if problem.has_disp else None, converged, iterations, effects,
     )
 
