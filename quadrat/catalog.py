@@ -572,7 +572,7 @@ def glmm_nb1(spark, sf):
 @query
 def glmm_gaussian(spark, sf):
     rows = b.base_with_covariates(spark, sf)
-    spec = ModelSpec("canopy_openness", ("pH",), None, ("site", "plot", "subplot"), "gaussian")
+    spec = ModelSpec("canopy_openness", ("pH",), None, ("site", "plot"), "gaussian")
     return fit_table(spark, {"gaussian": fit_glmm(rows, spec, se="information")})
 
 

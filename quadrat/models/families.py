@@ -65,14 +65,14 @@ def row_terms(family: str, log_disp: float) -> list[dict[str, str]]:
         return [
             {"r": f"exp(eta)*{num(1.0 / phi)}"},
             {
-                "d0": f"r*({digamma('(y + r)')} - {digamma('r')} - {num(log1)})",
-                "d1": f"r*r*({trigamma('(y + r)')} - {trigamma('r')})",
-                "d2": f"r*r*r*({tetragamma('(y + r)')} - {tetragamma('r')})",
+                "psi0": f"r*({digamma('(y + r)')} - {digamma('r')} - {num(log1)})",
+                "psi1": f"r*r*({trigamma('(y + r)')} - {trigamma('r')})",
+                "psi2": f"r*r*r*({tetragamma('(y + r)')} - {tetragamma('r')})",
                 "pull": f"r*{num(phi / (1.0 + phi))}",
                 "loglik": f"{lgamma('(y + r)')} - {lgamma('r')} - {factorial} + y*{num(log_disp - log1)} - r*{num(log1)}",
             },
-            {"score": "d0", "weight": "-(d0 + d1)", "weight_eta": "-(d0 + 3D*d1 + d2)", "loglik": "loglik",
-             "pull": "pull", "d_loglik": f"y*{num(1.0 / (1.0 + phi))} - d0 - pull"},
+            {"score": "psi0", "weight": "-(psi0 + psi1)", "weight_eta": "-(psi0 + 3D*psi1 + psi2)", "loglik": "loglik",
+             "pull": "pull", "d_loglik": f"y*{num(1.0 / (1.0 + phi))} - psi0 - pull"},
             {"d_score": "weight - pull", "d_weight": "pull - weight_eta"},
         ]
     raise ValueError(f"unknown family {family}")

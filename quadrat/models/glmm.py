@@ -158,6 +158,12 @@ class _Problem:
         names = [F.col(f"g{k}").alias(g) for k, g in enumerate(self.spec.groups, 1)]
         return materialize(point.state.select(*names, *[f"b{k}" for k in range(1, self.levels + 1)]))
 
+    def unscale(self) -> np.ndarray:
+        """Matrix from the coefficients of the standardised design to those of the design itself."""
+        back = np.diag(1.0 / self.scale)
+        back[0, 1:] = -(self.mean / self.scale)[1:]
+        return back
+
     def close(self) -> None:
         self.rows.unpersist()
         self.scratch.clear()
@@ -436,8 +442,7 @@ def fit_glmm(
         effects = problem.effects(point)
     finally:
         problem.close()
-    back = np.diag(1.0 / problem.scale)
-    back[0, 1:] = -(problem.mean / problem.scale)[1:]
+    back = problem.unscale()
     theta, p, depth = point.theta, problem.p, problem.levels
     return Fit(
         problem.spec, problem.terms, back @ theta[:p], back @ cov @ back.T, float(point.value), problem.n,

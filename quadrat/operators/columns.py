@@ -14,7 +14,7 @@ from quadrat.functions.nulls import nan_as_null
 
 
 def lead_columns(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*cols, *[c for c in df.columns if c not in cols])
+    return df.select(*[F.col(f"`{c}`") for c in (*cols, *[c for c in df.columns if c not in cols])])
 
 
 def map_columns(df: DataFrame, pick: Callable[[str, str], bool], fn: Callable[[Column], Column]) -> DataFrame:

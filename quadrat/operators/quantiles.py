@@ -86,11 +86,11 @@ def _narrowed(
     hit = [F.col(f"s.{k}").eqNullSafe(F.col(f"v.{k}")) for k in [*by, "lo", "hi"]]
     inside = (F.col("s.rank") >= F.col("v.end") - F.col("v.cnt")) & (F.col("s.rank") < F.col("v.end"))
     found = s.join(v, [*hit, inside]).select(*[F.col(f"s.{k}").alias(k) for k in by], "s.rid", F.col("v.y").alias("y"))
-    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("rid") == i, F.col("y"))).alias(f"__r{i}") for i in range(len(wanted))])
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("rid") == i, F.col("y"))).alias(f"__o{i}") for i in range(len(wanted))])
     out = left_join_on(ends, wide, by)
     for i, p in enumerate(probs):
         part = (F.col("n") - 1) * F.lit(float(p))
-        lower, upper = F.col(f"__r{2 * i}"), F.col(f"__r{2 * i + 1}")
+        lower, upper = F.col(f"__o{2 * i}"), F.col(f"__o{2 * i + 1}")
         out = out.withColumn(f"q{i}", lower + (part - F.floor(part)) * (upper - lower))
-    return out.drop(*[f"__r{i}" for i in range(len(wanted))])
+    return out.drop(*[f"__o{i}" for i in range(len(wanted))])
 
