@@ -18,7 +18,7 @@ from quadrat.plans import basal_area as ba
 from quadrat.plans.registry import fit_registry
 from quadrat.plans.zero_fill import zero_fill
 from quadrat.plans.zones import assign_zone_table, zone_area
-from quadrat.session import scratch_path
+from quadrat.session import materialize, scratch_path
 from quadrat.sources.delimited import load_tidy, read_delim, read_delim_eu, write_tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,58 +460,68 @@ def _poisson(terms, offset="area_m2", **kw) -> ModelSpec:
     return ModelSpec("oak_count", terms, offset, (), "poisson", **kw)
 
 
+def _rows(spark, sf) -> DataFrame:
+    """The base, kept as a table: a fit and its checks read it in several jobs."""
+    return materialize(b.base(spark, sf))
+
+
+def _covered(spark, sf) -> DataFrame:
+    rows = b.base_with_covariates(spark, sf)
+    return materialize(filters.complete_cases(rows, ["total_ba", "canopy_openness", "pH"]))
+
+
 @query
 def poisson_glm(spark, sf):
-    m = fit_glm(b.base(spark, sf), _poisson(("treatment",)))
+    m = fit_glm(_rows(spark, sf), _poisson(("treatment",)))
     return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic"))
 
 
 @query
 def poisson_glm_no_offset(spark, sf):
-    m = fit_glm(b.base(spark, sf), _poisson(("treatment",), None))
+    m = fit_glm(_rows(spark, sf), _poisson(("treatment",), None))
     return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic"))
 
 
 @query
 def poisson_glm_saturated(spark, sf):
-    m = fit_glm(b.base(spark, sf), _poisson(crossed("treatment", "period")))
+    m = fit_glm(_rows(spark, sf), _poisson(crossed("treatment", "period")))
     return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error"), 5)
 
 
 @query
 def poisson_glm_year_factor(spark, sf):
-    m = fit_glm(b.base(spark, sf), _poisson(("year",), factors={"year": []}))
+    m = fit_glm(_rows(spark, sf), _poisson(("year",), factors={"year": []}))
     return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error"), 5)
 
 
 @query
 def model_aic(spark, sf):
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     fits = {"offset": fit_glm(rows, _poisson(("treatment",))), "no_offset": fit_glm(rows, _poisson(("treatment",), None))}
     return rounded(fit_table(spark, fits).select("model", "n", "k", "aic"), 3)
 
 
 @query
 def overdispersion(spark, sf):
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     return rounded(diagnostics.overdispersion(rows, fit_glm(rows, _poisson(("treatment",)))).drop("p_value"), 5)
 
 
 @query
 def zero_inflation(spark, sf):
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     return rounded(diagnostics.zero_inflation(rows, fit_glm(rows, _poisson(("treatment",)))), 5)
 
 
 @query
 def residual_table(spark, sf):
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     return rounded(diagnostics.residual_table(rows, fit_glm(rows, _poisson(crossed("treatment", "period"))), 4), 5)
 
 
 @query
 def count_frequencies(spark, sf):
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     return rounded(diagnostics.count_frequencies(rows, fit_glm(rows, _poisson(("treatment",))), 12), 5)
 
 
@@ -529,13 +539,13 @@ def _gaussian_paths() -> list[ModelSpec]:
 
 @query
 def path_coefs(spark, sf):
-    rows = filters.complete_cases(b.base_with_covariates(spark, sf), ["total_ba", "canopy_openness", "pH"])
+    rows = _covered(spark, sf)
     return rounded(paths.path_coefs(rows, _gaussian_paths()).drop("p_value"), 5)
 
 
 @query
 def indirect_effects(spark, sf):
-    rows = filters.complete_cases(b.base_with_covariates(spark, sf), ["total_ba", "canopy_openness", "pH"])
+    rows = _covered(spark, sf)
     return rounded(paths.indirect_effects(paths.path_coefs(rows, _gaussian_paths())), 5)
 
 
@@ -548,30 +558,30 @@ def _mixed(terms, family="nb2", groups=PLACE, name="", offset="area_m2", respons
 
 @query
 def nb2_glm(spark, sf):
-    return coef_table(spark, {"nb2": fit(b.base(spark, sf), _mixed(("treatment",), groups=()))})
+    return coef_table(spark, {"nb2": fit(_rows(spark, sf), _mixed(("treatment",), groups=()))})
 
 
 @query
 def glmm_poisson(spark, sf):
-    m = fit_glmm(b.base(spark, sf), _mixed(("treatment",), "poisson", ("site", "transect", "subplot")), se="information")
+    m = fit_glmm(_rows(spark, sf), _mixed(("treatment",), "poisson", ("site", "transect", "subplot")), se="information")
     return coef_table(spark, {"poisson": m})
 
 
 @query
 def glmm_nb2(spark, sf):
     """The main model: treatment by period, intercepts for site, plot, transect and subplot."""
-    return coef_table(spark, {"nb2": fit_glmm(b.base(spark, sf), _mixed(crossed("treatment", "period")))})
+    return coef_table(spark, {"nb2": fit_glmm(_rows(spark, sf), _mixed(crossed("treatment", "period")))})
 
 
 @query
 def glmm_nb1(spark, sf):
-    m = fit_glmm(b.base(spark, sf), _mixed(crossed("treatment", "period"), "nb1", ("site", "subplot")), se="information")
+    m = fit_glmm(_rows(spark, sf), _mixed(crossed("treatment", "period"), "nb1", ("site", "subplot")), se="information")
     return variance_table(spark, {"nb1": m})
 
 
 @query
 def glmm_gaussian(spark, sf):
-    rows = b.base_with_covariates(spark, sf)
+    rows = materialize(b.base_with_covariates(spark, sf))
     spec = ModelSpec("canopy_openness", ("pH",), None, ("site", "plot"), "gaussian")
     return fit_table(spark, {"gaussian": fit_glmm(rows, spec, se="information")})
 
@@ -579,7 +589,7 @@ def glmm_gaussian(spark, sf):
 @query
 def model_compare(spark, sf):
     """Ranking of nested Poisson models with R2 and information criteria."""
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     fits = {
         "treatment": fit(rows, _poisson(("treatment",))), "period": fit(rows, _poisson(("period",))),
         "both": fit(rows, _poisson(("treatment", "period"))), "crossed": fit(rows, _poisson(crossed("treatment", "period"))),
@@ -590,7 +600,7 @@ def model_compare(spark, sf):
 @query
 def r2_marginal_means(spark, sf):
     """R2 by method and the marginal rates of one mixed model."""
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     m = fit_glmm(rows, _mixed(crossed("treatment", "period"), "nb2", ("site", "subplot")), se="information")
     r2 = diagnostics.r2_nakagawa(rows, m, ["lognormal"]).first()
     rates = contrasts.marginal_means(rows, m, ["treatment", "period"])
@@ -599,7 +609,7 @@ def r2_marginal_means(spark, sf):
 
 @query
 def path_summary(spark, sf):
-    rows = filters.complete_cases(b.base_with_covariates(spark, sf), ["total_ba", "canopy_openness", "pH"])
+    rows = _covered(spark, sf)
     specs = [
         ModelSpec("canopy_openness", ("total_ba",), None, ("site",), "gaussian"),
         ModelSpec("total_ba", ("pH",), None, ("site",), "gaussian"),
@@ -610,7 +620,7 @@ def path_summary(spark, sf):
 @query
 def model_registry(spark, sf):
     """One model over the base with and without shoots, fitted side by side."""
-    rows = b.base(spark, sf)
+    rows = _rows(spark, sf)
     bases = {"all": rows.withColumn("oaks", F.col("oak_count")), "noshoots": rows.withColumn("oaks", F.col("oak_count_noshoots"))}
     specs = [(n, _mixed(("treatment", "period"), "nb2", ("site", "subplot"), "period", response="oaks")) for n in bases]
     return coef_table(spark, fit_registry(bases, specs, se="information"))

@@ -16,9 +16,12 @@ ALL = "all"
 
 
 def _tested(df: DataFrame) -> DataFrame:
-    """t and the Fisher interval for columns r and n; NULL where they are not defined."""
+    """t and the Fisher interval for columns r and n; NULL where they are not defined.
+
+    Points on a line give |r| = 1 up to rounding, so anything within 1e-12 of 1 counts as 1.
+    """
     r, n = F.col("r"), F.col("n").cast("double")
-    some, sure = n > 2, F.abs(r) < 1
+    some, sure = n > 2, F.abs(r) < 1 - 1e-12
     t = F.when(some & sure, r * F.sqrt((n - 2) / (F.lit(1.0) - r * r)))
     wide = F.when((n > 3) & sure, F.lit(Z_95) / F.sqrt(n - 3))
     return df.withColumns({

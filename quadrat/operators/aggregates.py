@@ -1,16 +1,17 @@
 """Grouped statistics. All are aggregates with a map-side part, joined back where the rows must stay.
 
-No window runs over a data-sized partition: a key holding a third of all rows would put them in one task.
+No window runs over raw rows: a key holding a third of them would put them in one task. The one window here
+runs over counted rows, a handful per visit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.functions.nulls import any_true, in_set, is_not, only, strict_sum, sum_if
+from quadrat.functions.nulls import in_set, is_not, only, strict_sum, sum_if
 from quadrat.functions.scalar import round_half_up
 from quadrat.operators.joins import left_join_on
 
@@ -86,9 +87,13 @@ def pivot_levels(df: DataFrame, names: str) -> list[str | None]:
 
 
 def pivot_fill(
-    df: DataFrame, keys: Sequence[str], names: str, values: str, levels: Sequence[str | None] | None = None, fill=0.0
+    df: DataFrame, keys: Sequence[str], names: str, values: str, levels: Sequence[str | None] | None = None, fill=0.0,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Long to wide: an absent cell gets ``fill``, a cell that is present but missing stays missing."""
+    """Long to wide: an absent cell gets ``fill``, a cell that is present but missing stays missing.
+
+    ``also`` lists further aggregates over the same groups, computed along the way.
+    """
     levels = pivot_levels(df, names) if levels is None else levels
 
     def cell(level) -> Column:
@@ -96,7 +101,7 @@ def pivot_fill(
         value = F.when(F.count_if(here) == 0, F.lit(fill)).otherwise(F.max(F.when(here, F.col(values))))
         return value.alias("NA" if level is None else level)
 
-    return df.groupBy(*keys).agg(*[cell(v) for v in levels])
+    return df.groupBy(*keys).agg(*also, *[cell(v) for v in levels])
 
 
 def collapse_period(
@@ -121,30 +126,31 @@ def weighted_zone_mean(
 
     With an extended row in the group: (core * a1 + extended * a2) / (a1 + a2). With a core row only: the core
     value. With neither: the value as it is. Extended rows, which repeat the visit, are then dropped.
+
+    The input is the tidy table, whose key ends in species, shoot flag and zone, so a visit is a few rows and a
+    window over it stays small.
     """
-    keys = list(keys)
-    d = df.withColumn("__a", area)
+    group = Window.partitionBy(*keys)
     in_core, in_ext = F.col(zone) == core, F.col(zone) == extended
-    aggs = [any_true(in_ext).alias("__ext"), any_true(in_core).alias("__core")]
-    aggs += [F.max(F.when(in_core, F.col("__a"))).alias("__ac"), F.max(F.when(in_ext, F.col("__a"))).alias("__ae")]
-    for c in cols:
-        aggs += [
-            F.max(F.when(in_core, F.col(c))).alias(f"__c_{c}"),
-            F.max(F.when(in_ext, F.col(c))).alias(f"__e_{c}"),
-            F.max(F.col(c)).alias(f"__any_{c}"),
-        ]
-    stat = d.groupBy(*keys).agg(*aggs)
+
+    def over(value: Column, test: Column | None = None) -> Column:
+        return F.max(value if test is None else F.when(test, value)).over(group)
+
+    d = df.withColumn("__a", area)
+    d = d.withColumns({
+        "__ext": F.coalesce(F.bool_or(in_ext).over(group), F.lit(False)),
+        "__core": F.coalesce(F.bool_or(in_core).over(group), F.lit(False)),
+        "__ac": over(F.col("__a"), in_core), "__ae": over(F.col("__a"), in_ext),
+        **{f"__c_{c}": over(F.col(c), in_core) for c in cols},
+        **{f"__e_{c}": over(F.col(c), in_ext) for c in cols},
+        **{f"__any_{c}": over(F.col(c)) for c in cols},
+    })
+    new = {}
     for c in cols:
-        weighted = (F.col(f"__c_{c}") * F.col("__ac") + F.col(f"__e_{c}") * F.col("__ae")) / (
-            F.col("__ac") + F.col("__ae")
-        )
-        stat = stat.withColumn(
-            f"__new_{c}",
-            F.when(F.col("__ext"), weighted)
+        both = F.col(f"__c_{c}") * F.col("__ac") + F.col(f"__e_{c}") * F.col("__ae")
+        new[c] = (
+            F.when(F.col("__ext"), both / (F.col("__ac") + F.col("__ae")))
             .when(F.col("__core"), F.col(f"__c_{c}"))
-            .otherwise(F.col(f"__any_{c}")),
+            .otherwise(F.col(f"__any_{c}"))
         )
-    stat = stat.select(*keys, *[f"__new_{c}" for c in cols])
-    kept = df.where(is_not(zone, extended)).drop(*cols)
-    out = left_join_on(kept, stat, keys)
-    return out.withColumnsRenamed({f"__new_{c}": c for c in cols}).select(*df.columns)
+    return d.where(is_not(zone, extended)).withColumns(new).select(*df.columns)

@@ -21,9 +21,9 @@ BINS = 1024
 
 
 def value_counts(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
-    return df.where(F.col(y).isNotNull()).groupBy(*by, F.col(y).cast("double").alias("y")).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    """Rows per group and value, kept as a table because the quantile search reads it several times."""
+    rows = df.where(F.col(y).isNotNull()).groupBy(*by, F.col(y).cast("double").alias("y"))
+    return materialize(rows.agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def exact_quantiles(

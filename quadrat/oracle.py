@@ -122,9 +122,9 @@ Z = "1.959963984540054::DOUBLE"
 def _tested(inner: str, keys: str, digits: int = 6) -> str:
     """t, df and Fisher interval of rows with n and r."""
     k = f"{keys}, " if keys else ""
-    sure = "n > 2 AND abs(r) < 1"
+    sure = "n > 2 AND abs(r) < 1 - 1e-12"
     atanh = "0.5 * ln((1 + r) / (1 - r))"
-    half = f"CASE WHEN n > 3 AND abs(r) < 1 THEN {Z} / sqrt(n - 3) END"
+    half = f"CASE WHEN n > 3 AND abs(r) < 1 - 1e-12 THEN {Z} / sqrt(n - 3) END"
 
     def tanh(x: str) -> str:
         return f"(exp(2 * ({x})) - 1) / (exp(2 * ({x})) + 1)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.nulls import strict_sum
 from quadrat.functions.scalar import circle_area, per_ha
-from quadrat.operators.aggregates import pivot_fill, with_total
+from quadrat.operators.aggregates import pivot_fill
 from quadrat.operators.columns import clean_name, clean_names, suffix_columns
 from quadrat.operators.joins import left_join_on
 
@@ -34,7 +34,8 @@ def widen(
 ) -> DataFrame:
     """Total per key and one ``<species>_ba`` column per species; a species absent from a plot is 0 there."""
     keys = list(keys)
-    wide = pivot_fill(with_total(long, keys, "basal_area", "total_ba"), [*keys, "total_ba"], species, "basal_area", levels)
+    total = strict_sum("basal_area").alias("total_ba")
+    wide = pivot_fill(long, keys, species, "basal_area", levels, also=[total])
     return suffix_columns(clean_names(wide), "_ba", [*(clean_name(k) for k in keys), "total_ba"])
 
 

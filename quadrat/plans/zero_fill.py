@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.functions.nulls import any_true
 from quadrat.operators.aggregates import count_per
 
 
@@ -17,20 +16,27 @@ def zero_fill(
 ) -> DataFrame:
     """Counts per (visit, category, shoot), plus a focal row with 0 for visits marked empty or without focal rows.
 
-    The rows are counted once, marker rows included; both kinds of visit to fill are then read off those
-    counts by a second aggregate on the visit key, so the input is scanned and shuffled one time.
+    The rows are counted first, marker rows included. A visit is then a few rows, one per category and shoot
+    flag, however many plants it had, so a window over it is small; its first row also emits the row to fill
+    in. The input is scanned once.
     """
     keys = list(keys)
     extra = [shoot_col] if shoot_col else []
     counts = count_per(df.where(F.col(category_col).isNotNull()), [*keys, category_col, *extra], weight, count_col)
     found = F.col(category_col)
-    to_fill = (
-        counts.groupBy(*keys)
-        .agg(any_true(found == empty_marker).alias("__marked"), any_true(found == focal).alias("__focal"))
-        .where(F.col("__marked") | ~F.col("__focal"))
-        .select(*keys, F.lit(focal).alias(category_col), F.lit(0).cast("long").alias(count_col))
-    )
-    out = counts.where(found != empty_marker).unionByName(to_fill, allowMissingColumns=True)
-    if shoot_col:
-        out = out.withColumn(shoot_col, F.coalesce(F.col(shoot_col), F.lit(False)))
-    return out
+    visit = Window.partitionBy(*keys)
+    first = F.row_number().over(visit.orderBy(category_col, *extra)) == 1
+    missing = F.bool_or(found == empty_marker).over(visit) | ~F.bool_or(found == focal).over(visit)
+
+    def row(category: Column, shoot: Column, count: Column) -> Column:
+        parts = [category.alias(category_col), count.alias(count_col)]
+        return F.struct(*parts, *([F.coalesce(shoot, F.lit(False)).alias(shoot_col)] if shoot_col else []))
+
+    shoot = F.col(shoot_col) if shoot_col else F.lit(None)
+    rows = F.array_compact(F.array(
+        F.when(found != empty_marker, row(found, shoot, F.col(count_col))),
+        F.when(F.col("__first") & F.col("__missing"), row(F.lit(focal), F.lit(False), F.lit(0).cast("long"))),
+    ))
+    flagged = counts.withColumns({"__first": first, "__missing": missing})
+    out = flagged.select(*keys, F.explode(rows).alias("__row")).select(*keys, "__row.*")
+    return out.select(*keys, category_col, *extra, count_col)
