@@ -24,7 +24,7 @@ DERIVED = ("loglik", "score", "weight", "weight_eta", "d_loglik", "d_score", "d_
 
 def num(x: float) -> str:
     """A double literal in SQL text."""
-    return f"({float(x)!r}D)"
+    return "CAST('Infinity' AS DOUBLE)" if math.isinf(x) else f"({float(x)!r}D)"
 
 
 def row_terms(family: str, log_disp: float) -> list[dict[str, str]]:

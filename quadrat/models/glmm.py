@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quadrat.models.families import DERIVED, HAS_DISPERSION, num, row_terms
+from quadrat.models.families import DERIVED, HAS_DISPERSION, LOG_LINK, num, row_terms
 from quadrat.models.spec import INTERCEPT, ModelSpec, design, model_rows, with_levels
 from quadrat.session import Scratch, materialize
 
@@ -196,6 +196,8 @@ class _Problem:
         """One Newton step for all intercepts at once; also the pivots and variances the gradient needs."""
         _, prec, _ = self._unpack(theta)
         depth, keys = self.levels, self.keys
+        # On the log scale a first step can overshoot; a gaussian step is exact.
+        cap = num(3.0 if LOG_LINK[self.spec.family] else math.inf)
         b = [f"b{k}" for k in range(1, depth + 1)]
         state = state.select(*keys, "parts", *b)
         rows = self._with_terms(state, theta, ["weight", "score"])
@@ -220,7 +222,7 @@ class _Problem:
             kept = [c for c in above.columns if c not in (f"b{k}", f"res{k}", "up", "v", "move")]
             above = above.selectExpr(
                 *kept, f"b{k}", "up", "v", "move",
-                f"greatest(least(res{k}/d{k} - wt{k}/d{k}*up, 3D), -3D) AS step",
+                f"greatest(least(res{k}/d{k} - wt{k}/d{k}*up, {cap}), -{cap}) AS step",
             ).selectExpr(
                 *kept, f"b{k} + step AS b{k}", "up + step AS up", "greatest(move, abs(step)) AS move",
                 f"wt{k}*wt{k}/(d{k}*d{k})*v + 1D/d{k} AS V_{k}", f"{own}*{own}/(d{k}*d{k})*v + 1D/d{k} AS v",
@@ -288,7 +290,7 @@ class _Problem:
                 info[i, j] = info[j, i] = row[f"h{i}_{j}"]
         for k in range(1, self.levels + 1):
             sd = theta[p + k - 1]
-            grad[p + k - 1], info[p + k - 1, p + k - 1] = row[f"gs{k}"] / sd, max(row[f"hs{k}"] / sd**2, 1e-2)
+            grad[p + k - 1], info[p + k - 1, p + k - 1] = row[f"gs{k}"] / sd, max(row[f"hs{k}"] / sd**2, 1e-2 / self._unit() ** 2)
         if self.has_disp:
             grad[-1], info[-1, -1] = row["gd"], max(row["hd"], 1e-2)
         return row["val"], grad, info
@@ -333,7 +335,7 @@ class _Problem:
 
     def _unit(self) -> float:
         """Scale of the linear predictor: the spread of a gaussian response, 1 on the log scale."""
-        return math.sqrt(max(self.y_var, 1e-12)) if self.spec.family == "gaussian" else 1.0
+        return math.sqrt(max(self.y_var, 1e-12)) if not LOG_LINK[self.spec.family] else 1.0
 
     def free(self, point: _Point) -> np.ndarray:
         """Parameters not pinned at a bound: moving along the gradient changes them."""

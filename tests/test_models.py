@@ -136,6 +136,17 @@ def test_objective_and_gradient_match_dense(nested, family):
     problem.close()
 
 
+def test_gaussian_fit_follows_the_unit_of_the_response(nested):
+    spec = ModelSpec("w", ("z",), None, ("site", "subplot"), "gaussian")
+    one = fit_glmm(nested, spec, se="information")
+    big = fit_glmm(nested.withColumn("w", nested.w * 250.0 + 1000.0), spec, se="information")
+    assert one.converged and big.converged
+    assert big.beta[1] == pytest.approx(250.0 * one.beta[1], rel=1e-2, abs=0.5)
+    assert np.array(big.sds) == pytest.approx(250.0 * np.array(one.sds), rel=2e-2, abs=0.5)
+    assert big.dispersion == pytest.approx(250.0 * one.dispersion, rel=5e-3)
+    assert big.loglik == pytest.approx(one.loglik - one.n * math.log(250.0), abs=1e-2)
+
+
 def test_split_leaves_and_row_order_do_not_matter(nested):
     spec = ModelSpec("y", ("z",), "area_m2", ("site", "transect"), "nb2")
     whole = _Problem(nested, spec)
