@@ -11,9 +11,11 @@ A document is the set of its distinct n-word shingles (64-bit hashes; two shingl
 4. Surviving pairs are expanded to member classes and verified on their full texts.
 
 Only components are wanted, so pairs that can't change them are left out: first the smallest group of each list meets
-the others and the smallest member of each group its members; then, after linking, the first and last of the list's
-first component meet what is outside it; then every pair of list entries still in different components is verified.
-No pair of documents in different components is skipped, so none of the links that matter is lost.
+the others and the smallest member of each group its members; then, after linking, list entries still in different
+components are compared by sketches, counts of a set's shingles in ``BUCKETS`` buckets: the sum of their differences is at
+most the number of shingles that only one of the sets has, so pairs beyond the number allowed can't link. Of the others the
+nearest few of each entry and component are verified, and after linking again all that are left. A pair is left out only if
+its documents are known to be in one component, or can't link, so no component is missed.
 
 Defined cases: null text, empty text and text without words have size 0 and link with nothing; rows with the same
 ``doc_id`` are one document (each row is returned, linked to the others); a null ``doc_id`` links with nothing and has a
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 
 from quadrat.llm import shingles as sh
 from quadrat.llm.components import components
-from quadrat.llm.shared import Kept, id_bitmap, is_empty, only_in_bitmap
+from quadrat.llm.shared import Kept, id_bitmap, is_empty, only_in_bitmap, shuffle_width
 
 SLOTS_LOG2 = 20  # slots of the count table: 8 MB, whatever the input
 CHUNK = 1 << 14
+BUCKETS = 256  # of a sketch
+BLOCK = 512  # list entries compared with the entries outside the list's first component in one group
+NEAREST = 4  # pairs of an entry and a component that are verified first
 
 
 def _sets(texts, n: int):
@@ -182,14 +187,19 @@ def ngram_links(docs: DataFrame, kept: Kept, n: int, percent: int) -> tuple[Data
     rows = lists.join(members.hint("merge"), "gid").select("token", F.col("rep").alias("id"), "size", "pos")
     alone = members.join(several.hint("merge"), "gid", "left_semi").join(groups.select("gid", "size").hint("merge"), "gid")
     rows = kept.keep(rows.union(alone.select(F.xxhash64("gid", "size").alias("token"), F.col("rep").alias("id"), "size", F.lit(0).alias("pos"))))
-    for last in (False, True):
+    marks = None
+    for most in (NEAREST, None):
         joined = kept.keep(components(links, kept))
         rows = kept.keep(_apart(rows, joined, kept))
         if is_empty(rows):
             break
-        pairs_now = kept.keep(_remaining(rows, percent, last).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        pairs = kept.keep(pairs.union(pairs_now))
-        links = kept.keep(links.union(verified(pairs_now, texts, n, percent)))
+        if marks is None:
+            ids = rows.select(F.col("id").alias("doc_id")).distinct()
+            marks = kept.keep(_sketches(texts.join(ids.hint("merge"), "doc_id", "left_semi"), n))
+        near_pairs = _near(rows, marks, percent, most, kept).join(pairs.hint("merge"), ["a", "b"], "left_anti")
+        near_pairs = kept.keep(near_pairs)
+        pairs = kept.keep(pairs.union(near_pairs))
+        links = kept.keep(links.union(verified(near_pairs, texts, n, percent)))
     return found.select("doc_id", F.col("size").alias("n_shingles")), components(links, kept)
 
 
@@ -208,20 +218,78 @@ def _apart(rows: DataFrame, joined: DataFrame, kept: Kept) -> DataFrame:
     return named.join(bounds.hint("merge"), "token")
 
 
-def _remaining(rows: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs to verify in this round: all that are apart if ``last``, else those with the ends of the first component.
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    """doc_id, sketch: how many of a set's shingles fall in each bucket, 255 at most."""
 
-    Each pair that is apart has an entry outside the list's first component, so those entries meet all others.
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for low, high, _, _, hashes, at in _sets(batch.column(1), n):
+                owner = np.repeat(np.arange(high - low), np.diff(at))
+                counts = np.bincount(owner * BUCKETS + (hashes >> np.uint64(56)).astype(np.int64), minlength=(high - low) * BUCKETS)
+                rows = np.minimum(counts, 255).astype(np.uint8).reshape(high - low, BUCKETS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
+
+
+def _near(rows: DataFrame, marks: DataFrame, percent: int, most: int | None, kept: Kept) -> DataFrame:
+    """Pairs a, b of list entries in different components whose sketches allow a link; ``most``: the nearest of each entry and component.
+
+    Of such a pair at least one entry is outside the list's first component. Entries are dealt into blocks, and those outside go to
+    all blocks of their list.
     """
-    outside = rows.where("component <> low").alias("p")
-    if last:
-        partners = rows
-    else:
-        ends = rows.where("component = low").groupBy("token").agg(F.min("id").alias("one"), F.max("id").alias("two"))
-        partners = rows.join(ends.hint("merge"), "token").where("id = one or id = two").drop("one", "two")
-    partners = partners.alias("q").hint("merge")
-    met = outside.join(partners, (F.col("p.token") == F.col("q.token")) & (F.col("p.component") != F.col("q.component")) & _fits(percent, "p", "q"))
-    return met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    blocks = kept.keep(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    known = rows.join(marks.select(F.col("doc_id").alias("id"), "sketch").hint("merge"), "id").join(blocks.hint("merge"), "token")
+    known = kept.keep(known)
+    own = known.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("probe", F.lit(False))
+    outside = known.where("component <> low").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    dealt = own.unionByName(outside).select("token", "block", "probe", "id", "size", "component", "sketch")
+    dealt = dealt.repartition(shuffle_width(rows.sparkSession), "token", "block").sortWithinPartitions("token", "block")
+
+    def compare(part: dict):
+        to, of = np.flatnonzero(~part["probe"]), np.flatnonzero(part["probe"])
+        for k in of:
+            size, sizes = part["size"][k], part["size"][to]
+            room = ((100 - percent) * (size + sizes)) // (100 + percent)
+            away = np.abs(part["sketch"][to].astype(np.int16) - part["sketch"][k].astype(np.int16)).sum(axis=1)
+            hit = np.flatnonzero((away <= room) & (np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * percent) & (part["component"][to] != part["component"][k]))
+            if most is not None and len(hit) > most:
+                hit = hit[np.lexsort((away[hit], part["component"][to][hit]))]
+                group = part["component"][to][hit]
+                hit = hit[np.arange(len(hit)) - np.searchsorted(group, group) < most]
+            yield part["id"][k], part["id"][to[hit]]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("token", "block", "probe", "id", "size", "component")}
+                now["size"] = now["size"].astype(np.int64)
+                now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, BUCKETS)
+                held = now if held is None else {name: np.concatenate([held[name], now[name]]) for name in now}
+            if held is None or not len(held["token"]):
+                continue
+            edges = np.flatnonzero((np.diff(held["token"]) != 0) | (np.diff(held["block"]) != 0)) + 1
+            edges = np.concatenate([[0], edges, [len(held["token"])] if batch is None else []]).astype(np.int64)
+            one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                for who, whom in compare({name: x[low:high] for name, x in held.items()}):
+                    one.append(np.full(len(whom), who))
+                    two.append(whom)
+            held = {name: x[edges[-1]:] for name, x in held.items()}
+            x, y = np.concatenate(one), np.concatenate(two)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
