@@ -2,23 +2,23 @@
 
 A space is the visible space of the pieces. Pieces hold spaces in front only, so no piece, and no merge, crosses from a
 character to a following space: a text is encoded segment by segment, each the run of spaces before a word and the word.
-A segment is named by its text without its first space; the first segment's first space is the one the model puts
-before every text. Two characters that stand side by side in no piece part a segment further, for example a letter and a
+The first segment's first space is the one the model puts before every text; callers put it there. Two characters that stand side by side in no piece part a segment further, for example a letter and a
 comma: its parts are what is worked on once and kept.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 
+from quadrat.llm.shared import mix64
+from quadrat.llm.shingles import position_codes
+
 VISIBLE_SPACE = "▁"
-SEGMENT = re.compile(" *[^ ]+| +")
+SPAN_CODE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F))
 
 
 class Vocabulary:
@@ -55,13 +55,48 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def segments(text: str) -> list[str]:
-    """Names of the segments of a text, in order; none for an empty text."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        return [x[1:] for x in SEGMENT.findall(" " + text)]
-    return text.split(" ")
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the segments of texts in a buffer, and their offsets by text; each text that isn't empty starts with a space."""
+    space = data == 32
+    start = space.copy()
+    start[1:] &= ~space[:-1]
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(start)
+    return starts, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans that aren't empty."""
+    lengths = stops - starts
+    ends = np.cumsum(lengths)
+    within = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    codes = position_codes(int(lengths.max()), 6)
+    return mix64(np.add.reduceat(SPAN_CODE[data[np.repeat(starts, lengths) + within]] * codes[within], ends - lengths) + lengths.astype(np.uint64))
+
+
+class SpanIndex:
+    """Numbers of the byte spans met so far, by their hash (two spans share one with odds of about 2^-64 a pair)."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, add: Callable[[list[str]], None]) -> np.ndarray:
+        """Number of each span; ``add`` is told the texts of new ones, which get the next numbers in this order."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        hashes, first, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        number = np.empty(len(hashes), np.int64)
+        number[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        number[new] = len(self.keys) + np.arange(len(new))
+        raw = data.tobytes()
+        add([raw[starts[k]:stops[k]].decode() for k in first[new]])
+        self.keys, self.numbers = np.insert(self.keys, at[new], hashes[new]), np.insert(self.numbers, at[new], number[new])
+        return number[inverse]
 
 
 class Parts:
@@ -69,7 +104,7 @@ class Parts:
 
     def __init__(self, model: Vocabulary, add: Callable[[str], None]):
         self.neighbours, self.add = model.neighbours, add
-        self.names: dict[str, int] = {}
+        self.spans = SpanIndex()
         self.parts: dict[str, int] = {}
         self.begins, self.members = array("q", [0]), array("q")
 
@@ -80,23 +115,24 @@ class Parts:
             self.add(part)
         return found
 
-    def sequence(self, names: list[str]) -> np.ndarray:
-        """Parts of the named segments, one after the other."""
-        known, neighbours = self.names, self.neighbours
-        where = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
-        missing = np.flatnonzero(where < 0)
-        for name in {names[k] for k in missing}:
-            segment, cut = " " + name, 0
+    def _cut(self, new: list[str]) -> None:
+        neighbours = self.neighbours
+        for segment in new:
+            cut = 0
             for i in range(1, len(segment)):
                 if segment[i - 1:i + 1] not in neighbours:
                     self.members.append(self._number(segment[cut:i]))
                     cut = i
             self.members.append(self._number(segment[cut:]))
-            known[name] = len(self.begins) - 1
             self.begins.append(len(self.members))
-        where[missing] = [known[names[k]] for k in missing]
+
+    def sequence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of all texts in a buffer, one after the other, and their offsets by text."""
+        starts, bounds = segments(data, offsets)
+        where = self.spans.of(data, starts, np.append(starts[1:], len(data)), self._cut)
         begins, members = np.frombuffer(self.begins, np.int64), np.frombuffer(self.members, np.int64)
-        return spread(members, begins[where], begins[where + 1])
+        low, high = begins[where], begins[where + 1]
+        return spread(members, low, high), np.concatenate([[0], np.cumsum(high - low)])[bounds]
 
 
 def spread(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -17,15 +17,15 @@ from __future__ import annotations
 from array import array
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.pieces import Parts, Vocabulary, default_model, segments, spread, vocabulary
+from quadrat.llm import shingles as sh
+from quadrat.llm.pieces import Parts, Vocabulary, default_model, spread, vocabulary
 from quadrat.llm.shared import mix64, ship
 
 CACHED = 500_000  # segments whose lattices are kept in a worker; the store starts anew beyond that
-AT_ONCE = 1 << 18  # parts drawn together
+AT_ONCE = 1 << 21  # bytes of texts drawn together
 
 
 class Lattices:
@@ -121,7 +121,7 @@ def lattices(path: str, alpha: float) -> Lattices:
     key = (path, alpha)
     if key not in _lattices:
         _lattices[key] = Lattices(vocabulary(path), alpha)
-    if len(_lattices[key].parts.names) > CACHED:
+    if len(_lattices[key].parts.begins) > CACHED:
         _lattices[key].clear()
     return _lattices[key]
 
@@ -132,31 +132,29 @@ def sample_pieces(docs: DataFrame, key: str = "doc_id", seed: int = 0, alpha: fl
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
 
-    def some(rows: list[tuple]) -> pd.DataFrame:
-        store = lattices(path, alpha)
-        parts = [store.parts.sequence(segments(text)) for _, text, *_ in rows]
-        counts = [len(x) for x in parts]
-        seeds = [np.uint64(row_seed % 2**64) + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) for (_, _, row_seed, _), n in zip(rows, counts, strict=True)]
-        pieces, lengths = store.sample(np.concatenate(parts), mix64(np.concatenate(seeds)))
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        ids = [pieces[low:high] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pd.DataFrame({key: pd.Series([x[0] for x in rows], dtype="Int64" if kind in ("int", "bigint") else object), "text_hash": [x[3] for x in rows], "n_chars": [len(x[1]) for x in rows], "n_pieces": [len(x) for x in ids], "ids": ids})
-
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            rows, room = [], AT_ONCE
-            for row in zip(batch[key].astype(object).where(batch[key].notna(), None), batch["text"], batch["row_seed"], batch["text_hash"], strict=True):
-                rows.append(row)
-                room -= row[1].count(" ") + 1
-                if room <= 0:
-                    yield some(rows)
-                    rows, room = [], AT_ONCE
-            if rows:
-                yield some(rows)
-
-    rows = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("row_seed"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInPandas(run, f"{key} {kind}, text_hash long, n_chars long, n_pieces long, ids array<int>")
+            data, offsets = sh.text_buffer(batch.column(4))
+            row_seeds = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            for low, high in sh.pieces(offsets, AT_ONCE):
+                store = lattices(path, alpha)
+                parts, bounds = store.parts.sequence(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+                place = np.arange(len(parts)) - np.repeat(bounds[:-1], np.diff(bounds))
+                seeds = mix64(np.repeat(row_seeds[low:high], np.diff(bounds)) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+                pieces, lengths = store.sample(parts, seeds)
+                ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces, pa.int32()))
+                own = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(np.diff(ends)), ids], [key, "text_hash", "n_chars", "n_pieces", "ids"])
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        F.col(key), F.xxhash64(text).alias("text_hash"), F.length(text).cast("long").alias("n_chars"),
+        F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("row_seed"), F.when(text == "", text).otherwise(F.concat(F.lit(" "), text)).alias("spaced"),
+    )
+    return rows.mapInArrow(run, f"{key} {kind}, text_hash long, n_chars long, n_pieces long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, key: str = "doc_id", model_path: str | None = None) -> DataFrame:

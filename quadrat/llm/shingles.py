@@ -64,14 +64,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes, starts, starts + lengths, np.searchsorted(starts, offsets)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of each word, and the words' offsets by document."""
+    word = np.concatenate([[False], ~SPACE[data], [False]])
+    parted = np.zeros(len(data) + 1, bool)  # between two texts
+    parted[offsets] = True
+    starts = np.flatnonzero(word[1:] & (~word[:-1] | parted))
+    stops = np.flatnonzero(word[:-1] & (~word[1:] | parted))
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words of each document."""
-    word = ~SPACE[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    begins = offsets[:-1][offsets[:-1] < len(data)]
-    first[begins] = word[begins]
-    return np.diff(np.searchsorted(np.flatnonzero(first), offsets))
+    return np.diff(word_spans(data, offsets)[2])
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,11 +17,11 @@ from __future__ import annotations
 from array import array
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.pieces import VISIBLE_SPACE, Parts, Vocabulary, default_model, segments, spread, vocabulary
+from quadrat.llm import shingles as sh
+from quadrat.llm.pieces import VISIBLE_SPACE, Parts, Vocabulary, default_model, spread, vocabulary
 from quadrat.llm.shared import ship
 
 CACHED = 600_000  # segments kept in a worker; the store starts anew beyond that
@@ -81,18 +81,25 @@ class PrefixCounter:
         del counts[0]
         return counts
 
-    def of_text(self, text: str) -> np.ndarray:
-        """Tokens of ``text[:k]`` for k from 0 to its length."""
-        names = segments(text.replace(VISIBLE_SPACE, " "))
-        if not names:
-            return np.zeros(1, np.int64)
-        parts = self.parts.sequence(names)
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts in a buffer, each with a space in front: tokens of each text, tokens of all prefixes, offsets of these by text.
+
+        A text's prefixes have from 0 to all characters.
+        """
+        parts, bounds = self.parts.sequence(data, offsets)
         begins, counts = np.frombuffer(self.begins, np.int64), np.frombuffer(self.counts, np.uint32)
         low, high = begins[parts], begins[parts + 1]
-        totals = counts[high - 1].astype(np.int64)
-        out = spread(counts, low, high) + np.repeat(np.cumsum(totals) - totals, high - low)
-        out[0] = 0  # the model adds no space before an empty text
-        return out
+        upto = np.concatenate([[0], np.cumsum(counts[high - 1].astype(np.int64))])
+        texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out = spread(counts, low, high) + np.repeat(upto[:-1] - upto[bounds[:-1]][texts], high - low)
+        places = np.concatenate([[0], np.cumsum(high - low)])[bounds]
+        out[places[:-1][np.diff(places) > 0]] = 0  # the model adds no space before an empty text
+        return upto[bounds[1:]] - upto[bounds[:-1]], out, places
+
+    def of_text(self, text: str) -> np.ndarray:
+        """Tokens of ``text[:k]`` for k from 0 to its length."""
+        raw = np.frombuffer(f" {text.replace(VISIBLE_SPACE, ' ')}".encode(), np.uint8)
+        return self.of_texts(raw, np.array([0, len(raw)]))[1] if text else np.zeros(1, np.int64)
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -101,7 +108,7 @@ _counters: dict[str, PrefixCounter] = {}
 def counter(path: str) -> PrefixCounter:
     if path not in _counters:
         _counters[path] = PrefixCounter(vocabulary(path))
-    if len(_counters[path].parts.names) > CACHED:
+    if len(_counters[path].parts.begins) > CACHED:
         _counters[path].clear()
     return _counters[path]
 
@@ -127,12 +134,23 @@ def token_counts(docs: DataFrame, budget: int, model_path: str | None = None, ke
     schema = "doc_id long, n_bytes long, n_chars long, n_tokens long, fit_chars long" + ", prefix_steps binary" * keep_prefixes
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                counts = counter(path).of_text(text)
-                rows.append((doc_id, len(text.encode()), len(text), counts[-1], longest_within(counts, budget), *([pack(counts)] if keep_prefixes else [])))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+            data, offsets = sh.text_buffer(batch.column(2))
+            found = []
+            for low, high in sh.pieces(offsets):
+                tokens, prefixes, places = counter(path).of_texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+                fits = np.maximum(np.diff(places) - 1, 0)
+                for k in np.flatnonzero(tokens > budget):
+                    fits[k] = longest_within(prefixes[places[k]:places[k + 1]], budget)
+                steps = [pack(prefixes[a:b]) if b > a else b"" for a, b in zip(places[:-1], places[1:], strict=True)] if keep_prefixes else []
+                found.append((np.maximum(np.diff(places) - 1, 0), tokens, fits, steps))
+            longs = [pa.array(np.concatenate(x), pa.int64()) for x in list(zip(*found, strict=True))[:3]]
+            steps = [pa.array([y for x in found for y in x[3]], pa.binary())] if keep_prefixes else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, *steps], [x.split()[0] for x in schema.split(", ")])
+
+    text = F.coalesce("text", F.lit(""))
+    spaced = F.when(text == "", text).otherwise(F.concat(F.lit(" "), F.replace(text, F.lit(VISIBLE_SPACE), F.lit(" "))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), spaced.alias("spaced"))
+    return rows.mapInArrow(run, schema)

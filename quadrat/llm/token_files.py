@@ -17,14 +17,14 @@ from __future__ import annotations
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.pieces import spread
+from quadrat.llm import shingles as sh
+from quadrat.llm.pieces import SpanIndex, spread
 from quadrat.llm.shared import Kept, ship, shuffle_width
 
 BLOCK = 1 << 19  # ids in a block at least
@@ -57,35 +57,36 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.spans = SpanIndex()
         self.parts: dict[str, list[int]] = {}
         self.begins, self.ids = array("q", [0]), array("I")
 
     @staticmethod
     def _cut(word: str) -> tuple[str, ...]:
         stem = word.rstrip(ENDING)
-        return (stem, word[len(stem):]) if stem and stem != word and stem.isalpha() else (word,)
-
-    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
-        split = [text.split(" ") for text in texts]
-        where = [np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words)) for words in split]
-        new = list({words[k] for words, at in zip(split, where, strict=True) for k in np.flatnonzero(at < 0)})
-        if new:
-            cuts = [[part for piece in word.split("\n") for part in self._cut(piece)] for word in new]
-            parts = list({part for cut in cuts for part in cut}.difference(self.parts))
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for part, found in zip(parts, encode(parts, add_special_tokens=False), strict=True):
-                self.parts[part] = found.ids
-            for word, cut in zip(new, cuts, strict=True):
-                for part in cut:
-                    self.ids.extend(self.parts[part])
-                self.words[word] = len(self.begins) - 1
-                self.begins.append(len(self.ids))
-            for words, at in zip(split, where, strict=True):
-                for k in np.flatnonzero(at < 0):
-                    at[k] = self.words[words[k]]
+        if not (stem and stem.isalpha()):
+            return (word,)
+        stem, signs = stem.lower() if stem.isascii() else stem, word[len(stem):]
+        return (stem, signs) if signs else (stem,)
+
+    def _add(self, new: list[str]) -> None:
+        cuts = [self._cut(word) for word in new]
+        parts = list({part for cut in cuts for part in cut}.difference(self.parts))
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for part, found in zip(parts, encode(parts, add_special_tokens=False), strict=True):
+            self.parts[part] = found.ids
+        for cut in cuts:
+            for part in cut:
+                self.ids.extend(self.parts[part])
+            self.begins.append(len(self.ids))
+
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a buffer, one after the other, and their offsets by text."""
+        starts, stops, bounds = sh.word_spans(data, offsets)
+        where = self.spans.of(data, starts, stops, self._add)
         begins, ids = np.frombuffer(self.begins, np.int64), np.frombuffer(self.ids, np.uint32)
-        return [spread(ids, begins[x], begins[x + 1]) for x in where]
+        low, high = begins[where], begins[where + 1]
+        return spread(ids, low, high), np.concatenate([[0], np.cumsum(high - low)])[bounds]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -94,7 +95,7 @@ _word_ids: dict[str, WordIds] = {}
 def word_ids(path: str) -> WordIds:
     if path not in _word_ids:
         _word_ids[path] = WordIds(path)
-    if len(_word_ids[path].words) > CACHED:
+    if len(_word_ids[path].begins) > CACHED:
         _word_ids[path].clear()
     return _word_ids[path]
 
@@ -178,12 +179,13 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         held = 0
         for batch in batches:
             names = batch["doc_id"].astype("Int64")
-            for low in range(0, len(batch), 200):
-                texts = batch["text"].iloc[low:low + 200].tolist()
-                for k, ids in enumerate(word_ids(path).of_texts(texts)):
+            data, offsets = sh.text_buffer(batch["text"].tolist())
+            for low, high in sh.pieces(offsets):
+                ids, bounds = word_ids(path).of_texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+                for k in range(high - low):
                     name = names.iloc[low + k]
                     doc_ids.append(None if name is pd.NA else int(name))
-                    found.append(np.append(ids, np.uint32(end_id)))
+                    found.append(np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)))
                     held += len(found[-1])
                     if held >= BLOCK:
                         yield block()
