@@ -24,8 +24,8 @@ from quadrat.llm import shingles as sh
 from quadrat.llm.pieces import Parts, Vocabulary, default_model, spread, vocabulary
 from quadrat.llm.shared import mix64, ship
 
-CACHED = 500_000  # segments whose lattices are kept in a worker; the store starts anew beyond that
-AT_ONCE = 1 << 21  # bytes of texts drawn together
+CACHED = 300_000  # segments whose lattices are kept in a worker; the store starts anew beyond that
+AT_ONCE = 1 << 20  # bytes of texts drawn together
 
 
 class Lattices:

@@ -36,7 +36,7 @@ def text_buffer(texts) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21):
+def pieces(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of documents of at most so many bytes, or of one longer document."""
     n, at = len(offsets) - 1, 0
     while at < n:

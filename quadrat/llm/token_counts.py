@@ -24,7 +24,7 @@ from quadrat.llm import shingles as sh
 from quadrat.llm.pieces import VISIBLE_SPACE, Parts, Vocabulary, default_model, spread, vocabulary
 from quadrat.llm.shared import ship
 
-CACHED = 600_000  # segments kept in a worker; the store starts anew beyond that
+CACHED = 300_000  # segments kept in a worker; the store starts anew beyond that
 
 
 class PrefixCounter:
@@ -38,7 +38,7 @@ class PrefixCounter:
     def clear(self) -> None:
         self.parts = Parts(self.model, lambda part: (self.counts.extend(self.prefix_counts(part)), self.begins.append(len(self.counts))))
         self.begins, self.counts = array("q", [0]), array("I")
-        if len(self.pairs) > 4 * CACHED:
+        if len(self.pairs) > CACHED:
             self.pairs.clear()
 
     def merged(self, text: str) -> list[str]:
