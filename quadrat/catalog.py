@@ -44,7 +44,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def focal_rate_change(spark, sf):
     """Did the rate of the focal species change between the periods, by treatment?"""
     rates = contrasts.adjusted_rates(b.base(spark, sf), "oak_count_noshoots", "area_m2", ["treatment", "period"])
-    out = contrasts.rate_ratios(rates, ["treatment"], "period").drop("p_value")
+    out = contrasts.rate_ratios(rates, ["treatment"], "period")
     return rounded(out.withColumn("percent_change", 100.0 / F.col("ratio") - 100.0))
 
 
@@ -334,7 +334,7 @@ def rate_per_visit(spark, sf):
 def _write_eu(df: DataFrame, path: str) -> None:
     """A European file from given rows: decimal comma, blank for missing."""
     comma = [
-        F.regexp_replace(F.col(c).cast("decimal(20,6)").cast("string"), r"\.", ",").alias(c) if t == "double"
+        F.regexp_replace(F.col(c).cast("string"), r"\.", ",").alias(c) if t == "double"
         else F.col(c).cast("string").alias(c) for c, t in df.dtypes
     ]
     df.select(*comma).write.csv(path, sep=";", header=True, encoding="UTF-8")
@@ -408,8 +408,11 @@ def trend_band(spark, sf):
 
 @query
 def others_trend(spark, sf):
-    rows = b.base_with_covariates(spark, sf).withColumn("others_ba", F.col("total_ba") - F.col("standard_ba"))
-    return rounded(figures.linear_trend(rows, "others_ba", "oak_count").drop("syy", "sxx", "sxy"))
+    """Density of all species per visit against the basal area of the others."""
+    every = b.filled(spark, sf).groupBy(*b.VISIT).agg(F.sum("density").alias("total_density"))
+    rows = joins.left_join_on(b.base_with_covariates(spark, sf), every, list(b.VISIT))
+    rows = rows.withColumn("others_ba", F.col("total_ba") - F.col("standard_ba"))
+    return rounded(figures.linear_trend(rows, "others_ba", "total_density").drop("syy", "sxx", "sxy"))
 
 
 @query
@@ -453,7 +456,7 @@ def adjusted_rates(spark, sf):
 @query
 def rate_ratios(spark, sf):
     rates = contrasts.adjusted_rates(b.base(spark, sf), "oak_count", "area_m2", ["treatment", "period"])
-    return rounded(contrasts.rate_ratios(rates, ["period"], "treatment").drop("p_value"))
+    return rounded(contrasts.rate_ratios(rates, ["period"], "treatment"))
 
 
 def _poisson(terms, offset="area_m2", **kw) -> ModelSpec:

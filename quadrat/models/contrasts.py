@@ -36,16 +36,19 @@ def adjusted_rates(df: DataFrame, count: str, exposure: str, by: Sequence[str])
 
 
 def rate_ratios(rates: DataFrame, within: Sequence[str], level: str) -> DataFrame:
-    """Ratio of the rates of two levels in the same stratum, with standard error of its log, z and p."""
+    """Ratio of the rates of two levels in the same stratum, with standard error of its log, z and p.
+
+    A stratum with a cell without counts stays: its ratio is 0 or NULL, and error, z and p are NULL.
+    """
     a, b = rates.alias("a"), rates.alias("b")
     on = [F.col(f"a.{w}") == F.col(f"b.{w}") for w in within] + [F.col(f"a.{level}") < F.col(f"b.{level}")]
     usable = (F.col("a.total") > 0) & (F.col("b.total") > 0)
-    out = a.join(b, [*on, usable]).select(
+    out = a.join(b, on).select(
         *[F.col(f"a.{w}").alias(w) for w in within], F.col(f"a.{level}").alias("level_a"), F.col(f"b.{level}").alias("level_b"),
-        (F.col("a.rate") / F.col("b.rate")).alias("ratio"),
-        F.sqrt(F.lit(1.0) / F.col("a.total") + F.lit(1.0) / F.col("b.total")).alias("se_log"),
+        F.try_divide("a.rate", "b.rate").alias("ratio"),
+        F.when(usable, F.sqrt(F.lit(1.0) / F.col("a.total") + F.lit(1.0) / F.col("b.total"))).alias("se_log"),
     )
-    out = out.withColumn("z", F.ln("ratio") / F.col("se_log"))
+    out = out.withColumn("z", F.when(F.col("ratio") > 0, F.ln("ratio")) / F.col("se_log"))
     return out.withColumn("p_value", normal_p_col(F.col("z")))
 
 

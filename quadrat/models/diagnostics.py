@@ -54,9 +54,9 @@ def residual_table(df: DataFrame, model: Fit, bins: int = 10) -> DataFrame:
 
 
 def count_frequencies(df: DataFrame, model: Fit, upto: int = 20) -> DataFrame:
-    """Observed and expected number of rows per count 0..upto.
+    """Observed and expected number of rows per count 0..upto, and in a last row (``above``) of all higher counts.
 
-    Rows with the same linear predictor are collapsed before they are paired with the counts.
+    The row ``above`` is numbered upto + 1, and both columns add up to the number of rows. Rows with the same linear predictor are collapsed before they are paired with the counts.
     """
     scored = score(df, model)
     eta = scored.groupBy(F.round("eta", 12).alias("eta")).agg(F.count(F.lit(1)).alias("rows"))
@@ -69,9 +69,13 @@ def count_frequencies(df: DataFrame, model: Fit, upto: int = 20) -> DataFrame:
     observed = scored.groupBy(F.col(model.spec.response).cast("int").alias("count")).agg(
         F.count(F.lit(1)).alias("observed")
     )
-    return expected.join(observed, "count", "left").select(
-        "count", F.coalesce("observed", F.lit(0)).alias("observed"), "expected"
+    within = expected.join(observed, "count", "left").select(
+        "count", F.lit(False).alias("above"), F.coalesce("observed", F.lit(0)).alias("observed"), "expected"
     )
+    left = scored.select(F.lit(1).alias("observed"), F.lit(1.0).alias("expected")).union(within.select(-F.col("observed"), -F.col("expected")))
+    return within.union(left.agg(F.sum("observed").alias("observed"), F.sum("expected").alias("expected")).select(
+        F.lit(upto + 1).alias("count"), F.lit(True).alias("above"), "observed", "expected"
+    ))
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -67,15 +67,22 @@ def independence_claims(specs: Sequence[ModelSpec]) -> list[tuple[ModelSpec, str
     return claims
 
 
+def _wald_p(tested: Fit, added: str, given: Sequence[str]) -> float:
+    """Tail of the joint Wald test of a predictor: its own column, or the columns of all its levels if it is a factor."""
+    hits = [i for i, t in enumerate(tested.terms) if t == added]
+    longer = [g for g in given if g.startswith(added)]
+    hits = hits or [i for i, t in enumerate(tested.terms) if t.startswith(added) and ":" not in t and not any(t.startswith(g) for g in longer)]
+    beta, cov = np.asarray(tested.beta)[hits], np.asarray(tested.cov)[np.ix_(hits, hits)]
+    return chi2_p(float(beta @ np.linalg.solve(cov, beta)), len(hits))
+
+
 def path_summary(df: DataFrame, specs: Sequence[ModelSpec], fits: Sequence[Fit] | None = None, **options) -> DataFrame:
     """Fisher's C over the independence claims with its chi-square p, and the information criterion C + 2K."""
     fits = fit_paths(df, specs, **options) if fits is None else fits
     ps = []
     for equation, added, given in independence_claims(specs):
         tested = fit(df, replace(equation, terms=(*given, added)), **options)
-        z = tested.beta / tested.se
-        hits = [i for i, t in enumerate(tested.terms) if t == added or t.startswith(added) and ":" not in t]
-        ps.append(max(normal_p(float(z[hits[-1]])), 1e-300))
+        ps.append(max(_wald_p(tested, added, given), 1e-300))
     c = -2.0 * sum(math.log(p) for p in ps)
     k = sum(m.k for m in fits)
     row = (len(ps), c, 2 * len(ps), chi2_p(c, 2 * len(ps)) if ps else 1.0, k, c + 2.0 * k)

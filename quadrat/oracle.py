@@ -169,6 +169,13 @@ def _one_factor(offset: bool) -> str:
           UNION ALL SELECT 'treatmentthinned', t.l - c.l, sqrt(t.v + c.v) FROM c, t)"""
 
 
+def _normal_p(z: str) -> str:
+    """Two-sided normal tail of an expression: a power series up to 3, a mean over a quarter turn beyond."""
+    return f"""CASE WHEN abs({z}) <= 3 THEN 1 - 2 * exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60),
+        lambda n: pow(abs({z}), 2 * n + 1) * sqrt(pi()) / (pow(2, n + 1) * gamma(n + 1.5))))
+        ELSE list_avg(list_transform(range(0, 64), lambda i: exp(-pow({z}, 2) / 2 / pow(sin((i + 0.5) * pi() / 128), 2)))) END"""
+
+
 LGAMMA_FACTORIAL = "lgamma(oak_count + 1)"
 
 
@@ -186,6 +193,7 @@ ORACLE: dict[str, str] = {
           round((a.total / a.exposure) / (b.total / b.exposure), 6) AS ratio,
           round(sqrt(1.0 / a.total + 1.0 / b.total), 6) AS se_log,
           round(ln((a.total / a.exposure) / (b.total / b.exposure)) / sqrt(1.0 / a.total + 1.0 / b.total), 6) AS z,
+          round({_normal_p("ln((a.total / a.exposure) / (b.total / b.exposure)) / sqrt(1.0 / a.total + 1.0 / b.total)")}, 6) AS p_value,
           round(100 * (b.total / b.exposure) / (a.total / a.exposure) - 100, 6) AS percent_change
         FROM cell a JOIN cell b ON a.treatment = b.treatment AND a.period < b.period""",
     "count_per_visit": _with("seedling") + f"""SELECT {V}, species, shoot, count(*) AS density FROM seedling
@@ -314,8 +322,8 @@ ORACLE: dict[str, str] = {
         SELECT treatment, CAST(step AS INTEGER) AS step, round(x, 6) AS x, round(b0 + b1 * x, 6) AS fit,
           round(s * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx), 6) AS se
         FROM (SELECT *, lo + step * (hi - lo) / 19 AS x FROM g, generate_series(0, 19) AS t(step))""",
-    "others_trend": _with("cov") + f"""SELECT {REGR} FROM (SELECT total_ba - standard_ba AS x,
-        CAST(oak_count AS DOUBLE) AS y FROM cov WHERE total_ba IS NOT NULL)""",
+    "others_trend": _with("cov") + f""", every AS (SELECT {V}, CAST(sum(density) AS DOUBLE) AS y FROM filled GROUP BY {V})
+        SELECT {REGR} FROM (SELECT total_ba - standard_ba AS x, y FROM cov JOIN every USING ({V}) WHERE total_ba IS NOT NULL)""",
     "point_layer": _with("base") + """SELECT treatment, period AS x, round(oak_count / area_m2, 6) AS y, count(*) AS n
         FROM base GROUP BY treatment, period, oak_count / area_m2""",
     "cor_test": _with("cov") + _tested("""SELECT period, count(*) AS n, corr(canopy_openness, "pH") AS r FROM cov
@@ -333,10 +341,13 @@ ORACLE: dict[str, str] = {
         round(total / exposure, 6) AS rate, round(1 / sqrt(total), 6) AS se_log,
         round(total / exposure * exp(-{Z} / sqrt(total)), 6) AS lower,
         round(total / exposure * exp({Z} / sqrt(total)), 6) AS upper FROM rates""",
-    "rate_ratios": _with("rates") + """SELECT a.period, a.treatment AS level_a, b.treatment AS level_b,
-        round((a.total / a.exposure) / (b.total / b.exposure), 6) AS ratio, round(sqrt(1 / a.total + 1 / b.total), 6) AS se_log,
-        round(ln((a.total / a.exposure) / (b.total / b.exposure)) / sqrt(1 / a.total + 1 / b.total), 6) AS z
-        FROM rates a JOIN rates b ON a.period = b.period AND a.treatment < b.treatment""",
+    "rate_ratios": _with("rates") + f""", pair AS (SELECT a.period, a.treatment AS level_a, b.treatment AS level_b,
+          CASE WHEN b.total > 0 THEN (a.total / a.exposure) / (b.total / b.exposure) END AS ratio,
+          CASE WHEN a.total > 0 AND b.total > 0 THEN sqrt(1 / a.total + 1 / b.total) END AS se
+          FROM rates a JOIN rates b ON a.period = b.period AND a.treatment < b.treatment),
+        tested AS (SELECT *, CASE WHEN se IS NOT NULL THEN ln(ratio) / se END AS raw FROM pair)
+        SELECT period, level_a, level_b, round(ratio, 6) AS ratio, round(se, 6) AS se_log, round(raw, 6) AS z,
+          round({_normal_p("raw")}, 6) AS p_value FROM tested""",
     "poisson_glm": _one_factor(True),
     "poisson_glm_no_offset": _one_factor(False),
     "poisson_glm_saturated": _with("rates") + """, c AS (SELECT treatment, period, ln(total / exposure) AS l, 1 / total AS v FROM rates),
@@ -371,9 +382,12 @@ ORACLE: dict[str, str] = {
         SELECT CAST(1 + (mu > a)::INT + (mu > b)::INT + (mu > c)::INT AS INTEGER) AS bin, count(*) AS n,
           round(avg(mu), 5) AS mean_fitted, round(avg(oak_count - mu), 5) AS mean_resid,
           round(sqrt(avg((oak_count - mu) * (oak_count - mu) / mu)), 5) AS rms_pearson FROM f, q GROUP BY 1""",
-    "count_frequencies": _with("fitted") + """SELECT CAST(k AS INTEGER) AS count, COALESCE(o, 0) AS observed, round(e, 5) AS expected
-        FROM (SELECT k, sum(exp(k * ln(mu) - mu - lgamma(k + 1))) AS e FROM fitted, generate_series(0, 12) AS t(k) GROUP BY k)
-        LEFT JOIN (SELECT oak_count, count(*) AS o FROM base GROUP BY 1) ON oak_count = k""",
+    "count_frequencies": _with("fitted") + """, low AS (SELECT CAST(k AS INTEGER) AS count, COALESCE(o, 0) AS observed, e
+          FROM (SELECT k, sum(exp(k * ln(mu) - mu - lgamma(k + 1))) AS e FROM fitted, generate_series(0, 12) AS t(k) GROUP BY k)
+          LEFT JOIN (SELECT oak_count, count(*) AS o FROM base GROUP BY 1) ON oak_count = k)
+        SELECT count, FALSE AS above, observed, round(e, 5) AS expected FROM low
+        UNION ALL SELECT 13, TRUE, (SELECT count(*) FROM base WHERE oak_count > 12),
+          round((SELECT count(*) FROM base) - sum(e), 5) FROM low""",
     "vif": _with("cov") + """SELECT unnest(['canopy_openness', 'pH']) AS term,
         round(1 / (1 - pow(corr(canopy_openness, "pH"), 2)), 6) AS vif FROM cov WHERE canopy_openness IS NOT NULL""",
     "path_coefs": _with("cc") + """, p AS (SELECT 'canopy_openness' AS response, 'total_ba' AS predictor, canopy_openness AS y,

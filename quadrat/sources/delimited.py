@@ -11,36 +11,45 @@ from pyspark.sql import types as T
 NOT_IN_TEXT = "\u0001"
 
 
+def _by_name(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, **options) -> DataFrame:
+    """All fields as text, bound by the names in the header; other columns are left out, a missing one is an error.
+
+    All files must have the header of the first.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, **options)
+    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header: {', '.join(df.columns)}")
+    return df.select(*(F.col(f"`{f.name}`") for f in schema))
+
+
 def read_delim_eu(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """``;`` separated UTF-8 with a header, decimal comma and grouping point; blank and ``NA`` are missing.
 
-    A byte order mark is skipped. Spark's CSV parser reads DOUBLE with a point whatever the locale, so
-    numbers go through DECIMAL, which honours it.
+    Columns are bound by name. A byte order mark is skipped. Numbers keep all their digits; what is none is missing.
     """
-    raw = T.StructType([
-        T.StructField(f.name, T.DecimalType(30, 12) if isinstance(f.dataType, T.DoubleType) else f.dataType)
-        for f in schema
-    ])
-    df = spark.read.csv(
-        path, schema=raw, sep=";", header=True, locale="de-DE", encoding="UTF-8", enforceSchema=True,
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-    )
+    df = _by_name(spark, path, schema, sep=";", encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     out = []
     for f in schema:
-        c = F.col(f"`{f.name}`")
-        c = F.nullif(c, F.lit("NA")) if isinstance(f.dataType, T.StringType) else c.cast(f.dataType)
+        c = F.nullif(F.col(f"`{f.name}`"), F.lit("NA"))
+        if not isinstance(f.dataType, T.StringType):
+            c = F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if isinstance(f.dataType, T.FractionalType) else c
+            c = c.try_cast(f.dataType)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
 def read_delim(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, sep: str = ";") -> DataFrame:
-    """``sep`` separated with a header and decimal point; ``NA`` is missing, blank text stays blank."""
-    df = spark.read.csv(path, schema=schema, sep=sep, header=True, nullValue=NOT_IN_TEXT, enforceSchema=True)
+    """``sep`` separated with a header and decimal point, bound by name; ``NA`` is missing, blank text stays blank."""
+    df = _by_name(spark, path, schema, sep=sep, nullValue=NOT_IN_TEXT)
     out = []
     for f in schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             c = F.nullif(F.coalesce(c, F.lit("")), F.lit("NA"))
+        else:
+            c = F.nullif(F.trim(c), F.lit("NA")).try_cast(f.dataType)
         out.append(c.alias(f.name))
     return df.select(*out)
 

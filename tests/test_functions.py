@@ -92,3 +92,15 @@ def test_tail_probabilities(make):
     df = make([(2.228138852, 10), (None, 10)], "t double, df int")
     got = [r[0] for r in df.select(tails.t_p_col(F.col("t"), F.col("df"))).collect()]
     assert got[0] == pytest.approx(0.05, abs=1e-8) and got[1] is None
+
+
+def test_normal_tail_column(spark):
+    import math
+
+    from quadrat.functions.tails import normal_p_col
+
+    values = [0.0, 1e-6, 0.01, 0.5, 1.0, 1.96, 2.999, 3.0, 3.001, 5.0, 9.0, 20.0, -2.5]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "z double")
+    got = {r["z"]: r["p"] for r in rows.select("z", normal_p_col(rows.z).alias("p")).collect()}
+    assert got[None] is None
+    assert all(math.isclose(got[v], math.erfc(abs(v) / math.sqrt(2)), rel_tol=1e-11, abs_tol=1e-300) for v in values)

@@ -215,3 +215,11 @@ def test_registry(spark, nested):
     specs = [("base", ModelSpec("y", ("treatment",), "area_m2", name="a")), ("base", ModelSpec("y", ("z",), None, name="b"))]
     fits = fit_registry({"base": nested}, specs)
     assert set(fits) == {"base:a", "base:b"} and all(f.converged for f in fits.values())
+
+
+def test_ratios_keep_strata_without_counts(spark):
+    from quadrat.models.contrasts import rate_ratios
+
+    rates = spark.createDataFrame([("x", "a", 0.0, 0.0), ("x", "b", 4.0, 2.0), ("y", "a", 4.0, 2.0), ("y", "b", 0.0, 0.0)], "s string, l string, total double, rate double")
+    got = {r["s"]: (r["ratio"], r["se_log"], r["z"], r["p_value"]) for r in rate_ratios(rates, ["s"], "l").collect()}
+    assert got == {"x": (0.0, None, None, None), "y": (None, None, None, None)}

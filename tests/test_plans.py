@@ -140,3 +140,17 @@ def test_tidy_csv_round_trip(spark, make, tmp_path):
     path = str(tmp_path / "t")
     write_tidy(df, path, "csv", None)
     assert rows_of(load_tidy(spark, path, "csv", df.schema)) == rows_of(df)
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    """Shuffled and extra columns, all digits, and an error for a missing name."""
+    import pytest
+    from pyspark.sql import types as T
+
+    path = tmp_path / "shuffled.csv"
+    path.write_text("﻿year;extra;canopy;site\n2003;x;0,1234567890123456;A\n2001;;1.234,5;NA\n", encoding="utf-8")
+    schema = T.StructType.fromDDL("site string, canopy double, year int")
+    rows = sorted(map(tuple, read_delim_eu(spark, str(path), schema).collect()), key=repr)
+    assert rows == [("A", 0.1234567890123456, 2003), (None, 1234.5, 2001)]
+    with pytest.raises(ValueError, match="no column plot"):
+        read_delim_eu(spark, str(path), T.StructType.fromDDL("plot string"))
