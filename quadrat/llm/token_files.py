@@ -31,7 +31,7 @@ BLOCK = 1 << 19  # ids in a block at least
 LANES, EVERY = 2048, 64
 SCALE = 20  # bits of the frequency table
 LOW = 1 << 31  # smallest state between two ids
-CACHED = 400_000  # words kept in a worker
+CACHED = 600_000  # words kept in a worker
 ENDING = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # signs that the tokenizer always parts from a letter before them
 
 
@@ -163,6 +163,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
 
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
@@ -171,21 +172,21 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         def block():
             lengths = np.array([len(x) for x in found], np.int64)
             some = [x for x in doc_ids if x is not None]
-            return pd.DataFrame({
-                "part": [part], "seq": [seq], "doc_ids": [np.array(some, np.int64).tobytes()], "null_ids": [len(doc_ids) - len(some)],
-                "lengths": [lengths.tobytes()], "n_ids": [int(lengths.sum())], "local_start": [before], "raw": [np.concatenate(found).astype(np.uint32).tobytes()],
-            })
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([np.array(some, np.int64).tobytes()], pa.binary()),
+                pa.array([len(doc_ids) - len(some)], pa.int32()), pa.array([lengths.tobytes()], pa.binary()), pa.array([int(lengths.sum())], pa.int64()),
+                pa.array([before], pa.int64()), pa.array([np.concatenate(found).tobytes()], pa.binary()),
+            ], [x.split()[0] for x in BLOCKS.split(", ")])
 
-        held = 0
+        held, end = 0, np.array([end_id], np.uint32)
         for batch in batches:
-            names = batch["doc_id"].astype("Int64")
-            data, offsets = sh.text_buffer(batch["text"].tolist())
+            names = batch.column(0).to_pylist()
+            data, offsets = sh.text_buffer(batch.column(1))
             for low, high in sh.pieces(offsets):
                 ids, bounds = word_ids(path).of_texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                 for k in range(high - low):
-                    name = names.iloc[low + k]
-                    doc_ids.append(None if name is pd.NA else int(name))
-                    found.append(np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)))
+                    doc_ids.append(names[low + k])
+                    found.append(np.concatenate([ids[bounds[k]:bounds[k + 1]], end]))
                     held += len(found[-1])
                     if held >= BLOCK:
                         yield block()
@@ -193,7 +194,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if found:
             yield block()
 
-    return ordered.mapInPandas(run, BLOCKS)
+    return ordered.mapInArrow(run, BLOCKS)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, tokenizer_path: str | None = None) -> None:
