@@ -42,8 +42,8 @@ class Vocabulary:
                 self.ids[piece], self.ranks[piece] = i, -model.get_score(i)
                 self.texts[i] = piece.encode()
         self.longest = max(map(len, self.ids))
-        self.characters = frozenset("".join(self.ids))
-        self.neighbours = frozenset(a + b for piece in self.ids for a, b in zip(piece, piece[1:], strict=False))
+        pairs = {ord(a) << 21 | ord(b) for piece in self.ids for a, b in zip(piece, piece[1:], strict=False)}
+        self.neighbours = np.array([*sorted(pairs), 1 << 62])  # two characters side by side in a piece; the last is none
         self.reach: dict[str, int] = {}  # longest piece that ends in these three characters
         for piece in self.ids:
             if len(piece) > 2:
@@ -55,6 +55,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First bytes of the segments of texts in a buffer, and their offsets by text; each text that isn't empty starts with a space."""
     space = data == 32
@@ -100,31 +104,34 @@ class SpanIndex:
 
 
 class Parts:
-    """Numbers of the parts of segments met so far; ``add`` is told each new part, in the order of the numbers."""
+    """Numbers of the parts of segments met so far; ``add`` is told the new parts, in the order of the numbers."""
 
-    def __init__(self, model: Vocabulary, add: Callable[[str], None]):
+    def __init__(self, model: Vocabulary, add: Callable[[list[str]], None]):
         self.neighbours, self.add = model.neighbours, add
         self.spans = SpanIndex()
         self.parts: dict[str, int] = {}
         self.begins, self.members = array("q", [0]), array("q")
 
-    def _number(self, part: str) -> int:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.parts[part] = len(self.parts)
-            self.add(part)
-        return found
-
     def _cut(self, new: list[str]) -> None:
-        neighbours = self.neighbours
-        for segment in new:
-            cut = 0
-            for i in range(1, len(segment)):
-                if segment[i - 1:i + 1] not in neighbours:
-                    self.members.append(self._number(segment[cut:i]))
-                    cut = i
-            self.members.append(self._number(segment[cut:]))
-            self.begins.append(len(self.members))
+        if not new:
+            return
+        joined, known, fresh = "".join(new), self.parts, []
+        codes = code_points(joined)
+        pair = codes[:-1] << 21 | codes[1:]
+        ends = np.cumsum([len(x) for x in new])
+        first = np.concatenate([[True], self.neighbours[np.searchsorted(self.neighbours, pair)] != pair])
+        first[ends[:-1]] = True
+        cuts = np.append(np.flatnonzero(first), len(codes))
+        places, held = cuts.tolist(), len(self.members)
+        for low, high in zip(places[:-1], places[1:], strict=True):
+            part = joined[low:high]
+            number = known.get(part)
+            if number is None:
+                number = known[part] = len(known)
+                fresh.append(part)
+            self.members.append(number)
+        self.begins.frombytes((held + np.searchsorted(cuts, ends)).tobytes())
+        self.add(fresh)
 
     def sequence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parts of all texts in a buffer, one after the other, and their offsets by text."""

@@ -21,19 +21,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm import shingles as sh
-from quadrat.llm.pieces import Parts, Vocabulary, default_model, spread, vocabulary
+from quadrat.llm.pieces import Parts, Vocabulary, code_points, default_model, spread, vocabulary
 from quadrat.llm.shared import mix64, ship
 
-CACHED = 300_000  # segments whose lattices are kept in a worker; the store starts anew beyond that
-AT_ONCE = 1 << 20  # bytes of texts drawn together
+CACHED = 100_000  # segments whose lattices are kept in a worker; the store starts anew beyond that
+AT_ONCE = 1 << 18  # bytes of texts drawn, or ids decoded, together
+
+
+class Trie:
+    """Prefix tree of the pieces as sorted arrays, walked from many places of a text at a time."""
+
+    def __init__(self, ids: dict[str, int]):
+        characters = sorted(set("".join(ids)))
+        self.width = len(characters) + 1
+        self.index = np.zeros(0x110000, np.int32)  # by code point; 0: in no piece
+        self.index[[ord(c) for c in characters]] = np.arange(1, self.width)
+        nodes, steps = {"": 0}, []
+        for piece in ids:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    steps.append((nodes[piece[:k - 1]] * self.width + int(self.index[ord(piece[k - 1])]), len(nodes)))
+                    nodes[piece[:k]] = len(nodes)
+        steps.sort()
+        self.steps, self.targets = np.array([*(x for x, _ in steps), 1 << 62]), np.array([*(x for _, x in steps), 0])
+        self.piece = np.full(len(nodes), -1)
+        for piece, number in ids.items():
+            self.piece[nodes[piece]] = number
+
+    def matches(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places, lengths and ids of all pieces in a text, the longest first; ``room``: characters from each place on that a piece may take."""
+        characters = self.index[codes].astype(np.int64)
+        at, node, depth, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        while len(at):
+            step = node * self.width + characters[at + depth]
+            where = np.searchsorted(self.steps, step)
+            hit = np.flatnonzero(self.steps[where] == step)
+            at, node, depth = at[hit], self.targets[where[hit]], depth + 1
+            piece = self.piece[node]
+            full = np.flatnonzero(piece >= 0)
+            found.append((at[full], np.full(len(full), depth), piece[full]))
+            going = np.flatnonzero(room[at] > depth)
+            at, node = at[going], node[going]
+        return tuple(np.concatenate(x) for x in zip(*reversed(found), strict=True))
 
 
 class Lattices:
     """Lattices of parts as flat arrays: nodes, and the pieces that end in each node with cumulated shares."""
 
     def __init__(self, model: Vocabulary, alpha: float):
-        self.model = model
-        self.weights = {piece: ((rank + 1) ** -alpha, model.ids[piece]) for piece, rank in model.ranks.items()}
+        self.model, self.trie = model, Trie(model.ids)
+        self.weight = np.zeros(len(model.texts))
+        for piece, rank in model.ranks.items():
+            self.weight[model.ids[piece]] = (rank + 1) ** -alpha
         widths = [len(x) for x in model.texts]
         self.text_begins = np.concatenate([[0], np.cumsum(widths)])
         self.text_bytes = np.frombuffer(b"".join(model.texts), np.uint8)
@@ -45,44 +84,75 @@ class Lattices:
         self.first = array("q")  # by node: its first edge; -1 at the start of a part
         self.shares, self.back, self.piece = array("d"), array("q"), array("i")  # by edge
 
-    def add(self, segment: str) -> None:
-        weights, reach = self.weights, self.model.reach
-        first, share_of, back, piece_of = self.first.append, self.shares.append, self.back.append, self.piece.append
+    def add(self, parts: list[str]) -> None:
+        """Lattices of new parts, all of them a character further at a time."""
+        if not parts:
+            return
+        codes, sizes, numbers = code_points("".join(parts)), np.array([len(x) for x in parts]), np.arange(len(parts))
+        ends = np.cumsum(sizes)
+        roots = ends - sizes + numbers  # a part has a node more than characters
+        owner = np.repeat(numbers, sizes)
+        places, lengths, piece = self.trie.matches(codes, np.repeat(ends, sizes) - np.arange(len(codes)))
+        source, owner_of = places + owner[places], owner[places]
+        target = source + lengths
+        by_size = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(parts), np.int64)
+        rank[by_size] = numbers
+        order = np.argsort((target - roots[owner_of]) * len(parts) + rank[owner_of], kind="stable")
+        source, target, piece = source[order], target[order], piece[order]
+        shares, first_of = self._forward(source, target, self.weight[piece], (target - roots[owner_of[order]]), roots[by_size], sizes[by_size], len(codes) + len(parts))
+
         node, edge = len(self.first), len(self.back)
-        nodes, sums = [node], [1.0]
-        first(-1)
-        for i in range(1, len(segment) + 1):
-            ways, total = [], 0.0
-            for k in range(max(0, i - reach.get(segment[i - 3:i], 2)) if i > 2 else 0, i):
-                found = weights.get(segment[k:i])
-                if found is not None:
-                    total += sums[k] * found[0]
-                    ways.append((total, nodes[k], found[1]))
-            if ways:
-                node += 1
-                first(edge)
-                edge += len(ways)
-                for share, start, piece in ways[:-1]:
-                    share_of(share / total)
-                    back(start)
-                    piece_of(piece)
-                share_of(1.0)
-                back(ways[-1][1])
-                piece_of(ways[-1][2])
-            else:
-                for code in segment[i - 1].encode():
-                    first(edge)
-                    share_of(1.0)
-                    back(node)
-                    piece_of(self.model.bytes[code])
-                    node, edge = node + 1, edge + 1
-                total = sums[-1]
-            sums.append(total)
-            nodes.append(node)
-            if total < 1e-150:  # only ratios matter, and no piece reaches further back
-                for k in range(max(0, i + 1 - self.model.longest), i + 1):
-                    sums[k] *= 1e150
-        self.ends.append(node)
+        first = np.full(len(codes) + len(parts), -1)
+        first[target[first_of]] = edge + first_of
+        lone = first < 0
+        lone[roots] = False
+        self.ends.frombytes((node + roots + sizes).tobytes())
+        self.first.frombytes(first.tobytes())
+        self.shares.frombytes(shares.tobytes())
+        self.back.frombytes((node + source).tobytes())
+        self.piece.frombytes(piece.astype(np.int32).tobytes())
+        for at in np.flatnonzero(lone).tolist():  # no piece ends here: the character's bytes
+            before = node + at - 1
+            raw = chr(codes[at - 1 - np.searchsorted(roots, at) + 1]).encode()
+            for k, code in enumerate(raw):
+                self.shares.append(1.0)
+                self.back.append(before)
+                self.piece.append(self.model.bytes[code])
+                if k + 1 < len(raw):
+                    before = len(self.first)
+                    self.first.append(len(self.back) - 1)
+                else:
+                    self.first[node + at] = len(self.back) - 1
+
+    def _forward(self, source, target, weight, place, roots, sizes, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulated shares of edges and the first edge of each node that has some.
+
+        Edges are in order of their target's place in its part, then of the part; parts, ``roots`` and ``sizes``, are longest first.
+        """
+        first = np.flatnonzero(np.diff(target, prepend=-1))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(target))))
+        steps = np.arange(1, sizes[0] + 2)
+        edge_at, group_at = np.searchsorted(place, steps), np.searchsorted(place[first], steps)
+        having = np.searchsorted(-sizes, -steps, side="right")
+        sums, shares = np.ones(nodes), np.zeros(len(target))
+        for i in range(sizes[0]):
+            now = roots[:having[i]] + i + 1
+            sums[now] = sums[now - 1]
+            low, high, begin, end = edge_at[i], edge_at[i + 1], group_at[i], group_at[i + 1]
+            if high > low:
+                terms = sums[source[low:high]] * weight[low:high]
+                totals = np.add.reduceat(terms, first[begin:end] - low)
+                sums[target[first[begin:end]]] = totals
+                shares[low:high] = terms / totals[group[low:high] - begin]
+            for small in now[sums[now] < 1e-150]:  # only ratios matter, and no piece reaches further back
+                sums[max(small - i - 1, small - self.model.longest + 1):small + 1] *= 1e150
+        later = np.arange(len(target)) - first[group]
+        for k in range(1, int(later.max(initial=0)) + 1):
+            at = np.flatnonzero(later == k)
+            shares[at] += shares[at - 1]
+        shares[np.append(first[1:], len(target))[:len(first)] - 1] = 1.0
+        return shares, first
 
     def sample(self, parts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Drawn pieces of all parts in order, and how many each has."""
@@ -167,11 +237,11 @@ def decode_pieces(encoded: DataFrame, key: str = "doc_id", model_path: str | Non
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
+            bounds = ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids) else 0)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            texts = [lattices(path, 1.0).decode(flat[low:high])[1:].decode() for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            for low, high in sh.pieces(bounds, AT_ONCE):
+                texts = [lattices(path, 1.0).decode(flat[a:b])[1:].decode() for a, b in zip(bounds[low:high], bounds[low + 1:high + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, fields + ", text string")

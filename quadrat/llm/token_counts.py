@@ -36,11 +36,16 @@ class PrefixCounter:
         self.clear()
 
     def clear(self) -> None:
-        self.parts = Parts(self.model, lambda part: (self.counts.extend(self.prefix_counts(part)), self.begins.append(len(self.counts))))
+        self.parts = Parts(self.model, self.add)
         self.begins, self.counts = array("q", [0]), array("I")
         if len(self.pairs) > CACHED:
             self.pairs.clear()
 
+    def add(self, parts: list[str]) -> None:
+        for part in parts:
+            self.counts.extend(self.prefix_counts(part))
+            self.begins.append(len(self.counts))
+
     def merged(self, text: str) -> list[str]:
         """Byte-pair encoding of a short text: the adjacent pair of the lowest rank is merged, the leftmost of equals."""
         parts, ranks = list(text), self.model.ranks
