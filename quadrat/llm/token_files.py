@@ -14,6 +14,7 @@ null id last, and rows with equal ids in order of their text; no documents give
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from functools import lru_cache
@@ -51,6 +52,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -58,27 +60,36 @@ class WordIds:
 
     def clear(self) -> None:
         self.spans = SpanIndex()
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, int] = {}
+        self.part_begins, self.part_ids = array("q", [0]), array("I")
         self.begins, self.ids = array("q", [0]), array("I")
 
-    @staticmethod
-    def _cut(word: str) -> tuple[str, ...]:
-        stem = word.rstrip(ENDING)
-        if not (stem and stem.isalpha()):
-            return (word,)
-        stem, signs = stem.lower() if stem.isascii() else stem, word[len(stem):]
-        return (stem, signs) if signs else (stem,)
-
     def _add(self, new: list[str]) -> None:
-        cuts = [self._cut(word) for word in new]
-        parts = list({part for cut in cuts for part in cut}.difference(self.parts))
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for part, found in zip(parts, encode(parts, add_special_tokens=False), strict=True):
-            self.parts[part] = found.ids
-        for cut in cuts:
+        known, fresh, members, ends = self.parts, [], [], []
+        for word in new:
+            stem = word.rstrip(ENDING)
+            if stem.isalpha():
+                cut = (stem.lower() if stem.isascii() else stem, word[len(stem):])
+            else:
+                cut = (word, "")
             for part in cut:
-                self.ids.extend(self.parts[part])
-            self.begins.append(len(self.ids))
+                if part:
+                    number = known.get(part)
+                    if number is None:
+                        number = known[part] = len(known)
+                        fresh.append(part)
+                    members.append(number)
+            ends.append(len(members))
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for found in encode(fresh, add_special_tokens=False):
+            self.part_ids.extend(found.ids)
+            self.part_begins.append(len(self.part_ids))
+        begins, which = np.frombuffer(self.part_begins, np.int64), np.array(members, np.int64)
+        low, high = begins[which], begins[which + 1]
+        held = len(self.ids)
+        self.ids.frombytes(spread(np.frombuffer(self.part_ids, np.uint32), low, high).tobytes())
+        upto = np.concatenate([[0], np.cumsum(high - low)])
+        self.begins.frombytes((held + upto[np.array(ends, np.int64)]).tobytes())
 
     def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a buffer, one after the other, and their offsets by text."""
