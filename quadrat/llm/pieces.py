@@ -84,8 +84,11 @@ class SpanIndex:
     def __init__(self):
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def of(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, add: Callable[[list[str]], None]) -> np.ndarray:
-        """Number of each span; ``add`` is told the texts of new ones, which get the next numbers in this order."""
+    def of(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, add: Callable[[list[str]], None], separator: int | None = None) -> np.ndarray:
+        """Number of each span; ``add`` is told the texts of new ones, which get the next numbers in this order.
+
+        ``separator``: an ASCII code in no span, if there is one, by which the texts are taken out together.
+        """
         if not len(starts):
             return np.zeros(0, np.int64)
         hashes, first, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
@@ -97,8 +100,14 @@ class SpanIndex:
         number[known] = self.numbers[at[known]]
         new = np.flatnonzero(~known)
         number[new] = len(self.keys) + np.arange(len(new))
-        raw = data.tobytes()
-        add([raw[starts[k]:stops[k]].decode() for k in first[new]])
+        if separator is None:
+            raw = data.tobytes()
+            add([raw[starts[k]:stops[k]].decode() for k in first[new]])
+        elif len(new):
+            low, high = starts[first[new]], stops[first[new]]
+            raw = spread(np.append(data, np.uint8(separator)), low, high + 1)
+            raw[np.cumsum(high + 1 - low) - 1] = separator
+            add(raw[:-1].tobytes().decode().split(chr(separator)))
         self.keys, self.numbers = np.insert(self.keys, at[new], hashes[new]), np.insert(self.numbers, at[new], number[new])
         return number[inverse]
 

@@ -18,6 +18,7 @@ import os
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -65,21 +66,18 @@ class WordIds:
         self.begins, self.ids = array("q", [0]), array("I")
 
     def _add(self, new: list[str]) -> None:
-        known, fresh, members, ends = self.parts, [], [], []
+        held, members, ends = len(self.parts), [], []
+        number, member, end = self.parts.setdefault, members.append, ends.append
         for word in new:
             stem = word.rstrip(ENDING)
             if stem.isalpha():
-                cut = (stem.lower() if stem.isascii() else stem, word[len(stem):])
+                member(number(stem.lower() if stem.isascii() else stem, len(self.parts)))
+                if len(stem) < len(word):
+                    member(number(word[len(stem):], len(self.parts)))
             else:
-                cut = (word, "")
-            for part in cut:
-                if part:
-                    number = known.get(part)
-                    if number is None:
-                        number = known[part] = len(known)
-                        fresh.append(part)
-                    members.append(number)
-            ends.append(len(members))
+                member(number(word, len(self.parts)))
+            end(len(members))
+        fresh = list(islice(reversed(self.parts), len(self.parts) - held))[::-1]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for found in encode(fresh, add_special_tokens=False):
             self.part_ids.extend(found.ids)
@@ -94,7 +92,7 @@ class WordIds:
     def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a buffer, one after the other, and their offsets by text."""
         starts, stops, bounds = sh.word_spans(data, offsets)
-        where = self.spans.of(data, starts, stops, self._add)
+        where = self.spans.of(data, starts, stops, self._add, separator=10)
         begins, ids = np.frombuffer(self.begins, np.int64), np.frombuffer(self.ids, np.uint32)
         low, high = begins[where], begins[where + 1]
         return spread(ids, low, high), np.concatenate([[0], np.cumsum(high - low)])[bounds]
