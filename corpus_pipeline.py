@@ -35,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_dedup.find_repeats(docs, carry=["lang", "source", "n_chars"])
+    found = substring_dedup.find_repeats(docs, carry=["lang", "source", "n_chars"], whole_lines=True)
     kept = found.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 

@@ -30,7 +30,7 @@ def op4_fingerprints(spark, sf):
 
 
 def op5_substring_dedup(spark, sf):
-    return substring_dedup.find_repeats(table(spark, sf, "documents"))
+    return substring_dedup.find_repeats(table(spark, sf, "documents"), whole_lines=True)
 
 
 def op6_language_id(spark, sf):

@@ -247,6 +247,59 @@ def test_substring_dedup_same_and_no_id(spark):
     assert got == [(0, line), (0, f"{line}\n"), (1, line), (1, line), (2, "")]
 
 
+def without_lines(rows, least=10, letters=50):
+    """The same with whole lines of any length, and sentences from that many words or code points on."""
+    seen, known, out = {}, set(), {}
+    for doc_id, text in rows:
+        own = units(text or "")
+        line = [text.count("\n", 0, u[0][0]) for u in own]
+        whole = {k: tuple(w for u, at in zip(own, line, strict=True) if at == k for w in (text[a:b].translate(LOWER) for a, b in u)) for k in dict.fromkeys(line)}
+        again = set()
+        for k, key in whole.items():
+            if key in known:
+                again.add(k)
+            known.add(key)
+        repeat = []
+        for unit in own:
+            key = tuple(text[a:b].translate(LOWER) for a, b in unit)
+            repeat.append(key in seen)
+            seen.setdefault(key, doc_id)
+        gone = [at in again for at in line]
+        i = 0
+        while i < len(own):
+            j = i
+            while j < len(own) and repeat[j]:
+                j += 1
+            if sum(map(len, own[i:j])) >= least or sum(b - a for u in own[i:j] for a, b in u) >= letters:
+                gone[i:j] = [True] * (j - i)
+            i = max(j, i + 1)
+        begins = [u[0][0] for u in own] + [len(text or "")]
+        lead = (text or "")[:begins[0]]
+        out[doc_id] = (sum(gone), None if text is None else lead + "".join(text[begins[i]:begins[i + 1]] for i in range(len(own)) if not gone[i]))
+    return out
+
+
+def test_whole_lines(spark, odd, none):
+    """Short lines, a line and a paragraph without ASCII words, and a short sentence that is no whole line."""
+    cjk = "今日は天気がいいので散歩に行きましょう。"
+    texts = [
+        f"Home page\nFirst text is here.\n{cjk}\n{cjk}", "HOME  page\nYes. No.\nSecond text.", f"x\nhome page\r\n\n{cjk}\nYes. Other words.", "Yes.\nSecond text.\nyes.",
+        f"{cjk * 3} a.", f"b! {cjk * 3} A.", "Yes. No.", "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.find_repeats(docs, whole_lines=True).collect()}
+    assert got == {0: f"Home page\nFirst text is here.\n{cjk}\n", 1: "Yes. No.\nSecond text.", 2: "x\nYes. Other words.", 3: "Yes.\n", 4: texts[4], 5: "b! ", 6: "", 7: ""}
+    files = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for df in (docs, odd.select("doc_id", "text"), files):
+        want = without_lines(sorted((r["doc_id"], r["text"]) for r in df.collect()))
+        found = substring_dedup.find_repeats(df, whole_lines=True).collect()
+        assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in found} == want
+    assert substring_dedup.find_repeats(none, whole_lines=True).count() == 0
+    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in QUERIES["op5_substring_dedup"](spark, SF).collect()} == want
+    found = corpus_pipeline.without_repeats(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {k: t for k, (n, t) in want.items() if not n or words(t)}
+
+
 def viterbi(scores, penalty):
     best = scores[0].copy()
     for row in scores[1:]:
