@@ -566,7 +566,7 @@ def nb2_glm(spark, sf):
 
 @query
 def glmm_poisson(spark, sf):
-    m = fit_glmm(_rows(spark, sf), _mixed(("treatment",), "poisson", ("site", "transect", "subplot")), se="information")
+    m = fit_glmm(_rows(spark, sf), _mixed(("treatment",), "poisson", ("site", "transect", "subplot")))
     return coef_table(spark, {"poisson": m})
 
 
@@ -578,7 +578,7 @@ def glmm_nb2(spark, sf):
 
 @query
 def glmm_nb1(spark, sf):
-    m = fit_glmm(_rows(spark, sf), _mixed(crossed("treatment", "period"), "nb1", ("site", "subplot")), se="information")
+    m = fit_glmm(_rows(spark, sf), _mixed(crossed("treatment", "period"), "nb1", ("site", "subplot")))
     return variance_table(spark, {"nb1": m})
 
 
@@ -586,7 +586,7 @@ def glmm_nb1(spark, sf):
 def glmm_gaussian(spark, sf):
     rows = materialize(b.base_with_covariates(spark, sf))
     spec = ModelSpec("canopy_openness", ("pH",), None, ("site", "plot"), "gaussian")
-    return fit_table(spark, {"gaussian": fit_glmm(rows, spec, se="information")})
+    return fit_table(spark, {"gaussian": fit_glmm(rows, spec)})
 
 
 @query
@@ -604,7 +604,7 @@ def model_compare(spark, sf):
 def r2_marginal_means(spark, sf):
     """R2 by method and the marginal rates of one mixed model."""
     rows = _rows(spark, sf)
-    m = fit_glmm(rows, _mixed(crossed("treatment", "period"), "nb2", ("site", "subplot")), se="information")
+    m = fit_glmm(rows, _mixed(crossed("treatment", "period"), "nb2", ("site", "subplot")))
     r2 = diagnostics.r2_nakagawa(rows, m, ["lognormal"]).first()
     rates = contrasts.marginal_means(rows, m, ["treatment", "period"])
     return rates.withColumns({c: F.lit(r2[c]) for c in ("r2_marginal", "r2_conditional")})
@@ -617,7 +617,7 @@ def path_summary(spark, sf):
         ModelSpec("canopy_openness", ("total_ba",), None, ("site",), "gaussian"),
         ModelSpec("total_ba", ("pH",), None, ("site",), "gaussian"),
     ]
-    return paths.path_summary(rows, specs, se="information")
+    return paths.path_summary(rows, specs)
 
 
 @query
@@ -626,4 +626,4 @@ def model_registry(spark, sf):
     rows = _rows(spark, sf)
     bases = {"all": rows.withColumn("oaks", F.col("oak_count")), "noshoots": rows.withColumn("oaks", F.col("oak_count_noshoots"))}
     specs = [(n, _mixed(("treatment", "period"), "nb2", ("site", "subplot"), "period", response="oaks")) for n in bases]
-    return coef_table(spark, fit_registry(bases, specs, se="information"))
+    return coef_table(spark, fit_registry(bases, specs))

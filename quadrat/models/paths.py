@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from quadrat import catalog
 from quadrat.models import association, contrasts, diagnostics, figures, paths
 from quadrat.models.glm import coef_table, fit_glm, fit_table, score, variance_table
 from quadrat.models.glmm import _Problem, fit_glmm
@@ -204,6 +205,38 @@ def test_box_table_and_trend_of_degenerate_groups(make):
     assert [r["slope"] for r in figures.linear_trend(df, "x", "y", ["k"]).collect()] == [None] * 3
 
 
+@pytest.mark.parametrize("name", ["glmm_poisson", "glmm_nb2", "glmm_nb1", "glmm_gaussian", "r2_marginal_means", "path_summary", "model_registry"])
+def test_mixed_queries_use_the_full_hessian(monkeypatch, nested, name):
+    """Each query's fits are stopped where they ask for the covariance."""
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fixed_cov(self, point, how):
+        asked.append(how)
+        raise Asked
+
+    base = nested.selectExpr("*", "transect AS plot", "y AS oak_count", "y AS oak_count_noshoots", "z AS canopy_openness", "w AS total_ba", "z + w AS pH")
+    monkeypatch.setattr(_Problem, "fixed_cov", fixed_cov)
+    monkeypatch.setattr(_Problem, "maximise", lambda self, most: (None, True, 0))
+    for made in ("_rows", "_covered"):
+        monkeypatch.setattr(catalog, made, lambda spark, sf: base)
+    monkeypatch.setattr(catalog.b, "base_with_covariates", lambda spark, sf: base)
+    with pytest.raises(Asked):
+        catalog.QUERIES[name](nested.sparkSession, "")
+    assert set(asked) == {"hessian"}
+
+
+def test_path_summary_of_mixed_equations(nested):
+    specs = [ModelSpec("w", ("z",), None, ("site",), "gaussian"), ModelSpec("z", ("area_m2",), None, ("site",), "gaussian")]
+    claim = fit_glmm(nested, ModelSpec("w", ("z", "area_m2"), None, ("site",), "gaussian"))
+    got = paths.path_summary(nested, specs).first()
+    at = claim.terms.index("area_m2")
+    assert got["fisher_c"] == pytest.approx(-2.0 * math.log(math.erfc(abs(claim.beta[at] / claim.se[at]) / math.sqrt(2.0))), rel=1e-4)
+    assert got["claims"] == 1 and got["df"] == 2
+
+
 def test_claims_follow_from_the_equations():
     for name, (added, response) in {"sem": ("pH", "canopy_openness"), "sem_period": ("period", "canopy_openness")}.items():
         claims = paths.independence_claims(PATH_MODELS[name][1])
