@@ -21,7 +21,9 @@ def op2_embedding_dedup(spark, sf):
 
 
 def op3_token_counts(spark, sf):
-    found = token_counts.token_counts(table(spark, sf, "documents"), TOKEN_LIMIT, keep_prefixes=False)
+    path = scratch_path(spark, "prefixes")
+    token_counts.token_counts(table(spark, sf, "documents"), TOKEN_LIMIT).write.option("compression", "zstd").parquet(path)
+    found = token_counts.from_prefixes(spark.read.parquet(path), TOKEN_LIMIT)
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 

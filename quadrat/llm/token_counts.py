@@ -159,3 +159,21 @@ def token_counts(docs: DataFrame, budget: int, model_path: str | None = None, ke
     spaced = F.when(text == "", text).otherwise(F.concat(F.lit(" "), F.replace(text, F.lit(VISIBLE_SPACE), F.lit(" "))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), spaced.alias("spaced"))
     return rows.mapInArrow(run, schema)
+
+
+def from_prefixes(store: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, fit_chars, looked up in the stored prefix counts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, n_bytes, steps = batch.columns
+            tokens, fits = [], []
+            for x in steps:
+                counts = unpack(x.as_py())
+                tokens.append(int(counts[-1]))
+                fits.append(longest_within(counts, budget))
+            yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "fit_chars"])
+
+    return store.select("doc_id", "n_bytes", "prefix_steps").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fit_chars long")

@@ -13,6 +13,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from quadrat.llm import embedding_dedup, fingerprints, language_id, mixing, ngram_join, sentencepiece_sampling, substring_dedup, token_counts, token_files, url_filters
+from quadrat.llm import queries
 from quadrat.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -168,6 +169,18 @@ def test_token_counts(spark, repeated, none):
     assert token_counts.token_counts(none, 50).count() == 0
 
 
+def test_token_counts_from_the_store(spark, repeated, monkeypatch, tmp_path):
+    """The query writes the counts of all prefixes and reads its columns from them."""
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(queries, "table", lambda *_: repeated)
+    monkeypatch.setattr(queries, "TOKEN_LIMIT", 50)
+    got = queries.op3_token_counts(spark, "").select("doc_id", "n_bytes", "n_tokens", "fit_chars").collect()
+    want = token_counts.token_counts(repeated, 50, keep_prefixes=False).select("doc_id", "n_bytes", "n_tokens", "fit_chars").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    store = spark.read.parquet(f"{tmp_path}/prefixes").collect()
+    assert len(store) == len(got) and all(len(r["prefix_steps"]) == r["n_chars"] for r in store)
+
+
 def test_fingerprints(spark, odd, repeated, none):
     assert fingerprints.fingerprints(none).count() == 0
     for docs in (odd, repeated):
