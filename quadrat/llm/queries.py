@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrat.llm import embedding_dedup, fingerprints, language_id, mixing, ngram_join, sentencepiece_sampling, substring_dedup, token_counts, token_files, url_filters
+from quadrat.llm import byte_bpe, embedding_dedup, fill_in_middle, fingerprints, language_id, mixing, ngram_join, sentencepiece_sampling, source_audit, substring_dedup
+from quadrat.llm import token_counts, token_files, url_filters
 from quadrat.llm.shared import table
 from quadrat.session import scratch_path
 
@@ -60,9 +61,26 @@ def op10_token_files(spark, sf):
     return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_byte_bpe(spark, sf):
+    encoded = byte_bpe.encode(table(spark, sf, "documents"))
+    decoded = byte_bpe.decode(encoded)
+    spelled = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_source_audit(spark, sf):
+    return source_audit.source_audit(table(spark, sf, "documents"))
+
+
+def op13_fill_in_middle(spark, sf):
+    found = fill_in_middle.fill_in_middle(table(spark, sf, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256")]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_embedding_dedup, op3_token_counts, op4_fingerprints, op5_substring_dedup, op6_language_id, op7_url_filters, op8_sentencepiece,
-    op9_ngram_join, op10_token_files,
+    op9_ngram_join, op10_token_files, op11_byte_bpe, op12_source_audit, op13_fill_in_middle,
 )}
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -116,5 +134,54 @@ WITH RECURSIVE worded AS (
   SELECT a, b FROM met JOIN nodes p ON p.id = a JOIN nodes q ON q.id = b WHERE 100 * common >= 90 * (p.n + q.n - common)
 ), {COMPONENTS}
 SELECT n.id AS doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM nodes n JOIN reach r ON r.a = n.id GROUP BY n.id, n.n
+""",
+    "op12_source_audit": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+), words AS (SELECT d, lang, source, unnest(words) AS term FROM docs
+), kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+), counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total, v
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON s.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS BIGINT) AS q FROM shares
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM whole a JOIN whole b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), found AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM whole WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op13_fill_in_middle": """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS i, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90
+      THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(i, j)], '') AS p, array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS m,
+    array_to_string(u[greatest(i, j) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
 """,
 }

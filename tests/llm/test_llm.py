@@ -12,7 +12,8 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quadrat.llm import embedding_dedup, fingerprints, language_id, mixing, ngram_join, sentencepiece_sampling, substring_dedup, token_counts, token_files, url_filters
+from quadrat.llm import byte_bpe, embedding_dedup, fill_in_middle, fingerprints, language_id, mixing, ngram_join, sentencepiece_sampling, source_audit, substring_dedup
+from quadrat.llm import shingles, token_counts, token_files, url_filters
 from quadrat.llm import queries
 from quadrat.llm.queries import ORACLE, QUERIES
 
@@ -509,6 +510,138 @@ def test_block_from_checkpoint_and_checksum(spark, tmp_path, monkeypatch):
         token_files.read_tokens(spark, f"{path}-bad").collect()
 
 
+def bpe_library(path):
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+
+
+def test_byte_bpe(spark, odd, repeated, none):
+    library = bpe_library(byte_bpe.default_ranks())
+    for docs in (odd, repeated, none):
+        got = byte_bpe.decode(byte_bpe.encode(docs), at_once=3).collect()
+        want = [(r["doc_id"], library.encode_ordinary(r["text"] or ""), r["text"] or "") for r in docs.collect()]
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["ids"], r["text"])) for r in got)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_transducer_is_the_library(name, monkeypatch):
+    import public_tokenizers
+
+    rng = np.random.default_rng(8)
+    path = public_tokenizers.path(name)
+    library, machine = bpe_library(path), byte_bpe.Transducer(byte_bpe.read_ranks(path))
+    assert all(machine.edge(k)[0] for k in rng.integers(0, 50256, 3000).tolist())
+    signs = list("abstvmdelr  '  \n\t\u00a0\u3000日é🙂1٣½!.ſ\u0301ABC\x85\x0b")
+    tokens = [t for x in machine.ranks if (t := x.decode("utf-8", "ignore"))]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice(tokens, rng.integers(0, 6))) for _ in range(1500)]
+    texts += ["".join(map(chr, rng.integers(0, 0xD800, 20))) for _ in range(300)]
+    texts += ["a" * 3000, "ab" * 900, " " * 700, "\n" * 600 + "x", "'s't're'", "it's  'll I'LL ''s"]
+    data, offsets = shingles.text_buffer(texts)
+    classes = byte_bpe.code_point_classes()
+    for limit in (byte_bpe.HELD_BYTES, 1 << 16):  # the second starts anew for each part
+        monkeypatch.setattr(byte_bpe, "HELD_BYTES", limit)
+        for low, high in shingles.pieces(offsets, 1 << 14):
+            ids, bounds = machine.encode_texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], classes)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [library.encode_ordinary(t) for t in texts[low:high]]
+
+
+def test_unmerged_token_stands_for_a_whole_piece_only():
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 300, b"xyz": 301, b"cd": 258, b"abcd": 310}
+    library = __import__("tiktoken").Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    machine = byte_bpe.Transducer(ranks)
+    pieces = ["abc", "xyz", "xyza", "xy", "abcd", "abcdx", "xyzxyz", "bcd", "abxyz", "a"]
+    raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+    lengths = np.array([len(x) for x in pieces])
+    ids, counts = machine.encode_pieces(raw, np.cumsum(lengths) - lengths, lengths)
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library.encode_ordinary("abc")
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode_ordinary(x) for x in pieces]
+
+
+def test_streaming_utf8():
+    rng = np.random.default_rng(2)
+    good = "aé日🙂\u07ff\uffff\U0010ffff z".encode()
+    cases = [good, b"\xf0\x9f\x99", b"\xe0\x80\x80a", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc3", b"\x80\x80"] + [bytes(rng.integers(0x70, 0x100, 9).tolist()) for _ in range(400)]
+    for raw in cases:
+        for step in (1, 2, 3, 5):
+            stream = byte_bpe.Utf8Stream()
+            assert "".join([*[stream.feed(raw[k:k + step]) for k in range(0, len(raw), step)], stream.close()]) == raw.decode("utf-8", "replace")
+
+
+TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def audit(rows, least, top):
+    """By dictionaries, one term and group at a time."""
+    groups, count, seen = {}, {}, {}
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        groups.setdefault(lang, set()).add(source)
+        found = [t.translate(LOWER) for t in TERM.findall(text or "")]
+        for t in found:
+            count[lang, source, t] = count.get((lang, source, t), 0) + 1
+        for t in set(found):
+            seen[lang, t] = seen.get((lang, t), 0) + 1
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for (x, t), n in seen.items() if x == lang and n >= least]
+        n = {s: {t: count.get((lang, s, t), 0) for t in kept} for s in sources}
+        total = {t: sum(n[s][t] for s in sources) for t in kept}
+        share = lambda c: {t: 1 + 10**9 * (k + 5) // (sum(c.values()) + 5 * len(kept)) for t, k in c.items()}
+        p, q = {s: share(n[s]) for s in sources}, share(total)
+        for s in sources:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(q[t] - p[s][t], t.encode(), t) for t in kept if n[s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                out += [(lang, s, part, item, -v, k) for k, (v, _, item) in enumerate(sorted(found)[:most], 1)]
+    return sorted(out)
+
+
+def test_source_audit(spark, odd, repeated, none, monkeypatch):
+    long = ["x" * k + "é" * (k % 3) for k in (7, 8, 9, 15, 16, 17, 31, 32, 33, 64, 65, 5000)]
+    extra = [(100 + k, " ".join(long[k % 5:] * 2) + " Ab aB ÀB àb a1b", ["fr", "", None][k % 3], ["s", "t", "ü"][k % 2 + k % 3 // 2], 0) for k in range(12)]
+    docs = repeated.union(spark.createDataFrame(extra, SCHEMA))
+    for frame, least in ((docs, 1), (docs, 2), (docs, 50), (odd, 2), (none, 1)):
+        for cells in (source_audit.CELLS, 8):
+            monkeypatch.setattr(source_audit, "CELLS", cells)
+            got = source_audit.source_audit(frame, least, top=5).collect()
+            want = audit([(r["text"], r["lang"], r["source"]) for r in frame.collect()], least, 5)
+            assert sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in got) == want
+
+
+def test_share_is_exact_for_large_counts():
+    count, total = np.array([9 * 10**14, 123456789012345, 0]), np.array([10**15, 10**15 + 7, 5])
+    assert source_audit.share(count, total, 40_000, 5).tolist() == [1 + 10**9 * (int(c) + 5) // (int(t) + 200_000) for c, t in zip(count, total, strict=True)]
+
+
+def fim(doc_id, text):
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * k:8 * k + 8], 16) for k in range(4))
+    i, j = sorted((h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)))
+    p, m, s = ("".join(x) for x in (tokens[:i], tokens[i:j], tokens[j:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return doc_id, len(tokens), "plain", None, None, text
+    if h4 % 100 < 20:
+        return doc_id, len(tokens), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return doc_id, len(tokens), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def test_fill_in_middle(spark, odd, repeated, none):
+    rng = np.random.default_rng(4)
+    signs = list("abYZz @[`{é日🙂\u0301\x00\n.12<SPM>")
+    made = [(1000 + k, "".join(rng.choice(signs, rng.integers(0, 40))), None, None, None) for k in range(400)]
+    made += [(2000, "<P> x", None, None, None), (2001, "x <S", None, None, None), (2002, "<<S>", None, None, None), (2003, "<P<S<M", None, None, None)]
+    for docs in (odd, repeated, none, spark.createDataFrame(made, SCHEMA)):
+        found = fill_in_middle.fill_in_middle(docs)
+        got = found.withColumn("back", fill_in_middle.restored()).collect()
+        columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
+        assert sorted(repr(tuple(r[c] for c in columns)) for r in got) == sorted(repr(fim(r["doc_id"], r["text"] or "")) for r in docs.collect())
+        assert sorted(r["back"] for r in got) == sorted(r["text"] or "" for r in docs.collect())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd_rows = spark.createDataFrame([(10**6 + k, t, None, None, None) for k, t in enumerate(TEXTS)], docs.schema)
@@ -527,8 +660,8 @@ def test_pipeline(spark):
             groups = jaccard_groups({k: r["text"] for k, r in rows.items()}, 5, 80)
             assert {r["doc_id"] for r in found} == {k for k, (_, c) in groups.items() if k == c}
         if name == "substring_dedup":
-            want = without_repeats(sorted((k, r["text"]) for k, r in rows.items()))
-            assert {r["doc_id"]: r["text"] for r in found} == {k: t for k, (_, _, _, t) in want.items() if words(t)}
+            want = without_lines(sorted((k, r["text"]) for k, r in rows.items()))
+            assert {r["doc_id"]: r["text"] for r in found} == {k: t for k, (n, t) in want.items() if not n or words(t)}
             assert all(r["n_chars"] == len(r["text"]) for r in found if r["doc_id"] < 10**6)
         if name == "mixing":
             plan = mixing.taken_words(mixing.mix(before)).collect()
@@ -554,5 +687,5 @@ def test_oracles(spark, name):
 
 def test_registered():
     names = list(entry.queries())
-    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)) and "pipeline" in names
     assert "quadrat.llm.queries" in sys.modules
