@@ -18,7 +18,7 @@ nearest few of each entry and component are verified, and after linking again al
 its documents are known to be in one component, or can't link, so no component is missed.
 
 Defined cases: null text, empty text and text without words have size 0 and link with nothing; rows with the same
-``doc_id`` are one document (each row is returned, linked to the others); a null ``doc_id`` links with nothing and has a
+``doc_id`` are one document, which links by any of its texts (each row is returned, linked to the others); a null ``doc_id`` links with nothing and has a
 null component; other columns are ignored.
 """
 
@@ -292,10 +292,26 @@ def _with_end(batches):
     yield None
 
 
+def _by_text(docs: DataFrame, kept: Kept, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """As ``ngram_links`` where texts share a doc_id: each (doc_id, text) is a node, and the nodes of a doc_id are linked."""
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("node", node)
+    ids = kept.keep(docs.select("doc_id", "node").where("node is not null").distinct())
+    sizes, joined = ngram_links(docs.select(F.col("node").alias("doc_id"), "text"), kept, n, percent)
+    first = ids.groupBy("doc_id").agg(F.min("node").alias("first"))
+    same = ids.join(first.hint("merge"), "doc_id").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same), kept)
+    named = kept.keep(ids.join(joined.hint("merge"), "node").select("doc_id", "component"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    named = named.join(smallest.hint("merge"), "component").select(F.col("doc_id").alias("node"), F.col("smallest").alias("component")).distinct()
+    sizes = sizes.withColumnRenamed("doc_id", "node").join(ids.hint("merge"), "node", "left")
+    return sizes.select("doc_id", "n_shingles"), named
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included."""
     kept = Kept(docs.sparkSession, "ngram-join")
-    sizes, joined = ngram_links(docs, kept, n, percent)
+    sizes, joined = (_by_text if _repeated(docs) else ngram_links)(docs, kept, n, percent)
     joined = joined.select(F.col("node").alias("doc_id"), "component").hint("merge")
     return sizes.join(joined, "doc_id", "left").select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")

@@ -218,6 +218,7 @@ def sample_pieces(docs: DataFrame, key: str = "doc_id", seed: int = 0, alpha: fl
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces, pa.int32()))
                 own = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(np.diff(ends)), ids], [key, "text_hash", "n_chars", "n_pieces", "ids"])
+        lattices(path, alpha).clear()  # other tasks of this worker need the memory
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(

@@ -46,8 +46,10 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of texts, put together from those of their words.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words, and a word of
-    letters with signs behind it has the ids of the letters and of the signs. Words met before are looked up.
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words. A word of
+    letters with signs behind it has the ids of the letters and of the signs, provided that the letters are still nothing but
+    letters after the tokenizer's own normaliser: it would join a mark that this puts at their end with the signs. Words met
+    before are looked up.
     """
 
     def __init__(self, path: str):
@@ -66,11 +68,11 @@ class WordIds:
         self.begins, self.ids = array("q", [0]), array("I")
 
     def _add(self, new: list[str]) -> None:
-        held, members, ends = len(self.parts), [], []
+        held, members, ends, normal = len(self.parts), [], [], self.tokenizer.normalizer
         number, member, end = self.parts.setdefault, members.append, ends.append
         for word in new:
             stem = word.rstrip(ENDING)
-            if stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or normal is None or normal.normalize_str(stem).isalpha()):
                 member(number(stem.lower() if stem.isascii() else stem, len(self.parts)))
                 if len(stem) < len(word):
                     member(number(word[len(stem):], len(self.parts)))

@@ -467,6 +467,15 @@ def test_ngram_join_near_group(spark, monkeypatch):
     assert 1 < len({c for _, c in got.values()}) < 150
 
 
+def test_ngram_join_texts_of_one_id(spark):
+    """A link through any text of an id counts, whichever text is the greater."""
+    a, b, c = ("w%d " * 40 % tuple(range(k, k + 40)) for k in (0, 100, 200))
+    rows = [(1, a), (1, "z " + b), (2, a + "end"), (5, b), (5, c), (7, "z " + b + " x"), (9, c), (9, c), (11, "q " + c), (None, a), (12, None), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_join(docs, 3, 90).collect()]
+    assert sorted(got, key=repr) == sorted([(k, None if k is None else k if k == 12 else 1) for k, _ in rows], key=repr)
+
+
 def test_one_per_group(spark, repeated):
     rows = ngram_join.one_per_group(repeated).collect()
     ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
@@ -491,6 +500,20 @@ def test_token_files(spark, repeated, none, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_words_that_normalisation_changes():
+    """Each code point that the tokenizer's normaliser changes, at the end of a stem and before each sign."""
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    changed = [c for k in range(128, 0x110000) if not 0xD800 <= k < 0xE000 and tokenizer.normalizer.normalize_str(c := chr(k)) != c]
+    words_ = [f"b{c}{sign}" for c in changed for sign in token_files.ENDING] + ["BAKIRC\u0130.", "\u0130.", "e\u0301!", "\u0958,"]
+    data, offsets = shingles.text_buffer(words_)
+    ids, bounds = token_files.WordIds(path).of_texts(data, offsets)
+    want = tokenizer.encode_batch(words_, add_special_tokens=False)
+    assert [w for w, a, b, x in zip(words_, bounds, bounds[1:], want, strict=False) if ids[a:b].tolist() != x.ids] == []
+
+
 def test_block_from_checkpoint_and_checksum(spark, tmp_path, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text").coalesce(1)
     monkeypatch.setattr(token_files, "shuffle_width", lambda spark: 1)
