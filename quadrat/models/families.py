@@ -27,12 +27,30 @@ def num(x: float) -> str:
     return "CAST('Infinity' AS DOUBLE)" if math.isinf(x) else f"({float(x)!r}D)"
 
 
-def row_terms(family: str, log_disp: float) -> list[dict[str, str]]:
-    """Steps that end with the columns ``DERIVED``; the log-likelihood is complete, constants included."""
+def constants(family: str, log_disp: float) -> dict[str, float]:
+    """What the row terms take from the log of the dispersion parameter."""
     if family == "gaussian":
-        inv = num(math.exp(-2.0 * log_disp))
+        return {"c_inv": math.exp(-2.0 * log_disp), "c_base": -log_disp - 0.5 * math.log(2.0 * math.pi)}
+    if family == "nb2":
+        theta = math.exp(log_disp)
+        return {"c_theta": theta, "c_const": theta * log_disp - math.lgamma(theta), "c_slope": log_disp + 1.0 - digamma_value(theta)}
+    if family == "nb1":
+        phi = math.exp(log_disp)
+        log1 = math.log1p(phi)
+        return {"c_per": 1.0 / phi, "c_log1": log1, "c_pull": phi / (1.0 + phi), "c_lift": log_disp - log1, "c_zero": 1.0 / (1.0 + phi)}
+    return {}
+
+
+def row_terms(family: str, log_disp: float | None = None) -> list[dict[str, str]]:
+    """Steps that end with the columns ``DERIVED``; the log-likelihood is complete, constants included.
+
+    Without ``log_disp`` the rows have the names of ``constants`` as columns, so the text is the same for all values.
+    """
+    c = {name: name if log_disp is None else num(value) for name, value in constants(family, log_disp or 0.0).items()}
+    if family == "gaussian":
+        inv = c["c_inv"]
         return [{"e": "y - eta"}, {
-            "loglik": f"{num(-log_disp - 0.5 * math.log(2.0 * math.pi))} - 0.5D*e*e*{inv}",
+            "loglik": f"{c['c_base']} - 0.5D*e*e*{inv}",
             "score": f"e*{inv}", "weight": inv, "weight_eta": "0D",
             "d_loglik": f"e*e*{inv} - 1D", "d_score": f"-2D*e*{inv}", "d_weight": f"-2D*{inv}",
         }]
@@ -43,10 +61,7 @@ def row_terms(family: str, log_disp: float) -> list[dict[str, str]]:
             "d_loglik": "0D", "d_score": "0D", "d_weight": "0D",
         }]
     if family == "nb2":
-        value = math.exp(log_disp)
-        theta = num(value)
-        const = num(value * log_disp - math.lgamma(value))
-        slope = num(log_disp + 1.0 - digamma_value(value))
+        theta, const, slope = c["c_theta"], c["c_const"], c["c_slope"]
         return [
             {"total": f"exp(eta) + {theta}", "size": f"y + {theta}"},
             {"q": f"1D - {theta}/total", "logtotal": "ln(total)"},
@@ -60,19 +75,18 @@ def row_terms(family: str, log_disp: float) -> list[dict[str, str]]:
             },
         ]
     if family == "nb1":
-        phi = math.exp(log_disp)
-        log1 = math.log1p(phi)
+        log1 = c["c_log1"]
         return [
-            {"r": f"exp(eta)*{num(1.0 / phi)}"},
+            {"r": f"exp(eta)*{c['c_per']}"},
             {
-                "psi0": f"r*({digamma('(y + r)')} - {digamma('r')} - {num(log1)})",
+                "psi0": f"r*({digamma('(y + r)')} - {digamma('r')} - {log1})",
                 "psi1": f"r*r*({trigamma('(y + r)')} - {trigamma('r')})",
                 "psi2": f"r*r*r*({tetragamma('(y + r)')} - {tetragamma('r')})",
-                "pull": f"r*{num(phi / (1.0 + phi))}",
-                "loglik": f"{lgamma('(y + r)')} - {lgamma('r')} - {factorial} + y*{num(log_disp - log1)} - r*{num(log1)}",
+                "pull": f"r*{c['c_pull']}",
+                "loglik": f"{lgamma('(y + r)')} - {lgamma('r')} - {factorial} + y*{c['c_lift']} - r*{log1}",
             },
             {"score": "psi0", "weight": "-(psi0 + psi1)", "weight_eta": "-(psi0 + 3D*psi1 + psi2)", "loglik": "loglik",
-             "pull": "pull", "d_loglik": f"y*{num(1.0 / (1.0 + phi))} - psi0 - pull"},
+             "pull": "pull", "d_loglik": f"y*{c['c_zero']} - psi0 - pull"},
             {"d_score": "weight - pull", "d_weight": "pull - weight_eta"},
         ]
     raise ValueError(f"unknown family {family}")

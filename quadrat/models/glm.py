@@ -78,12 +78,12 @@ def coef_rows(model: Fit, name: str) -> list[tuple]:
     out = []
     for term, b, se in zip(model.terms, model.beta, model.se):
         z = float(b / se) if se > 0 else None
-        out.append((name, term, float(b), float(se), z, None if z is None else normal_p(z)))
+        out.append((name, term, float(b), float(se), z, None if z is None else normal_p(z), model.converged, model.full_hessian))
     return out
 
 
 def coef_table(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
-    """Estimate, standard error, z and p per term and model."""
+    """Estimate, standard error, z and p per term and model, with what is to be known of the fit."""
     return spark.createDataFrame([r for name, m in fits.items() for r in coef_rows(m, name)], COEF_SCHEMA)
 
 
@@ -103,8 +103,9 @@ def fit_table(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
 
 
 def variance_table(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
-    rows = [(name, path, float(v)) for name, m in fits.items() for path, v in variance_components(m)]
-    return spark.createDataFrame(rows, "model string, path string, variance double")
+    """Variance of each random intercept; one at its lower bound is 0 and marked."""
+    rows = [(name, path, float(v), at, m.converged) for name, m in fits.items() for path, v, at in variance_components(m)]
+    return spark.createDataFrame(rows, "model string, path string, variance double, at_bound boolean, converged boolean")
 
 
 def score(df: DataFrame, model: Fit) -> DataFrame:

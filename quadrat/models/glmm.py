@@ -1,6 +1,6 @@
-"""Mixed count-rate models with nested random intercepts, fitted as Spark aggregations.
+"""Mixed count-rate models with nested random intercepts, many of them at a time, fitted as Spark aggregations.
 
-The Laplace-approximated likelihood is maximised over theta = (fixed effects, sd per level, log dispersion).
+The Laplace-approximated likelihood is maximised over theta = (fixed effects, sd per level, log dispersion) of each model.
 Rows never leave the executors; the driver holds vectors and matrices of the size of theta.
 
 For nested intercepts the matrix of second derivatives in the intercepts is a tree, so it is eliminated level by
@@ -10,37 +10,45 @@ back down joins each level with its parents. The same elimination gives the exac
 a the pull of log det H on the intercepts and c the sensitivity of the intercepts' score to a parameter, the
 product a' H^-1 c is the sum of a_node * c_node / d over the nodes on the way up, so no second solve is needed.
 
-Cost per evaluation: two or three joins of the rows with the leaf table and one chain of small groupBys each. The
-rows are collapsed to distinct (response, design, path) first. A leaf with more collapsed rows than
-``HOT_ROWS`` is split by a content hash into several parts, so no task holds an unbounded leaf.
+All models of one family share every pass (``Batch``). Each base is scanned once: a row gives one row per model that is complete
+in it, tagged with the model's number, and equal rows (response, design, path) collapse to one with a frequency. A model with
+fewer levels has further ones on top with one node and no variance. A gaussian model's rows collapse to one per leaf, its
+means and count: what rows add within leaves is one matrix of sums per model, which the driver holds, so a pass costs the
+leaves and not the rows.
+
+The collapsed rows are written once, bucketed by model and path, and stay there: the table of intercepts, one row per leaf,
+comes to them. A leaf with more collapsed rows than ``hot_rows`` is split by a content hash into several parts, so no task holds
+an unbounded leaf. Parameters are a table with a row per model, so the plans, and the code made for them, are the same in each pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from collections.abc import Generator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quadrat.models.families import DERIVED, HAS_DISPERSION, LOG_LINK, num, row_terms
-from quadrat.models.spec import INTERCEPT, ModelSpec, design, model_rows, with_levels
+from quadrat.models.families import DERIVED, HAS_DISPERSION, LOG_LINK, constants, num, row_terms
+from quadrat.models.spec import INTERCEPT, ModelSpec, design, levels_of, log_offset
 from quadrat.session import Scratch, materialize
 
 HOT_ROWS = 200_000
-BROADCAST_NODES = 100_000
-HESSIAN_JOBS = 4
 SD_BOUNDS = (1e-3, 50.0)
 LOG_DISPERSION_BOUNDS = (-9.0, 12.0)
+NO_VARIANCE = 1e20  # precision of the levels that a model does not have
 
 
 @dataclass
 class Fit:
-    """A fitted model: small arrays, plus the table of random intercepts per deepest path."""
+    """A fitted model: small arrays, plus the table of random intercepts per deepest path.
+
+    ``at_bound`` marks levels whose sd ended at its lower bound and is given as 0; ``full_hessian`` is False where the differenced
+    Hessian gave a fixed effect no positive variance, so that the information of the fixed effects alone was taken.
+    """
 
     spec: ModelSpec
     terms: list[str]
@@ -53,6 +61,8 @@ class Fit:
     converged: bool = True
     iterations: int = 0
     effects: DataFrame | None = field(default=None, repr=False)
+    at_bound: tuple[bool, ...] = ()
+    full_hessian: bool = True
 
     @property
     def k(self) -> int:
@@ -76,7 +86,7 @@ class Fit:
 
 
 @dataclass
-class _Point:
+class Point:
     """One evaluated theta."""
 
     theta: np.ndarray
@@ -86,226 +96,70 @@ class _Point:
     state: DataFrame | None
 
 
+#: What a model asks for (theta, tolerance of the intercepts), what it is sent, what it ends with.
+Ascent = Generator[tuple[np.ndarray, float], Point, object]
+
+
 def _sum(c: Column, name: str) -> Column:
     return F.sum(c).alias(name)
 
 
-class _Problem:
-    """The prepared rows of one model and the passes over them."""
+class Model:
+    """The driver's part of one fit: vectors of the size of theta. Its methods ask for evaluations by ``yield``."""
 
-    def __init__(self, df: DataFrame, spec: ModelSpec, hot_rows: int = HOT_ROWS):
-        self.spec = with_levels(df, spec)
-        self.terms = [name for name, _ in design(self.spec)]
-        self.p, self.levels = len(self.terms), len(spec.groups)
-        self.has_disp = HAS_DISPERSION[spec.family]
+    def __init__(self, number: int, spec: ModelSpec):
+        self.number, self.spec = number, spec
+        self.terms = [name for name, _ in design(spec)]
+        self.p, self.levels, self.has_disp = len(self.terms), len(spec.groups), HAS_DISPERSION[spec.family]
         self.size = self.p + self.levels + self.has_disp
-        self.keys = [f"g{k}" for k in range(1, self.levels + 1)]
-        self.scratch = Scratch(df.sparkSession, f"fit-{spec.name or spec.response}")
-        raw = self.scratch.keep(model_rows(df, self.spec))
-        self._standardise(raw)
-        self._split(raw, hot_rows)
+        self.within: np.ndarray | None = None
 
-    def _standardise(self, raw: DataFrame) -> None:
-        """Column means and spreads of the design, and of the response for the start values."""
-        n = F.col("n")
-        cols = [*[f"x{j}" for j in range(1, self.p)], "y"]
-        one = raw.agg(
-            _sum(n, "n"), F.sum(n * F.exp("off")).alias("exposure"), F.sum(n * F.col("off")).alias("off"),
-            *[(F.sum(n * F.col(c)) / F.sum(n)).alias(f"m_{c}") for c in cols],
-        ).first()
-        if not one["n"]:
-            raise ValueError("no complete rows")
-        spread = raw.agg(*[F.sum(n * F.pow(F.col(c) - F.lit(one[f"m_{c}"]), F.lit(2.0))).alias(c) for c in cols]).first()
+    def standardise(self, one: Mapping[str, float]) -> None:
+        """Means and spreads of the design, and of the response for the start values, from sums over the rows."""
+        if not one.get("n"):
+            raise ValueError(f"no complete rows for {self.spec.name or self.spec.response}")
         self.n = int(round(one["n"]))
-        self.mean = np.array([0.0] + [one[f"m_x{j}"] for j in range(1, self.p)])
-        self.scale = np.array([1.0] + [math.sqrt(spread[f"x{j}"] / self.n) for j in range(1, self.p)])
+        self.mean = np.array([0.0] + [one[f"m{j}"] for j in range(1, self.p)])
+        self.scale = np.array([1.0] + [math.sqrt(max(one[f"v{j}"], 0.0)) for j in range(1, self.p)])
         if (self.scale <= 0).any():
-            flat = [self.terms[j] for j in range(self.p) if self.scale[j] <= 0]
-            raise ValueError(f"constant design columns: {flat}")
-        self.y_mean, self.y_var = one["m_y"], spread["y"] / self.n
+            raise ValueError(f"constant design columns: {[self.terms[j] for j in range(self.p) if self.scale[j] <= 0]}")
+        self.y_mean, self.y_var = one["my"], one["vy"]
         self.exposure, self.off_mean = one["exposure"] / self.n, one["off"] / self.n
 
-    def _split(self, raw: DataFrame, hot_rows: int) -> None:
-        """Scale the design, split hot leaves, and keep the rows laid out by leaf."""
-        scaled = raw.select(
-            "y", "off", "n", *self.keys,
-            *[((F.col(f"x{j}") - F.lit(self.mean[j])) / F.lit(self.scale[j])).alias(f"x{j}") for j in range(self.p)],
-        )
-        if not self.levels:
-            self.rows, self.start_state = scaled.persist(StorageLevel.MEMORY_AND_DISK), None
-            return
-        parts = F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int")
-        leaves = scaled.groupBy(*self.keys).agg(parts.alias("parts"))
-        hot = leaves.where(F.col("parts") > 1)
-        self.split = not hot.isEmpty()
-        if not self.split:
-            scaled = scaled.withColumn("part", F.lit(0))
-        else:
-            spread = F.pmod(F.xxhash64("y", "off", *[f"x{j}" for j in range(self.p)]), F.coalesce("parts", F.lit(1)))
-            scaled = scaled.join(hot, self.keys, "left").withColumn("part", spread.cast("int")).drop("parts")
-        laid_out = scaled.repartition(*self.keys, "part")
-        self.rows = self.scratch.keep(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
-        zero = [F.lit(0.0).alias(f"b{k}") for k in range(1, self.levels + 1)]
-        self.start_state = self.scratch.keep(leaves.select(*self.keys, "parts", *zero))
-        paths = [F.count_distinct(F.struct(*self.keys[:k])).alias(str(k)) for k in range(1, self.levels)]
-        counted = self.start_state.agg(F.count(F.lit(1)).alias("leaves"), *paths).first()
-        self.nodes = {k: counted[str(k)] for k in range(1, self.levels)} | {self.levels: counted["leaves"]}
-
-    def effects(self, point: _Point) -> DataFrame | None:
-        """Random intercepts per deepest path, under the names of the grouping columns."""
-        if not self.levels:
-            return None
-        names = [F.col(f"g{k}").alias(g) for k, g in enumerate(self.spec.groups, 1)]
-        return materialize(point.state.select(*names, *[f"b{k}" for k in range(1, self.levels + 1)]))
-
     def unscale(self) -> np.ndarray:
         """Matrix from the coefficients of the standardised design to those of the design itself."""
         back = np.diag(1.0 / self.scale)
         back[0, 1:] = -(self.mean / self.scale)[1:]
         return back
 
-    def close(self) -> None:
-        self.rows.unpersist()
-        self.scratch.clear()
-
-    # -- passes over the rows -----------------------------------------------------------------------------
-
-    def _unpack(self, theta: np.ndarray) -> tuple[np.ndarray, list[float], float]:
+    def parameters(self, theta: np.ndarray, width: int, depth: int) -> tuple[list[float], list[float], dict[str, float]]:
+        """Fixed effects and precisions, filled up to the widest model, and the family's constants."""
         sd = theta[self.p:self.p + self.levels]
-        return theta[:self.p], [1.0 / float(v * v) for v in sd], float(theta[-1]) if self.has_disp else 0.0
+        precision = [NO_VARIANCE] * (depth - self.levels) + [1.0 / float(v * v) for v in sd]
+        return [float(b) for b in theta[:self.p]] + [0.0] * (width - self.p), precision, constants(self.spec.family, float(theta[-1]) if self.has_disp else 0.0)
 
-    def _with_terms(self, state: DataFrame | None, theta: np.ndarray, want: Sequence[str]) -> DataFrame:
-        """Rows joined with the intercepts of their leaf, with the wanted row terms at ``eta``."""
-        beta, _, log_disp = self._unpack(theta)
-        rows = self.rows
-        eta = " + ".join(["off", *[f"x{j}*{num(b)}" for j, b in enumerate(beta)]])
-        if self.levels:
-            if self.split:
-                state = state.withColumn("part", F.expr("explode(sequence(0, parts - 1))"))
-                rows = rows.join(state, [*self.keys, "part"])
-            else:
-                rows = rows.join(self._small(state, self.levels), self.keys)
-            eta += "".join(f" + b{k}" for k in range(1, self.levels + 1))
-        keep = rows.columns
-        rows = rows.selectExpr(*keep, f"{eta} AS eta")
-        for step in row_terms(self.spec.family, log_disp):
-            rows = rows.withColumns({name: F.expr(text) for name, text in step.items()})
-        return rows.select(*keep, *want)
-
-    def _newton_pass(self, state: DataFrame, theta: np.ndarray) -> tuple[DataFrame, float]:
-        """One Newton step for all intercepts at once; also the pivots and variances the gradient needs."""
-        _, prec, _ = self._unpack(theta)
-        depth, keys = self.levels, self.keys
-        # On the log scale a first step can overshoot; a gaussian step is exact.
-        cap = num(3.0 if LOG_LINK[self.spec.family] else math.inf)
-        b = [f"b{k}" for k in range(1, depth + 1)]
-        state = state.select(*keys, "parts", *b)
-        rows = self._with_terms(state, theta, ["weight", "score"])
-        table = rows.groupBy(*keys, "parts", *b).agg(F.expr("sum(n*weight) AS wt"), F.expr("sum(n*score) AS sc"))
-        tables = {}
-        for k in range(depth, 0, -1):
-            own, extra = num(prec[k - 1]), ["parts"] if k == depth else []
-            table = table.selectExpr(
-                *keys[:k], *extra, *b[:k], f"wt AS wt{k}", "sc", f"greatest(wt + {own}, 1e-3D*{own}) AS d{k}",
-                f"sc - {own}*b{k} AS res{k}",
-            )
-            tables[k] = table.drop("sc", *b[:k - 1])
-            if k > 1:
-                table = table.groupBy(*keys[:k - 1], *b[:k - 1]).agg(
-                    F.expr(f"sum(wt{k}*{own}/d{k}) AS wt"), F.expr(f"sum(sc - wt{k}/d{k}*res{k}) AS sc")
-                )
-        above = tables[1].withColumns({"up": F.lit(0.0), "v": F.lit(0.0), "move": F.lit(0.0)})
-        for k in range(1, depth + 1):
-            own = num(prec[k - 1])
-            if k > 1:
-                above = tables[k].join(self._small(above, k - 1), keys[:k - 1])
-            kept = [c for c in above.columns if c not in (f"b{k}", f"res{k}", "up", "v", "move")]
-            above = above.selectExpr(
-                *kept, f"b{k}", "up", "v", "move",
-                f"greatest(least(res{k}/d{k} - wt{k}/d{k}*up, {cap}), -{cap}) AS step",
-            ).selectExpr(
-                *kept, f"b{k} + step AS b{k}", "up + step AS up", "greatest(move, abs(step)) AS move",
-                f"wt{k}*wt{k}/(d{k}*d{k})*v + 1D/d{k} AS V_{k}", f"{own}*{own}/(d{k}*d{k})*v + 1D/d{k} AS v",
-            )
-        seen = Observation()
-        new = self.scratch.keep(above.drop("up").observe(seen, F.max("move").alias("move")))
-        return new.drop("move"), seen.get["move"]
-
-    def _small(self, table: DataFrame, level: int) -> DataFrame:
-        """Marked for broadcast when the number of nodes at this level, counted beforehand, is small."""
-        return F.broadcast(table) if self.nodes[level] <= BROADCAST_NODES else table
-
-    def _sweep(self, state: DataFrame | None, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Objective, gradient and approximate information at theta, in one pass up the tree."""
-        _, prec, _ = self._unpack(theta)
-        p, depth, keys = self.p, self.levels, self.keys
-        rows = self._with_terms(state, theta, DERIVED)
-        v = "v" if depth else "0D"
-        rows = rows.withColumn("pull", F.expr(f"-0.5D*weight_eta*{v}"))
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        sums = {"val": "n*loglik"}
-        sums |= {f"gx{j}": f"n*x{j}*(score + pull)" for j in range(p)}
-        sums |= {f"h{i}_{j}": f"n*weight*x{i}*x{j}" for i, j in pairs}
-        if self.has_disp:
-            sums |= {"gd": f"n*(d_loglik - 0.5D*{v}*d_weight)", "hd": "n*d_loglik*d_loglik"}
-        totals = list(sums)
-        if not depth:
-            return self._read(theta, rows.agg(*[F.expr(f"sum({t}) AS {c}") for c, t in sums.items()]).first().asDict())
-        # Vectors eliminated along with the weights: a (from the log determinant) and the sensitivities.
-        vectors = {"a": "n*pull", **{f"cx{j}": f"n*weight*x{j}" for j in range(p)}}
-        if self.has_disp:
-            vectors["cd"] = "n*d_score"
-
-        def carried(k: int) -> list[str]:
-            return [f"{c}{q}" for q in range(1, k + 1) for c in ("b", "d", "wt", "V_")]
-
-        table = rows.groupBy(*keys, *carried(depth)).agg(
-            *[F.expr(f"sum({t}) AS {c}") for c, t in {**sums, **vectors}.items()]
-        )
-        for k in range(depth, 0, -1):
-            own, d = num(prec[k - 1]), f"d{k}"
-            out = {c: c for c in totals}
-            out["val"] = f"val - 0.5D*{own}*b{k}*b{k} - {num(-0.5 * math.log(prec[k - 1]))} - 0.5D*ln({d})"
-            out |= {f"gx{j}": f"gx{j} - a*cx{j}/{d}" for j in range(p)}
-            out |= {f"h{i}_{j}": f"h{i}_{j} - cx{i}*cx{j}/{d}" for i, j in pairs}
-            if self.has_disp:
-                out["gd"] = f"gd + a*cd/{d}"
-            out |= {f"gs{q}": f"gs{q} + a*cs{q}/{d}" for q in range(k + 1, depth + 1)}
-            out[f"gs{k}"] = f"{own}*b{k}*b{k} - (1D - {own}*V_{k}) + 2D*{own}*a*b{k}/{d}"
-            out[f"hs{k}"] = f"2D*(1D - {own}*V_{k})*(1D - {own}*V_{k})"
-            passed = [*vectors, *[f"cs{q}" for q in range(k + 1, depth + 1)]]
-            up = {c: f"{c}*{own}/{d}" for c in passed}
-            up[f"cs{k}"] = f"-2D*wt{k}/{d}*{own}*b{k}"
-            table = table.groupBy(*keys[:k - 1], *carried(k - 1)).agg(
-                *[F.expr(f"sum({t}) AS {c}") for c, t in {**out, **up}.items()]
-            )
-            totals = list(out)
-        return self._read(theta, table.first().asDict())
-
-    def _read(self, theta: np.ndarray, row: dict) -> tuple[float, np.ndarray, np.ndarray]:
+    def read(self, theta: np.ndarray, row: Mapping[str, float], depth: int, state: DataFrame | None) -> Point:
         p, grad, info = self.p, np.zeros(self.size), np.zeros((self.size, self.size))
         for j in range(p):
             grad[j] = row[f"gx{j}"]
             for i in range(j + 1):
                 info[i, j] = info[j, i] = row[f"h{i}_{j}"]
         for k in range(1, self.levels + 1):
-            sd = theta[p + k - 1]
-            grad[p + k - 1], info[p + k - 1, p + k - 1] = row[f"gs{k}"] / sd, max(row[f"hs{k}"] / sd**2, 1e-2 / self._unit() ** 2)
+            sd, level = theta[p + k - 1], k + depth - self.levels
+            grad[p + k - 1], info[p + k - 1, p + k - 1] = row[f"gs{level}"] / sd, max(row[f"hs{level}"] / sd**2, 1e-2 / self.unit() ** 2)
         if self.has_disp:
             grad[-1], info[-1, -1] = row["gd"], max(row["hd"], 1e-2)
-        return row["val"], grad, info
-
-    def evaluate(self, theta: np.ndarray, state: DataFrame | None, tol: float = 1e-4, rounds: int = 40) -> _Point:
-        """Intercepts at their mode for this theta, then objective and gradient."""
-        if self.levels:
-            for _ in range(1 if self.spec.family == "gaussian" else rounds):
-                state, move = self._newton_pass(state, theta)
-                if move < tol:
-                    break
-        value, grad, info = self._sweep(state, theta)
-        return _Point(theta, value, grad, info, state)
-
-    # -- driver side: vectors of the size of theta --------------------------------------------------------
+        value = row["val"]
+        if self.within is not None:  # what rows add to the means of their leaves
+            inv, beta = math.exp(-2.0 * theta[-1]), theta[:p]
+            xx, xy, yy = self.within[:p, :p], self.within[:p, p], self.within[p, p]
+            squares = yy - 2.0 * beta @ xy + beta @ xx @ beta
+            value -= 0.5 * inv * squares
+            grad[:p] += inv * (xy - xx @ beta)
+            info[:p, :p] += inv * xx
+            grad[-1] += inv * squares
+            info[-1, -1] = 2.0 * self.n
+        return Point(theta, float(value), grad, info, state)
 
     def start(self) -> np.ndarray:
         theta = np.zeros(self.size)
@@ -325,7 +179,7 @@ class _Problem:
         return self.clip(theta)
 
     def clip(self, theta: np.ndarray) -> np.ndarray:
-        theta, unit = theta.copy(), self._unit()
+        theta, unit = theta.copy(), self.unit()
         sd = slice(self.p, self.p + self.levels)
         theta[sd] = np.clip(theta[sd], SD_BOUNDS[0] * unit, SD_BOUNDS[1] * unit)
         if self.has_disp:
@@ -333,16 +187,16 @@ class _Problem:
             theta[-1] = np.clip(theta[-1], low + math.log(unit), high + math.log(unit))
         return theta
 
-    def _unit(self) -> float:
+    def unit(self) -> float:
         """Scale of the linear predictor: the spread of a gaussian response, 1 on the log scale."""
         return math.sqrt(max(self.y_var, 1e-12)) if not LOG_LINK[self.spec.family] else 1.0
 
-    def free(self, point: _Point) -> np.ndarray:
+    def free(self, point: Point) -> np.ndarray:
         """Parameters not pinned at a bound: moving along the gradient changes them."""
-        nudge = 1e-6 * self._unit() * np.sign(point.grad)
+        nudge = 1e-6 * self.unit() * np.sign(point.grad)
         return np.abs(self.clip(point.theta + nudge) - point.theta) > 0.0
 
-    def _direction(self, point: _Point, grad: np.ndarray, free: np.ndarray, pairs: list) -> np.ndarray:
+    def _direction(self, point: Point, grad: np.ndarray, free: np.ndarray, pairs: list) -> np.ndarray:
         """Limited-memory quasi-Newton direction on top of the information at this point."""
         info = np.where(np.outer(free, free), point.info, np.eye(self.size))
         pairs = [(np.where(free, s, 0.0), np.where(free, y, 0.0)) for s, y in pairs]
@@ -357,11 +211,11 @@ class _Problem:
             r = r + s * (alpha - (y @ r) / (s @ y))
         return np.where(free, r, 0.0)
 
-    def maximise(self, max_iter: int = 60, tol: float = 1e-5, log=None) -> tuple[_Point, bool, int]:
-        """Ascent from the start values; stops when the log-likelihood can gain less than ``tol``."""
-        unit = self._unit()
+    def maximise(self, max_iter: int = 60, tol: float = 1e-5) -> Ascent:
+        """Ascent from the start values; stops when the log-likelihood can gain less than ``tol``: point, converged, iterations."""
+        unit = self.unit()
         caps = np.array([2.0 * unit] * self.p + [0.6 * unit] * self.levels + [1.5] * self.has_disp)
-        point = self.evaluate(self.start(), self.start_state, 1e-2)
+        point = yield self.start(), 1e-2
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         exact, last, held = False, math.inf, None
         for it in range(1, max_iter + 1):
@@ -382,17 +236,15 @@ class _Problem:
                 pairs = []
                 step, gain = bounded(pairs)
             last = gain
-            if log:
-                log(f"{it}: value {point.value:.8f} expected gain {gain:.2e}")
             if gain < tol:
                 if exact:
                     return point, True, it
-                point, exact = self.evaluate(point.theta, point.state), True
+                point, exact = (yield point.theta, 1e-4), True
                 continue
             # Far from the top a rough mode of the intercepts is enough to choose the next step.
             rough = 1e-2 if gain > 0.5 else 1e-4
             for _ in range(10):
-                trial = self.evaluate(self.clip(point.theta + step), point.state, rough)
+                trial = yield self.clip(point.theta + step), rough
                 slack = 1e-9 * abs(point.value) + (1e-3 if rough > 1e-3 else 0.0)
                 if np.isfinite(trial.value) and trial.value >= point.value + 1e-4 * (grad @ step) - slack:
                     break
@@ -403,60 +255,321 @@ class _Problem:
             point, exact = trial, rough < 1e-3
         return point, False, max_iter
 
-    def hessian(self, point: _Point) -> np.ndarray:
+    def hessian(self, point: Point) -> Ascent:
         """Negative second derivatives by differences of the exact gradient; bound parameters are held."""
         free = np.flatnonzero(self.free(point))
-        se = 1.0 / np.sqrt(np.maximum(np.diag(point.info), 1e-8))
-        h = 0.01 * np.minimum(se, self._unit())
-
-        def row(i: int) -> np.ndarray:
+        h = 0.01 * np.minimum(1.0 / np.sqrt(np.maximum(np.diag(point.info), 1e-8)), self.unit())
+        rows = []
+        for i in free:
             theta = point.theta.copy()
             theta[i] += h[i]
-            moved = self.evaluate(theta, point.state, tol=1e-6)
-            return (point.grad[free] - moved.grad[free]) / h[i]
-
-        # The moved points do not depend on each other, so their Spark jobs run side by side.
-        with ThreadPoolExecutor(HESSIAN_JOBS) as pool:
-            out = np.array(list(pool.map(row, free)))
-        return 0.5 * (out + out.T)
+            moved = yield theta, 1e-6
+            rows.append((point.grad[free] - moved.grad[free]) / h[i])
+        return 0.5 * (np.array(rows) + np.array(rows).T)
 
-    def fixed_cov(self, point: _Point, how: str) -> np.ndarray:
-        """Covariance of the scaled fixed effects: from the full Hessian, or from the information alone."""
+    def fixed_cov(self, point: Point, how: str) -> Ascent:
+        """Covariance of the scaled fixed effects: from the full Hessian, or from the information alone; and which it is."""
         if how == "hessian":
-            cov = np.linalg.pinv(self.hessian(point))
+            exact = yield point.theta, 1e-6
+            cov = np.linalg.pinv((yield from self.hessian(exact)))
             if (np.diag(cov)[:self.p] > 0).all():
-                return cov[:self.p, :self.p]
-        return np.linalg.pinv(point.info[:self.p, :self.p])
+                return cov[:self.p, :self.p], True
+        return np.linalg.pinv(point.info[:self.p, :self.p]), False
+
+    def run(self, how: str, max_iter: int) -> Ascent:
+        point, converged, iterations = yield from self.maximise(max_iter)
+        cov, full = yield from self.fixed_cov(point, how)
+        return point, converged, iterations, cov, full
+
+
+class Batch:
+    """The prepared rows of models of one family, and the passes over them that all models share."""
+
+    def __init__(self, jobs: Sequence[tuple[DataFrame, ModelSpec]], hot_rows: int = HOT_ROWS):
+        (self.family,) = {spec.family for _, spec in jobs}
+        bases: dict[int, tuple[DataFrame, list[int]]] = {}
+        for number, (df, _) in enumerate(jobs):
+            bases.setdefault(id(df), (df, []))[1].append(number)
+        specs = {}
+        for df, own in bases.values():
+            specs |= zip(own, levels_of(df, [jobs[k][1] for k in own]), strict=True)
+        self.models = [Model(k, specs[k]) for k in range(len(jobs))]
+        self.p, self.levels = max(m.p for m in self.models), max(1, *[m.levels for m in self.models], 1)
+        self.keys = ["m", *[f"g{k}" for k in range(1, self.levels + 1)]]
+        self.scratch = Scratch(jobs[0][0].sparkSession, f"fit-{self.family}")
+        self.spark = self.scratch.spark
+        raw = self.scratch.keep(reduce(DataFrame.union, [self._tagged(df, own) for df, own in bases.values()]))
+        self._standardise(raw)
+        self._lay_out(hot_rows)
+
+    def _tagged(self, df: DataFrame, numbers: Sequence[int]) -> DataFrame:
+        """One scan of a base: m, path, y, off, x, n of all its models, equal rows collapsed before the shuffle."""
+        kinds = []
+        for number in numbers:
+            model = self.models[number]
+            spec, missing = model.spec, self.levels - model.levels
+            x = [c for _, c in design(spec)] + [F.lit(0.0)] * (self.p - model.p)
+            path = [F.lit("")] * missing + [F.col(g).cast("string") for g in spec.groups]
+            row = F.struct(
+                F.lit(number).alias("m"), *[g.alias(f"g{k}") for k, g in enumerate(path, 1)], F.col(spec.response).cast("double").alias("y"),
+                log_offset(spec).alias("off"), F.array(*x).alias("x"),
+            )
+            whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).isNotNull() for c in spec.variables()])
+            kinds.append(F.when(whole, row))
+        rows = df.select(F.explode(F.filter(F.array(*kinds), lambda r: r.isNotNull())).alias("r")).select("r.*")
+        return rows.groupBy(*self.keys, "y", "off", "x").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+    def _standardise(self, raw: DataFrame) -> None:
+        n = F.col("n")
+        columns = {"y": F.col("y"), **{str(j): F.col("x")[j] for j in range(1, self.p)}}
+        means = raw.groupBy("m").agg(
+            _sum(n, "n"), F.sum(n * F.exp("off")).alias("exposure"), F.sum(n * F.col("off")).alias("off"),
+            *[(F.sum(n * c) / F.sum(n)).alias(f"m{name}") for name, c in columns.items()],
+        )
+        known = {r["m"]: r.asDict() for r in means.collect()}  # a row per model
+        centre = self._table([(m, [one["my"], *[one[f"m{j}"] for j in range(1, self.p)]]) for m, one in known.items()], "m int, centre array<double>")
+        about = raw.join(F.broadcast(centre), "m")
+        spreads = about.groupBy("m").agg(*[
+            (F.sum(n * F.pow(c - F.col("centre")[k], F.lit(2.0))) / F.sum(n)).alias(f"v{name}") for k, (name, c) in enumerate(columns.items())
+        ])
+        for r in spreads.collect():
+            known[r["m"]] |= r.asDict()
+        for model in self.models:
+            model.standardise(known.get(model.number, {}))
+        fill = [0.0] * self.p
+        scales = self._table([
+            (m.number, [*map(float, m.mean), *fill][:self.p], [*map(float, m.scale), *[1.0] * self.p][:self.p]) for m in self.models
+        ], "m int, mean array<double>, scale array<double>")
+        self.scaled = raw.join(F.broadcast(scales), "m").select(
+            *self.keys, "y", "off", "n", *[((F.col("x")[j] - F.col("mean")[j]) / F.col("scale")[j]).alias(f"x{j}") for j in range(self.p)]
+        )
+
+    def _lay_out(self, hot_rows: int) -> None:
+        """Gaussian rows to leaf means; split hot leaves; rows bucketed by path, and the start of the intercepts."""
+        rows = self._leaf_means() if self.family == "gaussian" else self.scaled
+        leaves = rows.groupBy(*self.keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("parts"))
+        zero = [F.lit(0.0).alias(f"b{k}") for k in range(1, self.levels + 1)]
+        self.state = self.scratch.keep_bucketed(leaves.select(*self.keys, "parts", *zero), self.keys)
+        hot = self.state.where(F.col("parts") > 1).select(*self.keys, "parts")
+        self.split, self.place = not hot.isEmpty(), self.keys
+        if self.split:
+            spread = F.pmod(F.xxhash64("y", "off", *[f"x{j}" for j in range(self.p)]), F.coalesce("parts", F.lit(1)))
+            rows = rows.join(hot, self.keys, "left").withColumn("part", spread.cast("int")).drop("parts")
+            self.place = [*self.keys, "part"]
+        self.rows = self.scratch.keep_bucketed(rows, self.place)
+
+    def _leaf_means(self) -> DataFrame:
+        """A row per leaf with the means of its rows; each model gets the sums of squares and products about them."""
+        names = [*[f"x{j}" for j in range(self.p)], "y"]
+        y = F.col("y") - F.col("off")
+        rows = self.scaled.withColumn("y", y).withColumn("off", F.lit(0.0))
+        means = rows.groupBy(*self.keys).agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in names], _sum(F.col("n"), "n"))
+        means = self.scratch.keep(means.withColumn("off", F.lit(0.0)))
+        pairs = [(i, j) for i in range(self.p + 1) for j in range(i, self.p + 1)]
+
+        def products(df: DataFrame) -> dict[int, np.ndarray]:
+            sums = df.groupBy("m").agg(*[F.sum(F.col("n") * F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs])
+            out = {}
+            for r in sums.collect():  # a row per model
+                full = np.zeros((self.p + 1, self.p + 1))
+                for i, j in pairs:
+                    full[i, j] = full[j, i] = r[f"s{i}_{j}"]
+                out[r["m"]] = full
+            return out
+
+        whole, between = products(rows), products(means)
+        for model in self.models:
+            own = [*range(model.p), self.p]
+            model.within = (whole[model.number] - between[model.number])[np.ix_(own, own)]
+        return means.select(*self.keys, "y", "off", "n", *names[:-1])
+
+    def _table(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A row per model, from numbers that the driver holds."""
+        return self.spark.createDataFrame(rows, schema).coalesce(1)
+
+    def close(self) -> None:
+        self.scratch.clear()
+
+    # -- passes over the rows -----------------------------------------------------------------------------
+
+    def _parameters(self, thetas: Mapping[int, np.ndarray]) -> DataFrame:
+        rows, names = [], []
+        for number, theta in thetas.items():
+            beta, precision, own = self.models[number].parameters(theta, self.p, self.levels)
+            names = list(own)
+            rows.append((number, beta, precision, *own.values()))
+        return self._table(rows, ", ".join(["m int", "beta array<double>", "pr array<double>", *[f"{c} double" for c in names]]))
+
+    def _with_terms(self, state: DataFrame, par: DataFrame, want: Sequence[str]) -> DataFrame:
+        """Rows joined with the intercepts of their leaf, with the wanted row terms at ``eta``."""
+        if self.split:
+            state = state.withColumn("part", F.expr("explode(sequence(0, parts - 1))"))
+        rows = self.rows.join(state.join(F.broadcast(par), "m"), self.place)
+        eta = " + ".join(["off", *[f"x{j}*beta[{j}]" for j in range(self.p)], *[f"b{k}" for k in range(1, self.levels + 1)]])
+        keep = [c for c in rows.columns if c not in ("beta", "pr", "part")]
+        rows = rows.selectExpr(*keep, f"{eta} AS eta")
+        for step in row_terms(self.family):
+            rows = rows.withColumns({name: F.expr(text) for name, text in step.items()})
+        return rows.select(*keep, *want)
+
+    def _newton_pass(self, state: DataFrame, par: DataFrame, numbers: Sequence[int]) -> tuple[DataFrame, dict[int, float]]:
+        """One Newton step for all intercepts of all models at once; also the pivots and variances the gradient needs."""
+        depth, keys = self.levels, self.keys
+        precision = F.broadcast(par.select("m", "pr"))
+        # On the log scale a first step can overshoot; a gaussian step is exact.
+        cap = num(3.0 if LOG_LINK[self.family] else math.inf)
+        b = [f"b{k}" for k in range(1, depth + 1)]
+        state = state.select(*keys, "parts", *b)
+        rows = self._with_terms(state, par, ["weight", "score"])
+        table = rows.groupBy(*keys, "parts", *b).agg(F.expr("sum(n*weight) AS wt"), F.expr("sum(n*score) AS sc"))
+        tables = {}
+        for k in range(depth, 0, -1):
+            extra = ["parts"] if k == depth else []
+            table = table.join(precision, "m").withColumn("own", F.expr(f"pr[{k - 1}]")).selectExpr(
+                *keys[:k + 1], *extra, *b[:k], f"own AS own{k}", f"wt AS wt{k}", "sc", f"greatest(wt + own, 1e-3D*own) AS d{k}",
+                f"sc - own*b{k} AS res{k}",
+            )
+            tables[k] = table.drop("sc", *b[:k - 1])
+            if k > 1:
+                table = table.groupBy(*keys[:k], *b[:k - 1]).agg(
+                    F.expr(f"sum(wt{k}*own{k}/d{k}) AS wt"), F.expr(f"sum(sc - wt{k}/d{k}*res{k}) AS sc")
+                )
+        above = tables[1].withColumns({"up": F.lit(0.0), "v": F.lit(0.0), "move": F.lit(0.0)})
+        for k in range(1, depth + 1):
+            own = f"own{k}"
+            if k > 1:
+                above = tables[k].join(above, keys[:k])
+            kept = [c for c in above.columns if c not in (f"b{k}", f"res{k}", own, "up", "v", "move")]
+            above = above.selectExpr(
+                *kept, own, f"b{k}", "up", "v", "move",
+                f"greatest(least(res{k}/d{k} - wt{k}/d{k}*up, {cap}), -{cap}) AS step",
+            ).selectExpr(
+                *kept, f"b{k} + step AS b{k}", "up + step AS up", "greatest(move, abs(step)) AS move",
+                f"wt{k}*wt{k}/(d{k}*d{k})*v + 1D/d{k} AS V_{k}", f"{own}*{own}/(d{k}*d{k})*v + 1D/d{k} AS v",
+            )
+        seen = Observation()
+        moves = [F.max(F.when(F.col("m") == k, F.col("move"))).alias(f"m{k}") for k in numbers]
+        new = self.scratch.keep(above.drop("up").observe(seen, *moves).drop("move"))
+        return new, {k: seen.get[f"m{k}"] for k in numbers}
 
+    def _sweep(self, state: DataFrame, par: DataFrame) -> dict[int, dict]:
+        """Objective, gradient and approximate information of each model, in one pass up the tree."""
+        p, depth, keys = self.p, self.levels, self.keys
+        has_disp = HAS_DISPERSION[self.family]
+        precision = F.broadcast(par.select("m", "pr"))
+        rows = self._with_terms(state, par, DERIVED)
+        rows = rows.withColumn("pull", F.expr("-0.5D*weight_eta*v"))
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        sums = {"val": "n*loglik"}
+        sums |= {f"gx{j}": f"n*x{j}*(score + pull)" for j in range(p)}
+        sums |= {f"h{i}_{j}": f"n*weight*x{i}*x{j}" for i, j in pairs}
+        if has_disp:
+            sums |= {"gd": "n*(d_loglik - 0.5D*v*d_weight)", "hd": "n*d_loglik*d_loglik"}
+        totals = list(sums)
+        # Vectors eliminated along with the weights: a (from the log determinant) and the sensitivities.
+        vectors = {"a": "n*pull", **{f"cx{j}": f"n*weight*x{j}" for j in range(p)}}
+        if has_disp:
+            vectors["cd"] = "n*d_score"
 
-def fit_glmm(
-    df: DataFrame, spec: ModelSpec, se: str = "hessian", hot_rows: int = HOT_ROWS, max_iter: int = 60
-) -> Fit:
-    """Fit by Laplace maximum likelihood (families poisson, nb2, nb1, gaussian; any number of nested levels).
+        def carried(k: int) -> list[str]:
+            return [f"{c}{q}" for q in range(1, k + 1) for c in ("b", "d", "wt", "V_")]
 
-    ``se="information"`` skips the differenced Hessian and takes standard errors from the fixed-effect block
-    of the information, given the variance parameters. A fit that did not converge says so.
+        table = rows.groupBy(*keys, *carried(depth)).agg(*[F.expr(f"sum({t}) AS {c}") for c, t in {**sums, **vectors}.items()])
+        for k in range(depth, 0, -1):
+            own, d = "own", f"d{k}"
+            out = {c: c for c in totals}
+            out["val"] = f"val - 0.5D*{own}*b{k}*b{k} + 0.5D*ln({own}) - 0.5D*ln({d})"
+            out |= {f"gx{j}": f"gx{j} - a*cx{j}/{d}" for j in range(p)}
+            out |= {f"h{i}_{j}": f"h{i}_{j} - cx{i}*cx{j}/{d}" for i, j in pairs}
+            if has_disp:
+                out["gd"] = f"gd + a*cd/{d}"
+            out |= {f"gs{q}": f"gs{q} + a*cs{q}/{d}" for q in range(k + 1, depth + 1)}
+            out[f"gs{k}"] = f"{own}*b{k}*b{k} - (1D - {own}*V_{k}) + 2D*{own}*a*b{k}/{d}"
+            out[f"hs{k}"] = f"2D*(1D - {own}*V_{k})*(1D - {own}*V_{k})"
+            passed = [*vectors, *[f"cs{q}" for q in range(k + 1, depth + 1)]]
+            up = {c: f"{c}*{own}/{d}" for c in passed}
+            up[f"cs{k}"] = f"-2D*wt{k}/{d}*{own}*b{k}"
+            table = table.join(precision, "m").withColumn("own", F.expr(f"pr[{k - 1}]")).groupBy(*keys[:k], *carried(k - 1)).agg(
+                *[F.expr(f"sum({t}) AS {c}") for c, t in {**out, **up}.items()]
+            )
+            totals = list(out)
+        return {r["m"]: r.asDict() for r in table.collect()}  # a row per model
+
+    def evaluate(self, thetas: Mapping[int, np.ndarray], tol: Mapping[int, float], rounds: int = 40) -> dict[int, Point]:
+        """Intercepts at their mode for each model's theta, then objective and gradient."""
+        par, numbers = self._parameters(thetas), list(thetas)
+        state = self.state
+        for _ in range(1 if self.family == "gaussian" else rounds):
+            state, moves = self._newton_pass(state, par, numbers)
+            if all(moves[k] < tol[k] for k in numbers):
+                break
+        found = self._sweep(state, par)
+        self.state = state
+        return {k: self.models[k].read(thetas[k], found[k], self.levels, state) for k in numbers}
+
+    def run(self, how: str, max_iter: int) -> list[tuple]:
+        """All models side by side: each asks for its next evaluation, and one set of passes answers them all."""
+        going = {m.number: m.run(how, max_iter) for m in self.models}
+        asked = {k: next(ascent) for k, ascent in going.items()}
+        ended = {}
+        while asked:
+            points = self.evaluate({k: theta for k, (theta, _) in asked.items()}, {k: tol for k, (_, tol) in asked.items()})
+            asked = {}
+            for k, point in points.items():
+                try:
+                    asked[k] = going[k].send(point)
+                except StopIteration as stop:
+                    ended[k] = stop.value
+        return [ended[m.number] for m in self.models]
+
+    def effects(self, model: Model, point: Point) -> DataFrame | None:
+        """Random intercepts per deepest path, under the names of the grouping columns."""
+        if not model.levels:
+            return None
+        above = self.levels - model.levels
+        names = [F.col(f"g{k + above}").alias(g) for k, g in enumerate(model.spec.groups, 1)]
+        own = point.state.where(F.col("m") == model.number)
+        return materialize(own.select(*names, *[F.col(f"b{k + above}").alias(f"b{k}") for k in range(1, model.levels + 1)]))
+
+    def fit(self, model: Model, point: Point, converged: bool, iterations: int, cov: np.ndarray, full: bool) -> Fit:
+        back, theta, p, depth = model.unscale(), point.theta, model.p, model.levels
+        sds = theta[p:p + depth]
+        low = tuple(bool(v <= SD_BOUNDS[0] * model.unit() * (1 + 1e-9)) for v in sds)
+        return Fit(
+            model.spec, model.terms, back @ theta[:p], back @ cov @ back.T, point.value, model.n,
+            tuple(0.0 if at else float(v) for v, at in zip(sds, low, strict=True)), float(math.exp(theta[-1])) if model.has_disp else None,
+            converged, iterations, self.effects(model, point), low, full,
+        )
+
+
+def fit_many(jobs: Sequence[tuple[DataFrame, ModelSpec]], se: str = "hessian", hot_rows: int = HOT_ROWS, max_iter: int = 60) -> list[Fit]:
+    """Fit each (base, model) by Laplace maximum likelihood, the models of a family together.
+
+    Families are poisson, nb2, nb1 and gaussian, with any number of nested levels, none included. ``se="information"`` skips the
+    differenced Hessian and takes standard errors from the fixed-effect block of the information, given the variance
+    parameters. A fit that did not converge says so.
     """
-    problem = _Problem(df, spec, hot_rows)
-    try:
-        point, converged, iterations = problem.maximise(max_iter)
-        cov = problem.fixed_cov(point, se)
-        effects = problem.effects(point)
-    finally:
-        problem.close()
-    back = problem.unscale()
-    theta, p, depth = point.theta, problem.p, problem.levels
-    return Fit(
-        problem.spec, problem.terms, back @ theta[:p], back @ cov @ back.T, float(point.value), problem.n,
-        tuple(float(v) for v in theta[p:p + depth]),
-        float(math.exp(theta[-1])) if problem.has_disp else None, converged, iterations, effects,
-    )
-
-
-def variance_components(fit: Fit) -> Sequence[tuple[str, float]]:
-    """Variance of each random intercept, named by its path."""
+    out: dict[int, Fit] = {}
+    for family in dict.fromkeys(spec.family for _, spec in jobs):
+        own = [k for k, (_, spec) in enumerate(jobs) if spec.family == family]
+        batch = Batch([jobs[k] for k in own], hot_rows)
+        try:
+            for k, model, ended in zip(own, batch.models, batch.run(se, max_iter), strict=True):
+                out[k] = batch.fit(model, *ended)
+        finally:
+            batch.close()
+    return [out[k] for k in range(len(jobs))]
+
+
+def fit_glmm(df: DataFrame, spec: ModelSpec, se: str = "hessian", hot_rows: int = HOT_ROWS, max_iter: int = 60) -> Fit:
+    """One model, as in ``fit_many``."""
+    return fit_many([(df, spec)], se, hot_rows, max_iter)[0]
+
+
+def variance_components(fit: Fit) -> Sequence[tuple[str, float, bool]]:
+    """Variance of each random intercept, named by its path, and whether it ended at the lower bound."""
     groups = fit.spec.groups
-    return [(":".join(groups[:k]), sd * sd) for k, sd in enumerate(fit.sds, 1)]
+    return [(":".join(groups[:k]), sd * sd, at) for k, (sd, at) in enumerate(zip(fit.sds, fit.at_bound, strict=True), 1)]
 
 
-__all__ = ["Fit", "fit_glmm", "variance_components", "INTERCEPT"]
+__all__ = ["Batch", "Fit", "fit_glmm", "fit_many", "variance_components", "INTERCEPT"]

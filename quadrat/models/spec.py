@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -53,22 +54,35 @@ def crossed(*cols: str) -> tuple:
 
 
 def with_levels(df: DataFrame, spec: ModelSpec) -> ModelSpec:
-    """Fill in factor levels that are not given: one job for all factors, its result bounded in size."""
-    kinds = dict(df.dtypes)
-    wanted = [
-        c for c in spec.predictors()
-        if not spec.factors.get(c) and (c in spec.factors or kinds[c] in ("string", "boolean"))
-    ]
-    if not wanted:
-        return spec
-    pairs = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("s")) for c in wanted])
-    found = complete(df, spec).select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    rows = found.limit(len(wanted) * MAX_LEVELS + 1).collect()
-    if len(rows) > len(wanted) * MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels per factor in {wanted}")
+    """Fill in factor levels that are not given."""
+    return levels_of(df, [spec])[0]
+
+
+def levels_of(df: DataFrame, specs: Sequence[ModelSpec]) -> list[ModelSpec]:
+    """The models with the factor levels filled in that are not given: one job for all factors of all models of a base."""
+    kinds, found = dict(df.dtypes), []
+    for number, spec in enumerate(specs):
+        wanted = [
+            c for c in spec.predictors()
+            if not spec.factors.get(c) and (c in spec.factors or kinds[c] in ("string", "boolean"))
+        ]
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in spec.variables()])
+        found += [
+            F.when(whole, F.struct(F.lit(number).alias("m"), F.lit(c).alias("f"), F.col(c).cast("string").alias("s"))) for c in wanted
+        ]
+    if not found:
+        return list(specs)
+    rows = df.select(F.explode(F.array(*found)).alias("p")).where("p is not null").select("p.*").distinct()
+    rows = rows.limit(len(found) * MAX_LEVELS + 1).collect()
+    if len(rows) > len(found) * MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels per factor")
     convert = {"int": int, "bigint": int, "double": float, "boolean": lambda v: v == "true"}
-    levels = {c: sorted(convert.get(kinds[c], str)(r["s"]) for r in rows if r["f"] == c) for c in wanted}
-    return replace(spec, factors={**spec.factors, **levels})
+    levels: dict[int, dict[str, list]] = {}
+    for r in rows:
+        levels.setdefault(r["m"], {}).setdefault(r["f"], []).append(convert.get(kinds[r["f"]], str)(r["s"]))
+    return [
+        replace(spec, factors={**spec.factors, **{f: sorted(v) for f, v in levels.get(k, {}).items()}}) for k, spec in enumerate(specs)
+    ]
 
 
 def complete(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -128,4 +142,6 @@ COEF_SCHEMA = T.StructType([
     T.StructField("std_error", T.DoubleType()),
     T.StructField("statistic", T.DoubleType()),
     T.StructField("p_value", T.DoubleType()),
+    T.StructField("converged", T.BooleanType()),
+    T.StructField("full_hessian", T.BooleanType()),
 ])

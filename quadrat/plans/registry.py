@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
-from quadrat.models.glm import fit
-from quadrat.models.glmm import Fit
+from quadrat.models.glmm import Fit, fit_many
 from quadrat.models.spec import ModelSpec, crossed
 
 STS = ("site", "transect", "subplot")
@@ -76,13 +74,7 @@ PATH_MODELS = {
 }
 
 
-def fit_registry(
-    bases: Mapping[str, DataFrame], specs: Sequence[tuple[str, ModelSpec]], jobs: int = 4, **options
-) -> dict[str, Fit]:
-    """Fit each (base, model). The fits are independent, so several submit their Spark jobs side by side."""
-    def one(item: tuple[str, ModelSpec]) -> tuple[str, Fit]:
-        base, spec = item
-        return f"{base}:{spec.name}", fit(bases[base], spec, **options)
-
-    with ThreadPoolExecutor(jobs) as pool:
-        return dict(pool.map(one, specs))
+def fit_registry(bases: Mapping[str, DataFrame], specs: Sequence[tuple[str, ModelSpec]], **options) -> dict[str, Fit]:
+    """Fit each (base, model): the models of a family share every pass, and each base is scanned once for them."""
+    fits = fit_many([(bases[base], spec) for base, spec in specs], **options)
+    return {f"{base}:{spec.name}": fit for (base, spec), fit in zip(specs, fits, strict=True)}

@@ -8,7 +8,8 @@ import pytest
 from quadrat import catalog
 from quadrat.models import association, contrasts, diagnostics, figures, paths
 from quadrat.models.glm import coef_table, fit_glm, fit_table, score, variance_table
-from quadrat.models.glmm import _Problem, fit_glmm
+from quadrat.models import glmm
+from quadrat.models.glmm import Batch, fit_glmm, fit_many
 from quadrat.models.spec import INTERCEPT, ModelSpec, complete, crossed, design, with_levels
 from quadrat.plans.registry import PATH_MODELS, QUESTION_1, QUESTION_2, fit_registry
 
@@ -74,14 +75,15 @@ def test_gaussian_line(nested):
     assert band[1]["se"] < band[0]["se"]
 
 
-def _dense(problem, theta, family):
+def _dense(batch, theta, family, number=0):
     """Laplace objective from full matrices, derivatives by differences: an independent evaluation."""
-    rows = problem.rows.toPandas()
-    p, depth = problem.p, problem.levels
+    model = batch.models[number]
+    rows = batch.scaled.where(f"m = {number}").toPandas()
+    p, depth, above = model.p, model.levels, batch.levels - model.levels
     x, off, y, n = rows[[f"x{j}" for j in range(p)]].values, rows.off.values, rows.y.values, rows.n.values
     blocks = []
     for k in range(1, depth + 1):
-        path = rows[[f"g{q}" for q in range(1, k + 1)]].apply(tuple, axis=1)
+        path = rows[[f"g{q + above}" for q in range(1, k + 1)]].apply(tuple, axis=1)
         names = {v: i for i, v in enumerate(sorted(set(path)))}
         z = np.zeros((len(rows), len(names)))
         z[np.arange(len(rows)), [names[v] for v in path]] = 1
@@ -122,19 +124,54 @@ def _dense(problem, theta, family):
 
 @pytest.mark.parametrize("family", ["poisson", "nb2", "nb1", "gaussian"])
 def test_objective_and_gradient_match_dense(nested, family):
+    """Two models of one family in one batch, of other levels and terms, on two bases."""
     response, offset = ("w", None) if family == "gaussian" else ("y", "area_m2")
-    spec = ModelSpec(response, ("treatment", "z"), offset, ("site", "transect", "subplot"), family)
-    problem = _Problem(nested, spec)
-    theta = problem.start() + 0.07
-    point = problem.evaluate(theta, problem.start_state, tol=1e-9)
-    assert point.value == pytest.approx(_dense(problem, theta, family), abs=2e-4)
-    for i in range(problem.size):
-        up, down = theta.copy(), theta.copy()
-        up[i] += 1e-3
-        down[i] -= 1e-3
-        slope = (_dense(problem, up, family) - _dense(problem, down, family)) / 2e-3
-        assert point.grad[i] == pytest.approx(slope, rel=2e-3, abs=2e-2)
-    problem.close()
+    jobs = [
+        (nested, ModelSpec(response, ("treatment", "z"), offset, ("site", "transect", "subplot"), family)),
+        (nested.where("z > 0.2"), ModelSpec(response, ("z",), offset, ("site",), family)),
+    ]
+    batch = Batch(jobs)
+    thetas = {m.number: m.start() + 0.07 for m in batch.models}
+    points = batch.evaluate(thetas, dict.fromkeys(thetas, 1e-9))
+    for model in batch.models:
+        theta, point = thetas[model.number], points[model.number]
+        assert point.value == pytest.approx(_dense(batch, theta, family, model.number), abs=2e-4)
+        for i in range(model.size):
+            up, down = theta.copy(), theta.copy()
+            up[i] += 1e-3
+            down[i] -= 1e-3
+            slope = (_dense(batch, up, family, model.number) - _dense(batch, down, family, model.number)) / 2e-3
+            assert point.grad[i] == pytest.approx(slope, rel=2e-3, abs=2e-2)
+    batch.close()
+
+
+def test_rows_stay_where_they_are(spark, nested, monkeypatch):
+    """No exchange above the rows when the intercepts are joined and summed per leaf."""
+    batch = Batch([(nested, ModelSpec("y", ("treatment", "z"), "area_m2", ("site", "transect", "subplot"), "nb2"))])
+    par = batch._parameters({0: batch.models[0].start()})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        leaf = batch._with_terms(batch.state, par, ["weight"]).groupBy(*batch.keys, "parts").agg({"weight": "sum"})
+        plan = leaf._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan and "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan
+    assert batch.rows.count() > 0 and batch.scratch.tables
+    batch.close()
+    assert not batch.scratch.tables
+
+
+def test_models_of_a_batch_are_those_fitted_alone(nested):
+    specs = [
+        ModelSpec("y", ("z",), "area_m2", ("site", "subplot"), "poisson", name="mixed"), ModelSpec("y", ("treatment",), None, (), "poisson", name="plain"),
+        ModelSpec("w", ("z",), None, ("site",), "gaussian", name="line"), ModelSpec("y", crossed("treatment", "period"), "area_m2", ("site",), "poisson", name="crossed"),
+    ]
+    together = fit_many([(nested, s) for s in specs])
+    for spec, got in zip(specs, together, strict=True):
+        one = fit_glmm(nested, spec) if spec.groups else fit_glm(nested, spec)
+        assert got.converged and got.full_hessian and got.terms == one.terms
+        assert got.loglik == pytest.approx(one.loglik, abs=1e-4) and got.beta == pytest.approx(one.beta, abs=2e-3)
+        assert got.se == pytest.approx(one.se, rel=2e-2) and got.n == one.n and got.k == one.k
 
 
 def test_gaussian_fit_follows_the_unit_of_the_response(nested):
@@ -150,12 +187,12 @@ def test_gaussian_fit_follows_the_unit_of_the_response(nested):
 
 def test_split_leaves_and_row_order_do_not_matter(nested):
     spec = ModelSpec("y", ("z",), "area_m2", ("site", "transect"), "nb2")
-    whole = _Problem(nested, spec)
-    split = _Problem(nested.repartition(5).orderBy("z"), spec, hot_rows=7)
+    whole = Batch([(nested, spec)])
+    split = Batch([(nested.repartition(5).orderBy("z"), spec)], hot_rows=7)
     assert not whole.split and split.split
     assert split.rows.groupBy("g1", "g2", "part").count().agg({"count": "max"}).first()[0] < 24
-    theta = whole.start()
-    a, b = whole.evaluate(theta, whole.start_state, 1e-8), split.evaluate(theta, split.start_state, 1e-8)
+    theta = {0: whole.models[0].start()}
+    a, b = whole.evaluate(theta, {0: 1e-8})[0], split.evaluate(theta, {0: 1e-8})[0]
     assert a.value == pytest.approx(b.value, abs=1e-8)
     assert a.grad == pytest.approx(b.grad, abs=1e-6)
 
@@ -164,16 +201,17 @@ def test_mixed_fit_is_a_maximum_and_feeds_the_reports(spark, nested):
     spec = ModelSpec("y", crossed("treatment", "period"), "area_m2", ("site", "subplot"), "nb2", name="main")
     m = fit_glmm(nested, spec)
     assert m.converged and m.n == len(_rows())
-    problem = _Problem(nested, spec)
-    theta = np.concatenate([np.linalg.solve(problem.unscale(), m.beta), m.sds, [math.log(m.dispersion)]])
-    best = _dense(problem, theta, "nb2")
+    batch = Batch([(nested, spec)])
+    model = batch.models[0]
+    theta = model.clip(np.concatenate([np.linalg.solve(model.unscale(), m.beta), m.sds, [math.log(m.dispersion)]]))
+    best = _dense(batch, theta, "nb2")
     assert best == pytest.approx(m.loglik, abs=1e-3)
     for i in range(len(theta)):
         for h in (-0.05, 0.05):
             moved = theta.copy()
             moved[i] += h
-            assert _dense(problem, problem.clip(moved), "nb2") < best + 1e-4
-    problem.close()
+            assert _dense(batch, model.clip(moved), "nb2") < best + 1e-4
+    batch.close()
     # Truth: treatment acts through plots, so only the period effect and the dispersion are well determined.
     late = m.terms.index("periodlate")
     assert abs(m.beta[late] + 0.5) < 4 * m.se[late]
@@ -205,21 +243,20 @@ def test_box_table_and_trend_of_degenerate_groups(make):
     assert [r["slope"] for r in figures.linear_trend(df, "x", "y", ["k"]).collect()] == [None] * 3
 
 
-@pytest.mark.parametrize("name", ["glmm_poisson", "glmm_nb2", "glmm_nb1", "glmm_gaussian", "r2_marginal_means", "path_summary", "model_registry"])
+@pytest.mark.parametrize("name", ["glmm_poisson", "glmm_nb2", "glmm_nb1", "glmm_gaussian", "r2_marginal_means", "path_summary"])
 def test_mixed_queries_use_the_full_hessian(monkeypatch, nested, name):
-    """Each query's fits are stopped where they ask for the covariance."""
+    """Each query's fits are stopped where they begin."""
     asked = []
 
     class Asked(Exception):
         pass
 
-    def fixed_cov(self, point, how):
+    def run(self, how, most):
         asked.append(how)
         raise Asked
 
     base = nested.selectExpr("*", "transect AS plot", "y AS oak_count", "y AS oak_count_noshoots", "z AS canopy_openness", "w AS total_ba", "z + w AS pH")
-    monkeypatch.setattr(_Problem, "fixed_cov", fixed_cov)
-    monkeypatch.setattr(_Problem, "maximise", lambda self, most: (None, True, 0))
+    monkeypatch.setattr(glmm.Batch, "run", run)
     for made in ("_rows", "_covered"):
         monkeypatch.setattr(catalog, made, lambda spark, sf: base)
     monkeypatch.setattr(catalog.b, "base_with_covariates", lambda spark, sf: base)
