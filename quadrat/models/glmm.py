@@ -29,6 +29,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from quadrat.models.spec import INTERCEPT, ModelSpec, design, levels_of, log_off
 from quadrat.session import Scratch, materialize
 
 HOT_ROWS = 200_000
+BROADCAST_NODES = 100_000  # nodes of a level, counted beforehand, up to which it is broadcast to the level below
+AT_ONCE = 8  # thetas of a model that one set of passes evaluates
 SD_BOUNDS = (1e-3, 50.0)
 LOG_DISPERSION_BOUNDS = (-9.0, 12.0)
 NO_VARIANCE = 1e20  # precision of the levels that a model does not have
@@ -96,8 +99,8 @@ class Point:
     state: DataFrame | None
 
 
-#: What a model asks for (theta, tolerance of the intercepts), what it is sent, what it ends with.
-Ascent = Generator[tuple[np.ndarray, float], Point, object]
+#: What a model asks for (thetas, tolerance of the intercepts), what it is sent, what it ends with.
+Ascent = Generator[tuple[list[np.ndarray], float], list[Point], object]
 
 
 def _sum(c: Column, name: str) -> Column:
@@ -215,7 +218,7 @@ class Model:
         """Ascent from the start values; stops when the log-likelihood can gain less than ``tol``: point, converged, iterations."""
         unit = self.unit()
         caps = np.array([2.0 * unit] * self.p + [0.6 * unit] * self.levels + [1.5] * self.has_disp)
-        point = yield self.start(), 1e-2
+        (point,) = yield [self.start()], 1e-2
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         exact, last, held = False, math.inf, None
         for it in range(1, max_iter + 1):
@@ -239,12 +242,12 @@ class Model:
             if gain < tol:
                 if exact:
                     return point, True, it
-                point, exact = (yield point.theta, 1e-4), True
+                (point,), exact = (yield [point.theta], 1e-4), True
                 continue
             # Far from the top a rough mode of the intercepts is enough to choose the next step.
             rough = 1e-2 if gain > 0.5 else 1e-4
             for _ in range(10):
-                trial = yield self.clip(point.theta + step), rough
+                (trial,) = yield [self.clip(point.theta + step)], rough
                 slack = 1e-9 * abs(point.value) + (1e-3 if rough > 1e-3 else 0.0)
                 if np.isfinite(trial.value) and trial.value >= point.value + 1e-4 * (grad @ step) - slack:
                     break
@@ -259,18 +262,19 @@ class Model:
         """Negative second derivatives by differences of the exact gradient; bound parameters are held."""
         free = np.flatnonzero(self.free(point))
         h = 0.01 * np.minimum(1.0 / np.sqrt(np.maximum(np.diag(point.info), 1e-8)), self.unit())
-        rows = []
+        moved, rows = [], []
         for i in free:
-            theta = point.theta.copy()
-            theta[i] += h[i]
-            moved = yield theta, 1e-6
-            rows.append((point.grad[free] - moved.grad[free]) / h[i])
+            moved.append(point.theta.copy())
+            moved[-1][i] += h[i]
+        for k in range(0, len(free), AT_ONCE):  # they do not depend on each other
+            points = yield moved[k:k + AT_ONCE], 1e-6
+            rows += [(point.grad[free] - at.grad[free]) / h[i] for i, at in zip(free[k:k + AT_ONCE], points, strict=True)]
         return 0.5 * (np.array(rows) + np.array(rows).T)
 
     def fixed_cov(self, point: Point, how: str) -> Ascent:
         """Covariance of the scaled fixed effects: from the full Hessian, or from the information alone; and which it is."""
         if how == "hessian":
-            exact = yield point.theta, 1e-6
+            (exact,) = yield [point.theta], 1e-6
             cov = np.linalg.pinv((yield from self.hessian(exact)))
             if (np.diag(cov)[:self.p] > 0).all():
                 return cov[:self.p, :self.p], True
@@ -296,6 +300,7 @@ class Batch:
         self.models = [Model(k, specs[k]) for k in range(len(jobs))]
         self.p, self.levels = max(m.p for m in self.models), max(1, *[m.levels for m in self.models], 1)
         self.keys = ["m", *[f"g{k}" for k in range(1, self.levels + 1)]]
+        self.nodes = ["m", "t", *self.keys[1:]]  # t: number of the theta
         self.scratch = Scratch(jobs[0][0].sparkSession, f"fit-{self.family}")
         self.spark = self.scratch.spark
         raw = self.scratch.keep(reduce(DataFrame.union, [self._tagged(df, own) for df, own in bases.values()]))
@@ -350,6 +355,9 @@ class Batch:
         leaves = rows.groupBy(*self.keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("parts"))
         zero = [F.lit(0.0).alias(f"b{k}") for k in range(1, self.levels + 1)]
         self.state = self.scratch.keep_bucketed(leaves.select(*self.keys, "parts", *zero), self.keys)
+        paths = [F.count_distinct(F.struct(*self.keys[:k + 1])).alias(str(k)) for k in range(1, self.levels)]
+        counted = self.state.agg(F.count(F.lit(1)).alias(str(self.levels)), *paths).first().asDict()
+        self.n_nodes = {int(k): n for k, n in counted.items()}
         hot = self.state.where(F.col("parts") > 1).select(*self.keys, "parts")
         self.split, self.place = not hot.isEmpty(), self.keys
         if self.split:
@@ -384,27 +392,35 @@ class Batch:
         return means.select(*self.keys, "y", "off", "n", *names[:-1])
 
     def _table(self, rows: list[tuple], schema: str) -> DataFrame:
-        """A row per model, from numbers that the driver holds."""
-        return self.spark.createDataFrame(rows, schema).coalesce(1)
+        """A row per model, from numbers that the driver holds: as an Arrow table it is part of the plan, and no job reads it."""
+        names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
+        arrow = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        columns = [pa.array(values, arrow[kind]) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return self.spark.createDataFrame(pa.table(columns, names=list(names)))
 
     def close(self) -> None:
         self.scratch.clear()
 
     # -- passes over the rows -----------------------------------------------------------------------------
 
-    def _parameters(self, thetas: Mapping[int, np.ndarray]) -> DataFrame:
+    def _parameters(self, thetas: Mapping[int, Sequence[np.ndarray]]) -> DataFrame:
         rows, names = [], []
-        for number, theta in thetas.items():
-            beta, precision, own = self.models[number].parameters(theta, self.p, self.levels)
-            names = list(own)
-            rows.append((number, beta, precision, *own.values()))
-        return self._table(rows, ", ".join(["m int", "beta array<double>", "pr array<double>", *[f"{c} double" for c in names]]))
+        for number, own in thetas.items():
+            for t, theta in enumerate(own):
+                beta, precision, fixed = self.models[number].parameters(theta, self.p, self.levels)
+                names = list(fixed)
+                rows.append((number, t, beta, precision, *fixed.values()))
+        return self._table(rows, ", ".join(["m int", "t int", "beta array<double>", "pr array<double>", *[f"{c} double" for c in names]]))
+
+    def _small(self, table: DataFrame, level: int, thetas: int) -> DataFrame:
+        """Marked for broadcast when the nodes of this level, counted beforehand, are few."""
+        return F.broadcast(table) if self.n_nodes[level] * thetas <= BROADCAST_NODES else table
 
     def _with_terms(self, state: DataFrame, par: DataFrame, want: Sequence[str]) -> DataFrame:
         """Rows joined with the intercepts of their leaf, with the wanted row terms at ``eta``."""
         if self.split:
             state = state.withColumn("part", F.expr("explode(sequence(0, parts - 1))"))
-        rows = self.rows.join(state.join(F.broadcast(par), "m"), self.place)
+        rows = self.rows.join(state.join(F.broadcast(par), ["m", "t"]), self.place)
         eta = " + ".join(["off", *[f"x{j}*beta[{j}]" for j in range(self.p)], *[f"b{k}" for k in range(1, self.levels + 1)]])
         keep = [c for c in rows.columns if c not in ("beta", "pr", "part")]
         rows = rows.selectExpr(*keep, f"{eta} AS eta")
@@ -412,10 +428,10 @@ class Batch:
             rows = rows.withColumns({name: F.expr(text) for name, text in step.items()})
         return rows.select(*keep, *want)
 
-    def _newton_pass(self, state: DataFrame, par: DataFrame, numbers: Sequence[int]) -> tuple[DataFrame, dict[int, float]]:
+    def _newton_pass(self, state: DataFrame, par: DataFrame, numbers: Sequence[int], thetas: int = 1) -> tuple[DataFrame, dict[int, float]]:
         """One Newton step for all intercepts of all models at once; also the pivots and variances the gradient needs."""
-        depth, keys = self.levels, self.keys
-        precision = F.broadcast(par.select("m", "pr"))
+        depth, keys = self.levels, self.nodes
+        precision = F.broadcast(par.select("m", "t", "pr"))
         # On the log scale a first step can overshoot; a gaussian step is exact.
         cap = num(3.0 if LOG_LINK[self.family] else math.inf)
         b = [f"b{k}" for k in range(1, depth + 1)]
@@ -425,20 +441,20 @@ class Batch:
         tables = {}
         for k in range(depth, 0, -1):
             extra = ["parts"] if k == depth else []
-            table = table.join(precision, "m").withColumn("own", F.expr(f"pr[{k - 1}]")).selectExpr(
-                *keys[:k + 1], *extra, *b[:k], f"own AS own{k}", f"wt AS wt{k}", "sc", f"greatest(wt + own, 1e-3D*own) AS d{k}",
+            table = table.join(precision, ["m", "t"]).withColumn("own", F.expr(f"pr[{k - 1}]")).selectExpr(
+                *keys[:k + 2], *extra, *b[:k], f"own AS own{k}", f"wt AS wt{k}", "sc", f"greatest(wt + own, 1e-3D*own) AS d{k}",
                 f"sc - own*b{k} AS res{k}",
             )
             tables[k] = table.drop("sc", *b[:k - 1])
             if k > 1:
-                table = table.groupBy(*keys[:k], *b[:k - 1]).agg(
+                table = table.groupBy(*keys[:k + 1], *b[:k - 1]).agg(
                     F.expr(f"sum(wt{k}*own{k}/d{k}) AS wt"), F.expr(f"sum(sc - wt{k}/d{k}*res{k}) AS sc")
                 )
         above = tables[1].withColumns({"up": F.lit(0.0), "v": F.lit(0.0), "move": F.lit(0.0)})
         for k in range(1, depth + 1):
             own = f"own{k}"
             if k > 1:
-                above = tables[k].join(above, keys[:k])
+                above = tables[k].join(self._small(above, k - 1, thetas), keys[:k + 1])
             kept = [c for c in above.columns if c not in (f"b{k}", f"res{k}", own, "up", "v", "move")]
             above = above.selectExpr(
                 *kept, own, f"b{k}", "up", "v", "move",
@@ -452,11 +468,11 @@ class Batch:
         new = self.scratch.keep(above.drop("up").observe(seen, *moves).drop("move"))
         return new, {k: seen.get[f"m{k}"] for k in numbers}
 
-    def _sweep(self, state: DataFrame, par: DataFrame) -> dict[int, dict]:
-        """Objective, gradient and approximate information of each model, in one pass up the tree."""
-        p, depth, keys = self.p, self.levels, self.keys
+    def _sweep(self, state: DataFrame, par: DataFrame) -> dict[tuple[int, int], dict]:
+        """Objective, gradient and approximate information of each model and theta, in one pass up the tree."""
+        p, depth, keys = self.p, self.levels, self.nodes
         has_disp = HAS_DISPERSION[self.family]
-        precision = F.broadcast(par.select("m", "pr"))
+        precision = F.broadcast(par.select("m", "t", "pr"))
         rows = self._with_terms(state, par, DERIVED)
         rows = rows.withColumn("pull", F.expr("-0.5D*weight_eta*v"))
         pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -489,35 +505,36 @@ class Batch:
             passed = [*vectors, *[f"cs{q}" for q in range(k + 1, depth + 1)]]
             up = {c: f"{c}*{own}/{d}" for c in passed}
             up[f"cs{k}"] = f"-2D*wt{k}/{d}*{own}*b{k}"
-            table = table.join(precision, "m").withColumn("own", F.expr(f"pr[{k - 1}]")).groupBy(*keys[:k], *carried(k - 1)).agg(
+            table = table.join(precision, ["m", "t"]).withColumn("own", F.expr(f"pr[{k - 1}]")).groupBy(*keys[:k + 1], *carried(k - 1)).agg(
                 *[F.expr(f"sum({t}) AS {c}") for c, t in {**out, **up}.items()]
             )
             totals = list(out)
-        return {r["m"]: r.asDict() for r in table.collect()}  # a row per model
+        return {(r["m"], r["t"]): r.asDict() for r in table.collect()}  # a row per model and theta
 
-    def evaluate(self, thetas: Mapping[int, np.ndarray], tol: Mapping[int, float], rounds: int = 40) -> dict[int, Point]:
-        """Intercepts at their mode for each model's theta, then objective and gradient."""
-        par, numbers = self._parameters(thetas), list(thetas)
-        state = self.state
+    def evaluate(self, thetas: Mapping[int, Sequence[np.ndarray]], tol: Mapping[int, float], rounds: int = 40) -> dict[int, list[Point]]:
+        """Intercepts at their mode for each theta of each model, then objective and gradient."""
+        par, numbers, most = self._parameters(thetas), list(thetas), max(map(len, thetas.values()))
+        state = self.state.join(F.broadcast(par.select("m", "t")), "m")
         for _ in range(1 if self.family == "gaussian" else rounds):
-            state, moves = self._newton_pass(state, par, numbers)
+            state, moves = self._newton_pass(state, par, numbers, most)
             if all(moves[k] < tol[k] for k in numbers):
                 break
         found = self._sweep(state, par)
-        self.state = state
-        return {k: self.models[k].read(thetas[k], found[k], self.levels, state) for k in numbers}
+        # A model's next search begins where its first theta's ended; ended models are not asked for again.
+        self.state = state.where("t = 0").drop("t")
+        return {k: [self.models[k].read(theta, found[k, t], self.levels, self.state) for t, theta in enumerate(own)] for k, own in thetas.items()}
 
     def run(self, how: str, max_iter: int) -> list[tuple]:
-        """All models side by side: each asks for its next evaluation, and one set of passes answers them all."""
+        """All models side by side: each asks for its next evaluations, and one set of passes answers them all."""
         going = {m.number: m.run(how, max_iter) for m in self.models}
         asked = {k: next(ascent) for k, ascent in going.items()}
         ended = {}
         while asked:
-            points = self.evaluate({k: theta for k, (theta, _) in asked.items()}, {k: tol for k, (_, tol) in asked.items()})
+            points = self.evaluate({k: thetas for k, (thetas, _) in asked.items()}, {k: tol for k, (_, tol) in asked.items()})
             asked = {}
-            for k, point in points.items():
+            for k, found in points.items():
                 try:
-                    asked[k] = going[k].send(point)
+                    asked[k] = going[k].send(found)
                 except StopIteration as stop:
                     ended[k] = stop.value
         return [ended[m.number] for m in self.models]

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat import catalog
 from quadrat.models import association, contrasts, diagnostics, figures, paths
@@ -132,9 +133,9 @@ def test_objective_and_gradient_match_dense(nested, family):
     ]
     batch = Batch(jobs)
     thetas = {m.number: m.start() + 0.07 for m in batch.models}
-    points = batch.evaluate(thetas, dict.fromkeys(thetas, 1e-9))
+    points = batch.evaluate({k: [t + 0.01, t] for k, t in thetas.items()}, dict.fromkeys(thetas, 1e-9))
     for model in batch.models:
-        theta, point = thetas[model.number], points[model.number]
+        theta, point = thetas[model.number], points[model.number][1]
         assert point.value == pytest.approx(_dense(batch, theta, family, model.number), abs=2e-4)
         for i in range(model.size):
             up, down = theta.copy(), theta.copy()
@@ -148,10 +149,10 @@ def test_objective_and_gradient_match_dense(nested, family):
 def test_rows_stay_where_they_are(spark, nested, monkeypatch):
     """No exchange above the rows when the intercepts are joined and summed per leaf."""
     batch = Batch([(nested, ModelSpec("y", ("treatment", "z"), "area_m2", ("site", "transect", "subplot"), "nb2"))])
-    par = batch._parameters({0: batch.models[0].start()})
+    par = batch._parameters({0: [batch.models[0].start()]})
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        leaf = batch._with_terms(batch.state, par, ["weight"]).groupBy(*batch.keys, "parts").agg({"weight": "sum"})
+        leaf = batch._with_terms(batch.state.join(F.broadcast(par.select("m", "t")), "m"), par, ["weight"]).groupBy(*batch.nodes, "parts").agg({"weight": "sum"})
         plan = leaf._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -191,8 +192,8 @@ def test_split_leaves_and_row_order_do_not_matter(nested):
     split = Batch([(nested.repartition(5).orderBy("z"), spec)], hot_rows=7)
     assert not whole.split and split.split
     assert split.rows.groupBy("g1", "g2", "part").count().agg({"count": "max"}).first()[0] < 24
-    theta = {0: whole.models[0].start()}
-    a, b = whole.evaluate(theta, {0: 1e-8})[0], split.evaluate(theta, {0: 1e-8})[0]
+    theta = {0: [whole.models[0].start()]}
+    a, b = whole.evaluate(theta, {0: 1e-8})[0][0], split.evaluate(theta, {0: 1e-8})[0][0]
     assert a.value == pytest.approx(b.value, abs=1e-8)
     assert a.grad == pytest.approx(b.grad, abs=1e-6)
 
