@@ -160,3 +160,12 @@ def zone_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zone_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widen(zone_long(spark, sf_dir), ["site", "plot", "area_type"], levels=SPECIES)
+
+
+def tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tidy table: counts per visit, species and shoot flag with covariates, once per zone of the plot."""
+    ph = subplots(spark, sf_dir).select("subplot", "pH")
+    rows = left_join_on(filled(spark, sf_dir), canopy(spark, sf_dir), {"subplot": "Subplot"})
+    rows = left_join_on(rows, ph, ["subplot"])
+    wide = zone_wide(spark, sf_dir).select("site", "plot", "area_type", "total_ba", F.col("standard_ba").alias("quercus_sp_ba"))
+    return left_join_on(rows, wide, ["site", "plot"], salts=16)

@@ -15,7 +15,8 @@ from quadrat.models.glmm import fit_glmm
 from quadrat.models.spec import ModelSpec, crossed
 from quadrat.operators import aggregates, columns, filters, joins
 from quadrat.plans import basal_area as ba
-from quadrat.plans.registry import fit_registry
+from quadrat.plans.bases import modelling_bases as study_bases
+from quadrat.plans.registry import all_specs, fit_registry
 from quadrat.plans.zero_fill import zero_fill
 from quadrat.plans.zones import assign_zone_table, zone_area
 from quadrat.session import materialize, scratch_path
@@ -476,25 +477,25 @@ def _covered(spark, sf) -> DataFrame:
 @query
 def poisson_glm(spark, sf):
     m = fit_glm(_rows(spark, sf), _poisson(("treatment",)))
-    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic"))
+    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic", "p_value"))
 
 
 @query
 def poisson_glm_no_offset(spark, sf):
     m = fit_glm(_rows(spark, sf), _poisson(("treatment",), None))
-    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic"))
+    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic", "p_value"))
 
 
 @query
 def poisson_glm_saturated(spark, sf):
     m = fit_glm(_rows(spark, sf), _poisson(crossed("treatment", "period")))
-    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error"), 5)
+    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic", "p_value"), 5)
 
 
 @query
 def poisson_glm_year_factor(spark, sf):
     m = fit_glm(_rows(spark, sf), _poisson(("year",), factors={"year": []}))
-    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error"), 5)
+    return rounded(coef_table(spark, {"m": m}).select("term", "estimate", "std_error", "statistic", "p_value"), 5)
 
 
 @query
@@ -543,7 +544,7 @@ def _gaussian_paths() -> list[ModelSpec]:
 @query
 def path_coefs(spark, sf):
     rows = _covered(spark, sf)
-    return rounded(paths.path_coefs(rows, _gaussian_paths()).drop("p_value"), 5)
+    return rounded(paths.path_coefs(rows, _gaussian_paths()), 5)
 
 
 @query
@@ -620,10 +621,33 @@ def path_summary(spark, sf):
     return paths.path_summary(rows, specs)
 
 
+def _study_bases(spark, sf) -> dict[str, DataFrame]:
+    """The bases of the study's fits, each kept as a table that several jobs read."""
+    tidy = materialize(b.tidy(spark, sf))
+    area = zone_area(b.ZONE_AREAS, code="site", plot="plot")
+    return {name: materialize(df) for name, df in study_bases(tidy, b.FOCAL, b.EARLY, area).items()}
+
+
+@query
+def modelling_bases(spark, sf):
+    """All rows of all bases of the fit list, with the base's name."""
+    both = [df.withColumn("base", F.lit(name)) for name, df in _study_bases(spark, sf).items()]
+    out = both[0]
+    for df in both[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return rounded(out)
+
+
 @query
 def model_registry(spark, sf):
-    """One model over the base with and without shoots, fitted side by side."""
-    rows = _rows(spark, sf)
-    bases = {"all": rows.withColumn("oaks", F.col("oak_count")), "noshoots": rows.withColumn("oaks", F.col("oak_count_noshoots"))}
-    specs = [(n, _mixed(("treatment", "period"), "nb2", ("site", "subplot"), "period", response="oaks")) for n in bases]
-    return coef_table(spark, fit_registry(bases, specs))
+    """The study's 37 fits over their bases; the models of a family share every pass."""
+    return coef_table(spark, fit_registry(_study_bases(spark, sf), all_specs()))
+
+
+@query
+def glmm_gaussian_site(spark, sf):
+    """One random intercept: the profile likelihood has a closed form, so SQL can follow."""
+    rows = materialize(b.base_with_covariates(spark, sf))
+    m = fit_glmm(rows, ModelSpec("canopy_openness", ("pH",), None, ("plot",), "gaussian"), tol=1e-11)
+    out = fit_table(spark, {"gaussian": m}).select("n", "k", "loglik", F.col("dispersion").alias("sigma"), "converged")
+    return rounded(out.withColumns({"sd_plot": F.lit(m.sds[0]), "intercept": F.lit(float(m.beta[0])), "slope": F.lit(float(m.beta[1])), "aic": F.lit(float(m.aic))}), 4)

@@ -280,8 +280,8 @@ class Model:
                 return cov[:self.p, :self.p], True
         return np.linalg.pinv(point.info[:self.p, :self.p]), False
 
-    def run(self, how: str, max_iter: int) -> Ascent:
-        point, converged, iterations = yield from self.maximise(max_iter)
+    def run(self, how: str, max_iter: int, tol: float) -> Ascent:
+        point, converged, iterations = yield from self.maximise(max_iter, tol)
         cov, full = yield from self.fixed_cov(point, how)
         return point, converged, iterations, cov, full
 
@@ -524,9 +524,9 @@ class Batch:
         self.state = state.where("t = 0").drop("t")
         return {k: [self.models[k].read(theta, found[k, t], self.levels, self.state) for t, theta in enumerate(own)] for k, own in thetas.items()}
 
-    def run(self, how: str, max_iter: int) -> list[tuple]:
+    def run(self, how: str, max_iter: int, tol: float) -> list[tuple]:
         """All models side by side: each asks for its next evaluations, and one set of passes answers them all."""
-        going = {m.number: m.run(how, max_iter) for m in self.models}
+        going = {m.number: m.run(how, max_iter, tol) for m in self.models}
         asked = {k: next(ascent) for k, ascent in going.items()}
         ended = {}
         while asked:
@@ -559,28 +559,30 @@ class Batch:
         )
 
 
-def fit_many(jobs: Sequence[tuple[DataFrame, ModelSpec]], se: str = "hessian", hot_rows: int = HOT_ROWS, max_iter: int = 60) -> list[Fit]:
+def fit_many(
+    jobs: Sequence[tuple[DataFrame, ModelSpec]], se: str = "hessian", hot_rows: int = HOT_ROWS, max_iter: int = 60, tol: float = 1e-5
+) -> list[Fit]:
     """Fit each (base, model) by Laplace maximum likelihood, the models of a family together.
 
     Families are poisson, nb2, nb1 and gaussian, with any number of nested levels, none included. ``se="information"`` skips the
     differenced Hessian and takes standard errors from the fixed-effect block of the information, given the variance
-    parameters. A fit that did not converge says so.
+    parameters. ``tol`` is what the log-likelihood may still gain at the end. A fit that did not converge says so.
     """
     out: dict[int, Fit] = {}
     for family in dict.fromkeys(spec.family for _, spec in jobs):
         own = [k for k, (_, spec) in enumerate(jobs) if spec.family == family]
         batch = Batch([jobs[k] for k in own], hot_rows)
         try:
-            for k, model, ended in zip(own, batch.models, batch.run(se, max_iter), strict=True):
+            for k, model, ended in zip(own, batch.models, batch.run(se, max_iter, tol), strict=True):
                 out[k] = batch.fit(model, *ended)
         finally:
             batch.close()
     return [out[k] for k in range(len(jobs))]
 
 
-def fit_glmm(df: DataFrame, spec: ModelSpec, se: str = "hessian", hot_rows: int = HOT_ROWS, max_iter: int = 60) -> Fit:
+def fit_glmm(df: DataFrame, spec: ModelSpec, **options) -> Fit:
     """One model, as in ``fit_many``."""
-    return fit_many([(df, spec)], se, hot_rows, max_iter)[0]
+    return fit_many([(df, spec)], **options)[0]
 
 
 def variance_components(fit: Fit) -> Sequence[tuple[str, float, bool]]:

@@ -164,7 +164,7 @@ def _one_factor(offset: bool) -> str:
     return _with("base") + f""", cell AS (SELECT treatment, ln(sum(oak_count) / {exposure}) AS l, 1.0 / sum(oak_count) AS v
           FROM base GROUP BY treatment),
         c AS (SELECT * FROM cell WHERE treatment = 'control'), t AS (SELECT * FROM cell WHERE treatment = 'thinned')
-        SELECT term, round(e, 6) AS estimate, round(s, 6) AS std_error, round(e / s, 6) AS statistic FROM (
+        SELECT term, round(e, 6) AS estimate, round(s, 6) AS std_error, round(e / s, 6) AS statistic, round({_normal_p("e / s")}, 6) AS p_value FROM (
           SELECT '(Intercept)' AS term, c.l AS e, sqrt(c.v) AS s FROM c
           UNION ALL SELECT 'treatmentthinned', t.l - c.l, sqrt(t.v + c.v) FROM c, t)"""
 
@@ -359,16 +359,16 @@ ORACLE: dict[str, str] = {
           max(v) FILTER (WHERE treatment = 'control' AND period = 'late') AS vcl,
           max(v) FILTER (WHERE treatment = 'thinned' AND period = 'early') AS vte,
           max(v) FILTER (WHERE treatment = 'thinned' AND period = 'late') AS vtl FROM c)
-        SELECT term, round(e, 5) AS estimate, round(s, 5) AS std_error FROM (
+        SELECT term, round(e, 5) AS estimate, round(s, 5) AS std_error, round(e / s, 5) AS statistic, round(""" + _normal_p("e / s") + """, 5) AS p_value FROM (
           SELECT '(Intercept)' AS term, ce AS e, sqrt(vce) AS s FROM k
           UNION ALL SELECT 'treatmentthinned', te - ce, sqrt(vte + vce) FROM k
           UNION ALL SELECT 'periodlate', cl - ce, sqrt(vcl + vce) FROM k
           UNION ALL SELECT 'treatmentthinned:periodlate', tl - te - cl + ce, sqrt(vtl + vte + vcl + vce) FROM k)""",
     "poisson_glm_year_factor": _with("base") + """, c AS (SELECT year, ln(sum(oak_count) / sum(area_m2)) AS l,
           1.0 / sum(oak_count) AS v FROM base GROUP BY year), z AS (SELECT * FROM c WHERE year = (SELECT min(year) FROM c))
-        SELECT CASE WHEN c.year = z.year THEN '(Intercept)' ELSE 'year' || c.year END AS term,
-          round(CASE WHEN c.year = z.year THEN c.l ELSE c.l - z.l END, 5) AS estimate,
-          round(sqrt(CASE WHEN c.year = z.year THEN c.v ELSE c.v + z.v END), 5) AS std_error FROM c, z""",
+        SELECT term, round(e, 5) AS estimate, round(s, 5) AS std_error, round(e / s, 5) AS statistic, round(""" + _normal_p("e / s") + """, 5) AS p_value FROM (
+          SELECT CASE WHEN c.year = z.year THEN '(Intercept)' ELSE 'year' || c.year END AS term,
+            CASE WHEN c.year = z.year THEN c.l ELSE c.l - z.l END AS e, sqrt(CASE WHEN c.year = z.year THEN c.v ELSE c.v + z.v END) AS s FROM c, z)""",
     "model_aic": _with("base") + _poisson_aic("offset", "sum(area_m2)", "rate * area_m2") + " UNION ALL "
         + _poisson_aic("no_offset", "count(*)", "rate"),
     "overdispersion": _with("fitted") + """SELECT count(*) AS n, round(sum((oak_count - mu) * (oak_count - mu) / mu), 5) AS chi2,
@@ -392,9 +392,62 @@ ORACLE: dict[str, str] = {
         round(1 / (1 - pow(corr(canopy_openness, "pH"), 2)), 6) AS vif FROM cov WHERE canopy_openness IS NOT NULL""",
     "path_coefs": _with("cc") + """, p AS (SELECT 'canopy_openness' AS response, 'total_ba' AS predictor, canopy_openness AS y,
           total_ba AS x FROM cc UNION ALL SELECT 'total_ba', 'pH', total_ba, "pH" FROM cc)
-        SELECT response, predictor, round(regr_slope(y, x), 5) AS estimate,
-          round(sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*) / regr_sxx(y, x)), 5) AS std_error,
-          round(regr_slope(y, x) * stddev_samp(x) / stddev_samp(y), 5) AS std_estimate FROM p GROUP BY 1, 2""",
+        SELECT response, predictor, round(e, 5) AS estimate, round(s, 5) AS std_error, round(""" + _normal_p("e / s") + """, 5) AS p_value, round(d, 5) AS std_estimate FROM (
+          SELECT response, predictor, regr_slope(y, x) AS e,
+            sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*) / regr_sxx(y, x)) AS s,
+            regr_slope(y, x) * stddev_samp(x) / stddev_samp(y) AS d FROM p GROUP BY 1, 2)""",
     "indirect_effects": _with("cc") + """SELECT 'pH' AS source, 'total_ba' AS through, 'canopy_openness' AS target,
         round(regr_slope(canopy_openness, total_ba) * regr_slope(total_ba, "pH"), 5) AS indirect FROM cc""",
 }
+
+
+def _zoom(levels: int) -> str:
+    """Profile likelihood over a grid of log variance ratios, then over finer grids about the best of each."""
+    def grid(k: int) -> str:
+        ends = "-14.0 AS low, 6.0 AS high" if k == 0 else f"r - {20.0 / 200 * (2 / 200) ** (k - 1)} AS low, r + {20.0 / 200 * (2 / 200) ** (k - 1)} AS high FROM best{k - 1}"
+        return f"""at{k} AS (SELECT low + (high - low) * i / 200 AS r FROM (SELECT {ends}), generate_series(0, 200) AS t(i)),
+        sums{k} AS (SELECT r, any_value(t.n) AS n, sum(ln(1 + leaf.n * exp(r))) AS logdet,
+            any_value(t.n) - sum(leaf.n * leaf.n * w) AS a, any_value(t.x) - sum(leaf.n * leaf.x * w) AS b, any_value(t.xx) - sum(leaf.x * leaf.x * w) AS c,
+            any_value(t.y) - sum(leaf.n * leaf.y * w) AS d, any_value(t.xy) - sum(leaf.x * leaf.y * w) AS e, any_value(t.yy) - sum(leaf.y * leaf.y * w) AS f
+          FROM (SELECT r, leaf.*, exp(r) / (1 + leaf.n * exp(r)) AS w FROM at{k}, leaf) AS leaf, tot AS t GROUP BY r),
+        fits{k} AS (SELECT *, (d * c - b * e) / (a * c - b * b) AS b0, (a * e - b * d) / (a * c - b * b) AS b1 FROM sums{k}),
+        lik{k} AS (SELECT *, (f - b0 * d - b1 * e) / n AS s2 FROM fits{k}),
+        best{k} AS (SELECT * FROM (SELECT *, -0.5 * n * (ln(2 * pi() * s2) + 1) - 0.5 * logdet AS ll FROM lik{k}) ORDER BY ll DESC LIMIT 1)"""
+
+    return ",\n        ".join(grid(k) for k in range(levels))
+
+
+ORACLE["modelling_bases"] = _with("filled", "reading", "spot", "zwide") + f""", tidy AS (SELECT {', '.join('filled.' + c for c in V.split(', '))}, species, shoot,
+          density, canopy_openness, "pH", area_type, total_ba, standard_ba FROM filled LEFT JOIN reading ON reading.subplot = filled.subplot
+          LEFT JOIN spot ON spot.subplot = filled.subplot LEFT JOIN zwide ON zwide.site = filled.site AND zwide.plot = filled.plot),
+        z AS (SELECT subplot, year, bool_or(area_type = 'extended') AS ext, bool_or(area_type = 'core') AS core,
+          max({_zone_area()}) FILTER (WHERE area_type = 'core') AS ac, max({_zone_area()}) FILTER (WHERE area_type = 'extended') AS ae,
+          max(total_ba) FILTER (WHERE area_type = 'core') AS tc, max(total_ba) FILTER (WHERE area_type = 'extended') AS te,
+          max(standard_ba) FILTER (WHERE area_type = 'core') AS sc, max(standard_ba) FILTER (WHERE area_type = 'extended') AS se,
+          max(total_ba) AS t, max(standard_ba) AS s FROM tidy GROUP BY subplot, year),
+        kept AS (SELECT * FROM tidy WHERE species = 'STANDARD' AND area_type IS DISTINCT FROM 'extended'),
+        core AS (SELECT {V}, sum(density) AS every, COALESCE(sum(density) FILTER (WHERE NOT shoot), 0) AS others, max(canopy_openness) AS canopy_openness,
+          max("pH") AS "pH", max(total_ba) AS total_ba, max(standard_ba) AS quercus_sp_ba FROM kept GROUP BY {V}),
+        wide AS (SELECT core.* EXCLUDE (total_ba, quercus_sp_ba), CASE WHEN ext THEN (tc * ac + te * ae) / (ac + ae) WHEN z.core THEN tc ELSE t END AS total_ba,
+          CASE WHEN ext THEN (sc * ac + se * ae) / (ac + ae) WHEN z.core THEN sc ELSE s END AS quercus_sp_ba FROM core JOIN z USING (subplot, year)),
+        visits AS (SELECT 'oaks_all' AS base, every AS oak_count, * FROM core UNION ALL SELECT 'oaks_noshoots', others, * FROM core
+          UNION ALL SELECT 'oaks_all_ext', every, * EXCLUDE (total_ba, quercus_sp_ba), total_ba, quercus_sp_ba FROM wide
+          UNION ALL SELECT 'oaks_noshoots_ext', others, * EXCLUDE (total_ba, quercus_sp_ba), total_ba, quercus_sp_ba FROM wide),
+        spans AS (SELECT {K}, CASE WHEN year IN (1995, 1996, 1997) THEN 'early' ELSE 'late' END AS period, floor(avg(others) + 0.5) AS oak_count,
+          avg(canopy_openness) AS canopy_openness, avg("pH") AS "pH", avg(total_ba) AS total_ba, avg(quercus_sp_ba) AS quercus_sp_ba
+          FROM core GROUP BY ALL),
+        found AS (SELECT base, {V}, oak_count, canopy_openness, "pH", total_ba, quercus_sp_ba,
+            CASE WHEN year IN (1995, 1996, 1997) THEN 'early' ELSE 'late' END AS period, year - avg(year) OVER (PARTITION BY base) AS year_c FROM visits
+          UNION ALL SELECT 'oaks_2025', {V}, others, canopy_openness, "pH", total_ba, quercus_sp_ba, NULL, NULL FROM core
+            WHERE total_ba IS NOT NULL AND canopy_openness IS NOT NULL AND "pH" IS NOT NULL
+          UNION ALL SELECT b.base, {V.replace('year', 'NULL')}, oak_count, canopy_openness, "pH", total_ba, quercus_sp_ba, period, NULL FROM spans,
+            (VALUES ('oaks_period'), ('oaks_0305'), ('oaks_sem')) AS b(base) WHERE base = 'oaks_period' OR (base = 'oaks_0305' AND period = 'early')
+              OR (base = 'oaks_sem' AND total_ba IS NOT NULL AND canopy_openness IS NOT NULL))
+        SELECT base, {V}, CAST(oak_count AS BIGINT) AS oak_count, {_r('canopy_openness', 'pH', 'total_ba', 'quercus_sp_ba', 'year_c')}, period FROM found"""
+
+ORACLE["glmm_gaussian_site"] = _with("cov") + f""", good AS (SELECT plot, canopy_openness - 50 AS y, "pH" AS x FROM cov WHERE canopy_openness IS NOT NULL AND "pH" IS NOT NULL),
+        leaf AS (SELECT plot, CAST(count(*) AS DOUBLE) AS n, sum(x) AS x, sum(y) AS y FROM good GROUP BY plot),
+        tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM good),
+        {_zoom(5)}
+        SELECT CAST(n AS BIGINT) AS n, CAST(4 AS INTEGER) AS k, round(ll, 4) AS loglik, round(sqrt(s2), 4) AS sigma, TRUE AS converged,
+          round(sqrt(s2 * exp(r)), 4) AS sd_plot, round(b0 + 50, 4) AS intercept, round(b1, 4) AS slope, round(8 - 2 * ll, 4) AS aic FROM best4"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.nulls import in_set
@@ -22,13 +22,16 @@ def core_rows(tidy: DataFrame) -> DataFrame:
     return without_value(tidy, "area_type", "extended")
 
 
-def extended_rows(tidy: DataFrame) -> DataFrame:
-    """Rows whose basal area is the mean over core and extended zone, weighted by zone area."""
-    area = zone_area(v.ZONE_AREAS_HA, code="site", plot="plot", names=v.SITE_NAMES)
+def extended_rows(tidy: DataFrame, area: Column | None = None) -> DataFrame:
+    """Rows whose basal area is the mean over core and extended zone, weighted by zone area (the study's, if none is given)."""
+    if area is None:
+        area = zone_area(v.ZONE_AREAS_HA, code="site", plot="plot", names=v.SITE_NAMES)
     return weighted_zone_mean(tidy, VISIT, AREA_COLS, area)
 
 
-def analysis_base(tidy: DataFrame, variant: str, focal: str = v.FOCAL_SPECIES) -> DataFrame:
+def analysis_base(
+    tidy: DataFrame, variant: str, focal: str = v.FOCAL_SPECIES, early: Sequence[int] = tuple(v.EARLY_YEARS), area: Column | None = None
+) -> DataFrame:
     """Base by name.
 
     ``oaks_all`` / ``oaks_noshoots`` (and ``_ext``) have one row per visit and ``oak_count``; ``oaks_period``,
@@ -39,15 +42,15 @@ def analysis_base(tidy: DataFrame, variant: str, focal: str = v.FOCAL_SPECIES) -
         species = {"oak_density": {"species": focal}, "others_density": {"exclude": focal}}.get(variant, {})
         return sum_counts(core_rows(tidy), [*VISIT, "area_m2", *COVARIATES], "density", variant, **species)
     if variant in ("oaks_all", "oaks_noshoots", "oaks_all_ext", "oaks_noshoots_ext"):
-        rows = extended_rows(tidy) if variant.endswith("_ext") else core_rows(tidy)
+        rows = extended_rows(tidy, area) if variant.endswith("_ext") else core_rows(tidy)
         base = visit_counts(rows, [*VISIT, "area_m2"], focal, COVARIATES)
         if variant.startswith("oaks_noshoots"):
             base = base.withColumn("oak_count", F.col("oak_count_noshoots"))
         return base.drop("oak_count_noshoots")
-    base = analysis_base(tidy, "oaks_noshoots", focal)
+    base = analysis_base(tidy, "oaks_noshoots", focal, early, area)
     if variant == "oaks_2025":
         return complete_cases(base, ["total_ba", "canopy_openness", "pH"])
-    period = period_base(base)
+    period = period_base(base, early)
     if variant == "oaks_period":
         return period
     if variant == "oaks_0305":
@@ -62,17 +65,15 @@ def period_base(base: DataFrame, early: Sequence[int] = tuple(v.EARLY_YEARS)) ->
     return collapse_period(base, [*keys, "area_m2"], {"early": list(early)}, "late", "oak_count", COVARIATES)
 
 
-def others_basal_area(base: DataFrame) -> DataFrame:
-    return base.withColumn("others_ba", F.col("total_ba") - F.col("quercus_sp_ba"))
-
-
-def modelling_bases(tidy: DataFrame) -> dict[str, DataFrame]:
+def modelling_bases(
+    tidy: DataFrame, focal: str = v.FOCAL_SPECIES, early: Sequence[int] = tuple(v.EARLY_YEARS), area: Column | None = None
+) -> dict[str, DataFrame]:
     """Every base of the fit list by name, with ``period`` and the centred year where models use them."""
     out = {}
     for name in ("oaks_all", "oaks_noshoots", "oaks_all_ext", "oaks_noshoots_ext"):
-        base = analysis_base(tidy, name)
-        period = F.when(in_set("year", v.EARLY_YEARS), "early").otherwise("late")
+        base = analysis_base(tidy, name, focal, early, area)
+        period = F.when(in_set("year", early), "early").otherwise("late")
         out[name] = center(base.withColumn("period", period), "year", "year_c")
     for name in ("oaks_period", "oaks_0305", "oaks_2025", "oaks_sem"):
-        out[name] = analysis_base(tidy, name)
+        out[name] = analysis_base(tidy, name, focal, early, area)
     return out

@@ -74,6 +74,11 @@ PATH_MODELS = {
 }
 
 
+def all_specs() -> list[tuple[str, ModelSpec]]:
+    """Every fit of the study: both questions and the equations of the path models."""
+    return QUESTION_1 + QUESTION_2 + [(base, spec) for base, equations in PATH_MODELS.values() for spec in equations]
+
+
 def fit_registry(bases: Mapping[str, DataFrame], specs: Sequence[tuple[str, ModelSpec]], **options) -> dict[str, Fit]:
     """Fit each (base, model): the models of a family share every pass, and each base is scanned once for them."""
     fits = fit_many([(bases[base], spec) for base, spec in specs], **options)
