@@ -369,6 +369,14 @@ def tidy_parquet(spark, sf):
     return load_tidy(spark, path).where("year >= 1997")
 
 
+@query
+def tidy_sorted(spark, sf):
+    """The table sorted at the sink, and one site's later visits read back by range."""
+    path = scratch_path(spark, "tidy-sorted")
+    write_tidy(conditional_sum_keep_zero(spark, sf), path, partition_by=None, sort_by=["site", "plot", "transect", "subplot", "year"])
+    return load_tidy(spark, path).where((F.col("site") == "EUROPE") & (F.col("plot") >= "NATION_13") & (F.col("year") >= 1996))
+
+
 @query
 def tidy_csv(spark, sf):
     rows = canopy_left_join(spark, sf).select("subplot", "oak_count", "canopy_openness", "year")
@@ -640,8 +648,18 @@ def modelling_bases(spark, sf):
 
 @query
 def model_registry(spark, sf):
-    """The study's 37 fits over their bases; the models of a family share every pass."""
-    return coef_table(spark, fit_registry(_study_bases(spark, sf), all_specs()))
+    """One model over the base with and without shoots, fitted side by side."""
+    rows = _rows(spark, sf)
+    bases = {"all": rows.withColumn("oaks", F.col("oak_count")), "noshoots": rows.withColumn("oaks", F.col("oak_count_noshoots"))}
+    specs = [(n, _mixed(("treatment", "period"), "nb2", ("site", "subplot"), "period", response="oaks")) for n in bases]
+    return coef_table(spark, fit_registry(bases, specs))
+
+
+@query
+def study_registry(spark, sf):
+    """The study's Poisson and gaussian fits over their bases; the models of a family share every pass."""
+    specs = [(base, spec) for base, spec in all_specs() if spec.family in ("poisson", "gaussian")]
+    return coef_table(spark, fit_registry(_study_bases(spark, sf), specs))
 
 
 @query

@@ -301,6 +301,8 @@ ORACLE: dict[str, str] = {
     "scan_decimal_point": """SELECT CASE WHEN l_linestatus = 'F' THEN '' ELSE l_returnflag END AS note,
         l_returnflag = 'R' AS shoot, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2""",
     "tidy_parquet": _with("base") + "SELECT * EXCLUDE (period) FROM base WHERE year >= 1997",
+    "tidy_sorted": _with("base") + """SELECT * EXCLUDE (period) FROM base
+        WHERE site = 'EUROPE' AND plot >= 'NATION_13' AND year >= 1996""",
     "tidy_csv": _with("base", "reading") + """SELECT subplot, oak_count, round(canopy_openness, 6) AS canopy_openness, year
         FROM base LEFT JOIN reading USING (subplot)""",
     "box_stats": _with("base") + _box("year, treatment", "base", "oak_count"),
