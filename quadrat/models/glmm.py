@@ -196,7 +196,7 @@ class Model:
 
     def free(self, point: Point) -> np.ndarray:
         """Parameters not pinned at a bound: moving along the gradient changes them."""
-        nudge = 1e-6 * self.unit() * np.sign(point.grad)
+        nudge = 1e-6 * self.unit() * np.where(point.grad < 0, -1.0, 1.0)
         return np.abs(self.clip(point.theta + nudge) - point.theta) > 0.0
 
     def _direction(self, point: Point, grad: np.ndarray, free: np.ndarray, pairs: list) -> np.ndarray:
