@@ -412,7 +412,7 @@ def linear_trend(spark, sf):
 @query
 def trend_band(spark, sf):
     lines = figures.linear_trend(b.base_with_covariates(spark, sf), "pH", "oak_count", ["treatment"])
-    return rounded(figures.trend_band(lines, 20).drop("lower", "upper"))
+    return rounded(figures.trend_band(lines, 20))
 
 
 @query
@@ -435,12 +435,13 @@ def point_layer(spark, sf):
 
 @query
 def cor_test(spark, sf):
-    return rounded(association.cor_test(b.base_with_covariates(spark, sf), "canopy_openness", "pH", ["period"]))
+    return rounded(association.with_p(association.cor_test(b.base_with_covariates(spark, sf), "canopy_openness", "pH", ["period"])))
 
 
 @query
 def cor_matrix(spark, sf):
-    return rounded(association.cor_matrix(b.base_with_covariates(spark, sf), ["total_ba", "canopy_openness", "pH"]))
+    pairs = association.cor_matrix(b.base_with_covariates(spark, sf), ["total_ba", "canopy_openness", "pH"])
+    return rounded(association.with_p(pairs))
 
 
 @query
@@ -516,7 +517,7 @@ def model_aic(spark, sf):
 @query
 def overdispersion(spark, sf):
     rows = _rows(spark, sf)
-    return rounded(diagnostics.overdispersion(rows, fit_glm(rows, _poisson(("treatment",)))).drop("p_value"), 5)
+    return rounded(diagnostics.overdispersion(rows, fit_glm(rows, _poisson(("treatment",)))), 5)
 
 
 @query

@@ -119,10 +119,35 @@ SXX = """, round(regr_sxx(y, x), 6) AS sxx, round(regr_syy(y, x), 6) AS syy, rou
 Z = "1.959963984540054::DOUBLE"
 
 
-def _tested(inner: str, keys: str, digits: int = 6) -> str:
-    """t, df and Fisher interval of rows with n and r."""
+def _t_p(t: str, df: str) -> str:
+    """Two-sided Student t tail for whole degrees of freedom: the finite trigonometric sums, with sin and cos of atan(t / sqrt(df))."""
+    sine, cos2 = f"(abs({t}) / sqrt({df} + {t} * {t}))", f"({df} / ({df} + {t} * {t}))"
+    even = f"""{sine} * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda j:
+        exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) + j * ln({cos2}))))"""
+    odd = f"""2 / pi() * (asin({sine}) + COALESCE({sine} * list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), lambda j:
+        exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) + (j + 0.5) * ln({cos2})))), 0))"""
+    return f"CASE WHEN {df} % 2 = 0 THEN 1 - ({even}) ELSE 1 - ({odd}) END"
+
+
+def _chi2_p(x: str, df: str) -> str:
+    """Upper chi-square tail for whole degrees of freedom: a finite sum of Poisson-like terms, with a normal tail if odd."""
+    terms = f"""COALESCE(list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda j:
+        exp((j + ({df} % 2) / 2.0) * ln({x} / 2) - {x} / 2 - lgamma(j + 1 + ({df} % 2) / 2.0)))), 0)"""
+    return f"{terms} + CASE WHEN {df} % 2 = 1 THEN {_normal_p(f'sqrt({x})')} ELSE 0 END"
+
+
+def _t_quantile(z: float, df: str) -> str:
+    """Upper quantile from the normal one by the expansion in 1 / df; the degrees of freedom here are in the thousands."""
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    return "(" + " + ".join(f"{c!r} / pow({df}, {k})" for k, c in enumerate(terms)) + ")"
+
+
+def _tested(inner: str, keys: str, digits: int = 6, with_p: bool = False) -> str:
+    """t, df and Fisher interval of rows with n and r, and where asked for the p-value."""
     k = f"{keys}, " if keys else ""
     sure = "n > 2 AND abs(r) < 1 - 1e-12"
+    tail = _t_p("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")
+    p = f", round(CASE WHEN {sure} THEN {tail} END, {digits}) AS p_value" if with_p else ""
     atanh = "0.5 * ln((1 + r) / (1 - r))"
     half = f"CASE WHEN n > 3 AND abs(r) < 1 - 1e-12 THEN {Z} / sqrt(n - 3) END"
 
@@ -131,11 +156,11 @@ def _tested(inner: str, keys: str, digits: int = 6) -> str:
 
     return f"""SELECT {k}n, round(r, {digits}) AS r, round(CASE WHEN {sure} THEN r * sqrt((n - 2) / (1 - r * r)) END, {digits}) AS t,
         CASE WHEN n > 2 THEN n - 2 END AS df,
-        round({tanh(f'{atanh} - ({half})')}, {digits}) AS lower, round({tanh(f'{atanh} + ({half})')}, {digits}) AS upper
+        round({tanh(f'{atanh} - ({half})')}, {digits}) AS lower, round({tanh(f'{atanh} + ({half})')}, {digits}) AS upper{p}
         FROM ({inner})"""
 
 
-def _pairs(cols: list[str], source: str, key: str, key_expr: str, group: str) -> str:
+def _pairs(cols: list[str], source: str, key: str, key_expr: str, group: str, with_p: bool = False) -> str:
     parts = []
     for i, x in enumerate(cols):
         for y in cols[i + 1:]:
@@ -145,7 +170,7 @@ def _pairs(cols: list[str], source: str, key: str, key_expr: str, group: str) ->
                 CASE WHEN stddev_pop("{x}") FILTER (WHERE {both}) * stddev_pop("{y}") FILTER (WHERE {both}) > 0
                 THEN corr("{x}", "{y}") END AS r FROM {source} {group}"""
             )
-    return _tested(" UNION ALL ".join(parts), f"{key}x, y")
+    return _tested(" UNION ALL ".join(parts), f"{key}x, y", with_p=with_p)
 
 
 def _box(by: str, source: str, y: str) -> str:
@@ -322,15 +347,17 @@ ORACLE: dict[str, str] = {
           FROM (SELECT treatment, "pH" AS x, CAST(oak_count AS DOUBLE) AS y FROM cov)
           GROUP BY GROUPING SETS ((), (treatment)))
         SELECT treatment, CAST(step AS INTEGER) AS step, round(x, 6) AS x, round(b0 + b1 * x, 6) AS fit,
-          round(s * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx), 6) AS se
+          round(s * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx), 6) AS se,
+          round(b0 + b1 * x - """ + _t_quantile(1.959963984540054, "(n - 2)") + """ * s * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx), 6) AS lower,
+          round(b0 + b1 * x + """ + _t_quantile(1.959963984540054, "(n - 2)") + """ * s * sqrt(1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx), 6) AS upper
         FROM (SELECT *, lo + step * (hi - lo) / 19 AS x FROM g, generate_series(0, 19) AS t(step))""",
     "others_trend": _with("cov") + f""", every AS (SELECT {V}, CAST(sum(density) AS DOUBLE) AS y FROM filled GROUP BY {V})
         SELECT {REGR} FROM (SELECT total_ba - standard_ba AS x, y FROM cov JOIN every USING ({V}) WHERE total_ba IS NOT NULL)""",
     "point_layer": _with("base") + """SELECT treatment, period AS x, round(oak_count / area_m2, 6) AS y, count(*) AS n
         FROM base GROUP BY treatment, period, oak_count / area_m2""",
     "cor_test": _with("cov") + _tested("""SELECT period, count(*) AS n, corr(canopy_openness, "pH") AS r FROM cov
-        WHERE canopy_openness IS NOT NULL GROUP BY period""", "period"),
-    "cor_matrix": _with("cc") + _pairs(["total_ba", "canopy_openness", "pH"], "cc", "", "", ""),
+        WHERE canopy_openness IS NOT NULL GROUP BY period""", "period", with_p=True),
+    "cor_matrix": _with("cc") + _pairs(["total_ba", "canopy_openness", "pH"], "cc", "", "", "", True),
     "pairs_table": _with("cov") + _pairs(
         ["oak_count", "canopy_openness", "pH", "total_ba", "standard_ba"], "cov", "treatment, ",
         "CASE WHEN grouping(treatment) = 1 THEN 'all' ELSE treatment END AS treatment, ", "GROUP BY ROLLUP (treatment)"),
@@ -373,8 +400,9 @@ ORACLE: dict[str, str] = {
             CASE WHEN c.year = z.year THEN c.l ELSE c.l - z.l END AS e, sqrt(CASE WHEN c.year = z.year THEN c.v ELSE c.v + z.v END) AS s FROM c, z)""",
     "model_aic": _with("base") + _poisson_aic("offset", "sum(area_m2)", "rate * area_m2") + " UNION ALL "
         + _poisson_aic("no_offset", "count(*)", "rate"),
-    "overdispersion": _with("fitted") + """SELECT count(*) AS n, round(sum((oak_count - mu) * (oak_count - mu) / mu), 5) AS chi2,
-        count(*) - 2 AS df_resid, round(sum((oak_count - mu) * (oak_count - mu) / mu) / (count(*) - 2), 5) AS ratio FROM fitted""",
+    "overdispersion": _with("fitted") + """, one AS (SELECT count(*) AS n, sum((oak_count - mu) * (oak_count - mu) / mu) AS x,
+          count(*) - 2 AS df FROM fitted)
+        SELECT n, round(x, 5) AS chi2, df AS df_resid, round(x / df, 5) AS ratio, round(""" + _chi2_p("x", "df") + """, 5) AS p_value FROM one""",
     "zero_inflation": _with("fitted") + """SELECT count(*) FILTER (WHERE oak_count = 0) AS observed,
         round(sum(exp(-mu)), 5) AS expected, round(sum(exp(-mu)) / count(*) FILTER (WHERE oak_count = 0), 5) AS ratio
         FROM fitted""",

@@ -94,6 +94,24 @@ def test_tail_probabilities(make):
     assert got[0] == pytest.approx(0.05, abs=1e-8) and got[1] is None
 
 
+def test_tail_columns_match_the_scalars(make):
+    sizes = [1.0, 2.0, 3.0, 10.0, 41.0, 1000.0, 50000.0]
+    rows = [(t, d) for t in (0.0, 0.01, 1.0, -2.0, 10.0, 40.0) for d in sizes]
+    df = make([*rows, (1.0, None), (None, 3.0), (1.0, 0.0)], "t double, d double")
+    for r in df.select("t", "d", tails.t_p_col(F.col("t"), F.col("d")).alias("p")).collect():
+        if r.t is None or not r.d:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(tails.t_p(r.t, r.d), rel=1e-8, abs=1e-250)
+    df = make([(d,) for d in [*sizes, 3e7, 0.0, None]], "d double")
+    for p in (0.6, 0.975, 0.9995):
+        for r in df.select("d", tails.t_quantile_col(p, F.col("d")).alias("q")).collect():
+            assert r.q is None if not r.d else r.q == pytest.approx(tails.t_quantile(p, r.d), rel=1e-7)
+    rows = [(d * m, d) for d in sizes for m in (0.0, 0.01, 0.95, 1.0, 1.05, 2.0)]
+    for r in make([*rows, (None, 2.0)], "x double, d double").select("x", "d", tails.chi2_p_col(F.col("x"), F.col("d")).alias("p")).collect():
+        assert r.p is None if r.x is None else r.p == pytest.approx(tails.chi2_p(r.x, r.d), rel=1e-7, abs=1e-14)
+
+
 def test_normal_tail_column(spark):
     import math
 
