@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,7 @@ from quadrat.models.spec import (
     ModelSpec,
     complete,
     design,
+    levels_of,
     linear_predictor,
     log_offset,
     model_rows,
@@ -70,6 +73,81 @@ def fit_glm(df: DataFrame, spec: ModelSpec) -> Fit:
     return Fit(spec, terms, beta, np.linalg.inv(info), sums["ll"], int(round(sums["n"])), (), disp)
 
 
+def fit_least_squares(df: DataFrame, specs: Sequence[ModelSpec]) -> list[Fit]:
+    """All gaussian models without random intercepts in one scan.
+
+    One aggregate gives the count, means and covariances of the columns of every model over the rows complete in it; models on the
+    same rows share them. The equations are then solved on the driver from these small matrices. Centred sums keep their digits
+    where the mean is large next to the spread; the product of such a column with a factor is nearly collinear with the factor and
+    loses them, as in any normal equations, so centre it first.
+    """
+    kinds = dict(df.dtypes)
+    specs = levels_of(df, specs)
+    names: dict[tuple, str] = {}
+    parts: list[Column] = []
+
+    def part(value: Column, *key) -> str:
+        """Name of an aggregate, added once per key."""
+        if key not in names:
+            names[key] = f"a{len(names)}"
+            parts.append(value.alias(names[key]))
+        return names[key]
+
+    def there(c: str) -> Column:
+        return F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True))
+
+    layouts = []
+    for spec in specs:
+        rows = tuple(sorted(spec.variables()))
+        whole = reduce(lambda a, b: a & b, [there(c) for c in rows])
+        y = (f"{spec.response} less log {spec.offset}", F.col(spec.response).cast("double") - log_offset(spec))
+        if not spec.offset:
+            y = (spec.response, F.col(spec.response).cast("double"))
+        cols = [(name, F.when(whole, c)) for name, c in [y, *design(spec)[1:]]]
+        n = part(F.count_if(whole), rows, "n")
+        means = [part(F.avg(c), rows, name) for name, c in cols]
+        pairs = {
+            (i, j): part(F.covar_pop(c, d), rows, *sorted((name, other)), "pair")
+            for i, (name, c) in enumerate(cols) for j, (other, d) in enumerate(cols[: i + 1])
+        }
+        layouts.append((spec, n, means, pairs))
+    one = df.agg(*parts).first()
+    solved = []
+    for spec, n, means, pairs in layouts:
+        count = one[n]
+        if count <= len(means):
+            raise ValueError(f"{count} complete rows for {len(means)} coefficients of {spec.response}")
+        mean = np.array([one[m] for m in means])
+        s = np.zeros((len(mean), len(mean)))
+        for (i, j), name in pairs.items():
+            s[i, j] = s[j, i] = one[name] * count
+        sxx, sxy, syy = s[1:, 1:], s[1:, 0], s[0, 0]
+        inverse = np.linalg.inv(sxx) if len(sxx) else sxx
+        slopes = inverse @ sxy
+        rss = max(float(syy - slopes @ sxy), 0.0)
+        cov = np.zeros((len(mean), len(mean)))
+        cov[1:, 1:] = inverse
+        cov[0, 1:] = cov[1:, 0] = -mean[1:] @ inverse
+        cov[0, 0] = 1.0 / count + mean[1:] @ inverse @ mean[1:]
+        solved.append((spec, count, np.array([mean[0] - slopes @ mean[1:], *slopes]), cov, rss, s))
+    fits = []
+    for spec, count, beta, cov, rss, s in solved:
+        # Where next to nothing is left over, the difference has lost its digits: the residuals are summed from the rows.
+        rss = _residual_sum(df, spec, beta) if rss <= 1e-6 * s[0, 0] else rss
+        disp = math.sqrt(rss / count)
+        loglik = -0.5 * count * (math.log(2.0 * math.pi * disp * disp) + 1.0) if disp > 0 else math.inf
+        fits.append(Fit(
+            spec, [t for t, _ in design(spec)], beta, cov * disp * disp, loglik, count, (), disp,
+            r2=float(1.0 - rss / s[0, 0]) if s[0, 0] > 0 else None, spreads=np.sqrt(np.diag(s) / (count - 1)),
+        ))
+    return fits
+
+
+def _residual_sum(df: DataFrame, spec: ModelSpec, beta: np.ndarray) -> float:
+    left = F.col(spec.response).cast("double") - log_offset(spec) - linear_predictor(spec, beta)
+    return complete(df, spec).agg(F.sum(left * left)).first()[0]
+
+
 def fit(df: DataFrame, spec: ModelSpec, **options) -> Fit:
     return fit_glmm(df, spec, **options) if spec.groups else fit_glm(df, spec)
 

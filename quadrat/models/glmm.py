@@ -50,7 +50,8 @@ class Fit:
     """A fitted model: small arrays, plus the table of random intercepts per deepest path.
 
     ``at_bound`` marks levels whose sd ended at its lower bound and is given as 0; ``full_hessian`` is False where the differenced
-    Hessian gave a fixed effect no positive variance, so that the information of the fixed effects alone was taken.
+    Hessian gave a fixed effect no positive variance, so that the information of the fixed effects alone was taken. A least-squares
+    fit also has its share of explained variance, ``r2``, and the sds of the response and of each column in ``spreads``.
     """
 
     spec: ModelSpec
@@ -66,6 +67,8 @@ class Fit:
     effects: DataFrame | None = field(default=None, repr=False)
     at_bound: tuple[bool, ...] = ()
     full_hessian: bool = True
+    r2: float | None = None
+    spreads: np.ndarray | None = None
 
     @property
     def k(self) -> int:

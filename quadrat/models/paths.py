@@ -12,33 +12,48 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.nulls import _col
 from quadrat.functions.tails import chi2_p, normal_p
-from quadrat.models.glm import fit
-from quadrat.models.glmm import Fit
+from quadrat.models.glm import fit, fit_least_squares
+from quadrat.models.glmm import Fit, fit_many
 from quadrat.models.spec import INTERCEPT, ModelSpec
 
 
 def fit_paths(df: DataFrame, specs: Sequence[ModelSpec], **options) -> list[Fit]:
-    return [fit(df, s, **options) for s in specs]
+    """Fits in the order given. Gaussian equations without random intercepts share one scan, mixed ones their passes."""
+    plain = [i for i, s in enumerate(specs) if s.family == "gaussian" and not s.groups]
+    mixed = [i for i, s in enumerate(specs) if s.groups]
+    found = dict(zip(plain, fit_least_squares(df, [specs[i] for i in plain]) if plain else []))
+    if mixed:
+        found |= dict(zip(mixed, fit_many([(df, specs[i]) for i in mixed], **options)))
+    return [found[i] if i in found else fit(df, s, **options) for i, s in enumerate(specs)]
 
 
 def path_coefs(df: DataFrame, specs: Sequence[ModelSpec], fits: Sequence[Fit] | None = None, **options) -> DataFrame:
-    """One row per arrow: response, predictor, estimate, standard error, p, and for gaussian equations the
-    estimate standardised by sd(x) / sd(y)."""
+    """One row per arrow: response, predictor, estimate, standard error, p, the estimate standardised by sd(x) / sd(y), and the
+    R2 of its equation.
+
+    The last two belong to gaussian equations without random intercepts; other equations have NULL there, except that numeric
+    predictors of any gaussian equation are standardised.
+    """
     fits = fit_paths(df, specs, **options) if fits is None else fits
     kinds = dict(df.dtypes)
-    numeric = [c for s in specs for c in s.variables() if c not in s.groups and kinds[c] not in ("string", "boolean")]
-    sds = df.agg(*[F.stddev_samp(_col(c)).alias(c) for c in dict.fromkeys(numeric)]).first().asDict()
+    numeric = [
+        c for s, m in zip(specs, fits) if m.spreads is None and s.family == "gaussian"
+        for c in s.variables() if c not in s.groups and kinds[c] not in ("string", "boolean")
+    ]
+    sds = df.agg(*[F.stddev_samp(_col(c)).alias(c) for c in dict.fromkeys(numeric)]).first().asDict() if numeric else {}
     rows = []
     for spec, m in zip(specs, fits):
-        for term, b, se in zip(m.terms, m.beta, m.se):
+        for j, (term, b, se) in enumerate(zip(m.terms, m.beta, m.se)):
             if term == INTERCEPT:
                 continue
             std = None
-            if spec.family == "gaussian" and term in sds:
+            if m.spreads is not None:
+                std = float(b * m.spreads[j] / m.spreads[0]) if m.spreads[0] > 0 else None
+            elif term in sds and spec.response in sds:
                 std = float(b * sds[term] / sds[spec.response])
-            rows.append((spec.response, term, float(b), float(se), normal_p(b / se), std))
+            rows.append((spec.response, term, float(b), float(se), normal_p(b / se) if se > 0 else None, std, m.r2))
     return df.sparkSession.createDataFrame(
-        rows, "response string, predictor string, estimate double, std_error double, p_value double, std_estimate double"
+        rows, "response string, predictor string, estimate double, std_error double, p_value double, std_estimate double, r2 double"
     )
 
 
@@ -79,11 +94,15 @@ def _wald_p(tested: Fit, added: str, given: Sequence[str]) -> float:
 
 def path_summary(df: DataFrame, specs: Sequence[ModelSpec], fits: Sequence[Fit] | None = None, **options) -> DataFrame:
     """Fisher's C over the independence claims with its chi-square p, and the information criterion C + 2K."""
-    fits = fit_paths(df, specs, **options) if fits is None else fits
-    ps = []
-    for equation, added, given in independence_claims(specs):
-        tested = fit(df, replace(equation, terms=(*given, added)), **options)
-        ps.append(max(_wald_p(tested, added, given), 1e-300))
+    claims = independence_claims(specs)
+    tests = [replace(equation, terms=(*given, added)) for equation, added, given in claims]
+    if fits is None:
+        # Equations and claims together: they read the same rows.
+        both = fit_paths(df, [*specs, *tests], **options)
+        fits, tested = both[: len(specs)], both[len(specs):]
+    else:
+        tested = fit_paths(df, tests, **options)
+    ps = [max(_wald_p(m, added, given), 1e-300) for m, (_, added, given) in zip(tested, claims)]
     c = -2.0 * sum(math.log(p) for p in ps)
     k = sum(m.k for m in fits)
     row = (len(ps), c, 2 * len(ps), chi2_p(c, 2 * len(ps)) if ps else 1.0, k, c + 2.0 * k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.nulls import in_set, is_not
@@ -42,16 +42,15 @@ def drop_blank_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dedup_samples(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the first by ``order``, missing values last.
+    """One row per key: the first by ``order``, then by the other columns, missing values last.
 
-    The smallest row is kept by an aggregate, which combines before the shuffle, so a key that holds a large
+    Each task keeps its first row per key before the shuffle (the planner's group limit), so a key that holds a large
     share of all rows sends one row per task instead of being sorted whole by one task.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[p for c in [*order, *rest] for p in (F.col(c).isNull(), F.col(c))])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("__row"))
-    return picked.select(*keys, "__row.*").select(*df.columns)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    first = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in [*order, *rest]])
+    return df.withColumn("__rank", F.row_number().over(first)).where("__rank <= 1").drop("__rank")
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,14 +43,9 @@ def left_join_on(
 
 def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same rows, failing where a key occurs twice. The check is part of the plan, not an extra job."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    one = df.groupBy(*keys).agg(
-        F.max(F.struct(*rest)).alias("__row") if rest else F.lit(None).alias("__row"),
-        F.count(F.lit(1)).alias("__n"),
-    )
-    guard = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"duplicate key in {keys}"))).otherwise(F.col("__row"))
-    return one.withColumn("__row", guard).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    again = F.raise_error(F.lit(f"duplicate key in {list(keys)}")).cast("boolean")
+    return df.withColumn("__n", number).where(F.when(F.col("__n") > 1, again).otherwise(True)).drop("__n")
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:

@@ -108,7 +108,8 @@ MEASURED = " OR ".join(
 MASKED = ", ".join(
     f"CASE WHEN {MEASURED} THEN {c} END AS {c}" for c in ["total_ba", *[f"{s.lower()}_ba" for s in b.SPECIES]]
 )
-ITEM_COLS = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+ITEM_COLS = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate"
+ITEM_ORDER = "l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 REGR = """CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept,
     round(regr_r2(y, x), 6) AS r2, round(regr_avgx(y, x), 6) AS mean_x, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x,
     round(CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0)
@@ -234,9 +235,9 @@ ORACLE: dict[str, str] = {
     "canopy_left_join": _with("base", "reading") + """SELECT base.*, round(canopy_openness, 6) AS canopy_openness
         FROM base LEFT JOIN reading USING (subplot)""",
     "dedup_samples": f"""SELECT l_orderkey, l_linenumber, {ITEM_COLS} FROM (SELECT *, row_number() OVER (
-        PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, {ITEM_COLS}) AS rn FROM lineitem) WHERE rn = 1""",
+        PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, {ITEM_ORDER}) AS rn FROM lineitem) WHERE rn = 1""",
     "unique_join": _with("visit") + f"""SELECT visit.*, l_linenumber, l_quantity, l_tax FROM visit LEFT JOIN (
-        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, {ITEM_COLS}) AS rn
+        SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, {ITEM_ORDER}) AS rn
         FROM lineitem) s ON o_orderkey = l_orderkey AND rn = 1""",
     "blank_row_drop": """SELECT nullif(l_linenumber, 1) AS line, nullif(l_returnflag, 'A') AS flag, count(*) AS n FROM lineitem
         WHERE nullif(l_linenumber, 1) IS NOT NULL OR nullif(l_returnflag, 'A') IS NOT NULL GROUP BY ALL""",
@@ -257,10 +258,10 @@ ORACLE: dict[str, str] = {
     "core_rows": _with("fan") + f"""SELECT {V}, oak_count, area_type, round(total_ba, 6) AS total_ba
         FROM fan WHERE area_type <> 'extended' OR area_type IS NULL""",
     "zone_assignment": _with("zoned") + """SELECT site, plot, area_type, section, count(*) AS stems FROM zoned GROUP BY ALL""",
-    "zone_assignment_by_table": _with("tree") + """, rules AS (SELECT p_type AS area_type, min(p_size) AS lo,
-          CAST(floor(avg(p_size)) AS INTEGER) AS hi FROM part GROUP BY 1)
+    "zone_assignment_by_table": _with("tree") + """, rules AS (SELECT site AS code, species AS area_type, min(section) AS lo,
+          floor(sum(section) / count(*)) AS hi FROM tree GROUP BY 1, 2)
         SELECT site, plot, section, count(*) AS stems, area_type FROM tree JOIN rules
-        ON site = 'ASIA' AND section BETWEEN lo AND hi GROUP BY site, plot, section, area_type""",
+        ON site = code AND section BETWEEN lo AND hi GROUP BY site, plot, section, area_type""",
     "species_basal_area": _with("tree") + """SELECT site, plot, species, round(ba, 6) AS basal_area,
         round(sum(ba) OVER (PARTITION BY site, plot), 6) AS total_ba
         FROM (SELECT site, plot, species, sum(area) AS ba FROM tree GROUP BY ALL)""",
@@ -325,7 +326,7 @@ ORACLE: dict[str, str] = {
         AS canopy_openness, round("pH", 5) AS "pH" FROM cov""",
     "scan_decimal_point": """SELECT CASE WHEN l_linestatus = 'F' THEN '' ELSE l_returnflag END AS note,
         l_returnflag = 'R' AS shoot, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2""",
-    "tidy_parquet": _with("base") + "SELECT * EXCLUDE (period) FROM base WHERE year >= 1997",
+    "tidy_parquet": _with("base") + "SELECT * EXCLUDE (period) FROM base",
     "tidy_sorted": _with("base") + """SELECT * EXCLUDE (period) FROM base
         WHERE site = 'EUROPE' AND plot >= 'NATION_13' AND year >= 1996""",
     "tidy_csv": _with("base", "reading") + """SELECT subplot, oak_count, round(canopy_openness, 6) AS canopy_openness, year
@@ -420,14 +421,23 @@ ORACLE: dict[str, str] = {
           round((SELECT count(*) FROM base) - sum(e), 5) FROM low""",
     "vif": _with("cov") + """SELECT unnest(['canopy_openness', 'pH']) AS term,
         round(1 / (1 - pow(corr(canopy_openness, "pH"), 2)), 6) AS vif FROM cov WHERE canopy_openness IS NOT NULL""",
-    "path_coefs": _with("cc") + """, p AS (SELECT 'canopy_openness' AS response, 'total_ba' AS predictor, canopy_openness AS y,
-          total_ba AS x FROM cc UNION ALL SELECT 'total_ba', 'pH', total_ba, "pH" FROM cc)
-        SELECT response, predictor, round(e, 5) AS estimate, round(s, 5) AS std_error, round(""" + _normal_p("e / s") + """, 5) AS p_value, round(d, 5) AS std_estimate FROM (
-          SELECT response, predictor, regr_slope(y, x) AS e,
+    "path_coefs": _with("cov") + """, p AS (SELECT 'canopy_openness' AS response, 'total_ba' AS predictor, canopy_openness AS y,
+          total_ba AS x FROM cov UNION ALL SELECT 'total_ba', 'pH', total_ba, "pH" FROM cov)
+        SELECT response, predictor, round(e, 5) AS estimate, round(s, 5) AS std_error, round(""" + _normal_p("e / s") + """, 5) AS p_value, round(d, 5) AS std_estimate, round(r2, 5) AS r2 FROM (
+          SELECT response, predictor, regr_slope(y, x) AS e, regr_r2(y, x) AS r2,
             sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*) / regr_sxx(y, x)) AS s,
-            regr_slope(y, x) * stddev_samp(x) / stddev_samp(y) AS d FROM p GROUP BY 1, 2)""",
-    "indirect_effects": _with("cc") + """SELECT 'pH' AS source, 'total_ba' AS through, 'canopy_openness' AS target,
-        round(regr_slope(canopy_openness, total_ba) * regr_slope(total_ba, "pH"), 5) AS indirect FROM cc""",
+            regr_slope(y, x) * stddev_samp(x) / stddev_samp(y) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2)""",
+    "path_summary_linear": _with("cc") + """, claim AS (SELECT 1 AS c, canopy_openness AS y, "pH" AS a, total_ba AS g FROM cc
+          UNION ALL SELECT 2, standard_ba, "pH", total_ba FROM cc UNION ALL SELECT 3, standard_ba, canopy_openness, total_ba FROM cc),
+        s AS (SELECT c, count(*) AS n, covar_pop(a, a) AS aa, covar_pop(g, g) AS gg, covar_pop(a, g) AS ag, covar_pop(y, a) AS ya,
+          covar_pop(y, g) AS yg, covar_pop(y, y) AS yy FROM claim GROUP BY c),
+        f AS (SELECT *, (ya * gg - yg * ag) / (aa * gg - ag * ag) AS ba, (yg * aa - ya * ag) / (aa * gg - ag * ag) AS bg FROM s),
+        w AS (SELECT ba / sqrt((yy - ba * ya - bg * yg) / n * gg / (aa * gg - ag * ag)) AS z FROM f),
+        t AS (SELECT -2 * sum(ln(""" + _normal_p("z") + """)) AS x, 6 AS df FROM w)
+        SELECT CAST(3 AS INTEGER) AS claims, round(x, 4) AS fisher_c, CAST(df AS INTEGER) AS df, round(""" + _chi2_p("x", "df") + """, 4) AS p_value,
+          CAST(9 AS INTEGER) AS k, round(x + 18, 4) AS aic FROM t""",
+    "indirect_effects": _with("cov") + """SELECT 'pH' AS source, 'total_ba' AS through, 'canopy_openness' AS target,
+        round(regr_slope(canopy_openness, total_ba) * regr_slope(total_ba, "pH"), 5) AS indirect FROM cov""",
 }
 
 

@@ -37,18 +37,25 @@ def assign_zone(
 
 def assign_zone_table(
     df: DataFrame, rules: DataFrame, code: str = "Omrkod", plot: str = "Yta", section: str = "BSektion",
-    zone: str = "area_type",
+    zone: str = "area_type", bin_width: int = 16,
 ) -> DataFrame:
     """The same with rules in a table (code, plot or NULL, lo, hi, zone): equal code, section within bounds.
 
-    Rows with the same code, plot and section meet the same rules, so only the distinct combinations are
-    joined with the rules; each row then looks up the zones of its combination. Zones are distinct per combination.
+    A rule is cut into bins of ``bin_width`` sections and met by equal code and bin, so the join hashes both sides whatever
+    the number of rules of a code; the exact bounds follow. Rows with the same code, plot and section meet the same rules, so only
+    the distinct combinations are joined. A section in two zones appears in both, once each; a rule without a bound or with its
+    bounds the wrong way round holds nothing.
     """
-    combos = df.select(code, plot, section).distinct().alias("d")
-    r = rules.alias("r")
+    def slot(value: Column) -> Column:
+        return F.floor(value / bin_width)
+
+    combos = df.select(code, plot, section).distinct().withColumn("bin", slot(F.col(section))).alias("d")
+    bins = F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi"))))
+    r = rules.where(F.col("lo") <= F.col("hi")).withColumn("bin", bins).alias("r")
+    same = (F.col(f"d.{code}") == F.col("r.code")) & (F.col("d.bin") == F.col("r.bin"))
     inside = F.col(f"d.{section}").between(F.col("r.lo"), F.col("r.hi"))
     here = F.col("r.plot").isNull() | (F.col("r.plot") == F.col(f"d.{plot}"))
-    hit = combos.join(r, (F.col(f"d.{code}") == F.col("r.code")) & here & inside)
+    hit = combos.join(r, same & inside & here)
     hit = hit.select(*[F.col(f"d.{c}").alias(c) for c in (code, plot, section)], F.col("r.zone").alias(zone)).distinct()
     return df.join(hit, [code, plot, section])
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat import catalog
-from quadrat.models import association, contrasts, diagnostics, figures, paths
+from quadrat.models import association, contrasts, diagnostics, figures, glm, paths
 from quadrat.models.glm import coef_table, fit_glm, fit_table, score, variance_table
 from quadrat.models import glmm
 from quadrat.models.glmm import Batch, fit_glmm, fit_many
@@ -294,3 +294,31 @@ def test_ratios_keep_strata_without_counts(spark):
     rates = spark.createDataFrame([("x", "a", 0.0, 0.0), ("x", "b", 4.0, 2.0), ("y", "a", 4.0, 2.0), ("y", "b", 0.0, 0.0)], "s string, l string, total double, rate double")
     got = {r["s"]: (r["ratio"], r["se_log"], r["z"], r["p_value"]) for r in rate_ratios(rates, ["s"], "l").collect()}
     assert got == {"x": (0.0, None, None, None), "y": (None, None, None, None)}
+
+
+def test_least_squares_of_several_models(make):
+    rng = np.random.default_rng(5)
+    n = 200
+    x, g = rng.normal(10.0, 1.0, n), rng.integers(0, 3, n)
+    y = 3.0 * x + 2.0 * (g == 1) - (g == 2) * x + rng.normal(size=n)
+    rows = [(float(a), f"l{b}", float(c) if i % 7 else None, float("nan") if i % 11 == 0 else float(b)) for i, (a, b, c) in enumerate(zip(x, g, y))]
+    df = make(rows, "x double, g string, y double, z double")
+    specs = [ModelSpec("y", crossed("g", "x"), family="gaussian"), ModelSpec("y", ("z",), family="gaussian"), ModelSpec("z", ("x",), family="gaussian")]
+    fits = glm.fit_least_squares(df, specs)
+    keep = np.array([r[2] is not None for r in rows])
+    real = np.array([not np.isnan(r[3]) for r in rows])
+    c = x - 10.0
+    design = {0: (keep, y, [g == 1, g == 2, x, (g == 1) * x, (g == 2) * x]), 1: (keep & real, y, [g]), 2: (real, g, [c])}
+    for k, m in enumerate(fits):
+        rows_in, target, cols = design[k]
+        a = np.column_stack([np.ones(n), *cols]).astype(float)[rows_in]
+        t = np.asarray(target, float)[rows_in]
+        beta, *_ = np.linalg.lstsq(a, t, rcond=None)
+        rss = ((t - a @ beta) ** 2).sum()
+        assert m.n == rows_in.sum() and m.r2 == pytest.approx(1 - rss / ((t - t.mean()) ** 2).sum(), rel=1e-6)
+        assert m.loglik == pytest.approx(-0.5 * m.n * (math.log(2 * math.pi * rss / m.n) + 1), rel=1e-6)
+        if k:
+            assert m.beta[-1] == pytest.approx(beta[-1], rel=1e-6)
+            assert m.se[-1] == pytest.approx(math.sqrt(rss / m.n * np.linalg.inv(a.T @ a)[-1, -1]), rel=1e-6)
+    with pytest.raises(ValueError, match="complete rows"):
+        glm.fit_least_squares(df.limit(1), specs[2:])
