@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat import bindings as b
+from quadrat import study_bindings as study
 from quadrat.functions import nulls, scalar
 from quadrat.models import association, contrasts, diagnostics, figures, paths
 from quadrat.models.glm import coef_table, fit, fit_glm, fit_table, variance_table
@@ -15,6 +16,7 @@ from quadrat.models.glmm import fit_glmm
 from quadrat.models.spec import ModelSpec, crossed
 from quadrat.operators import aggregates, columns, filters, joins
 from quadrat.plans import basal_area as ba
+from quadrat.plans import campaigns
 from quadrat.plans.bases import modelling_bases as study_bases
 from quadrat.plans.registry import all_specs, fit_registry
 from quadrat.plans.zero_fill import zero_fill
@@ -309,7 +311,48 @@ def _campaigns(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query
 def integrate_campaigns(spark, sf):
-    return rounded(columns.union_all(*_campaigns(spark, sf)))
+    return rounded(campaigns.integrate(*_campaigns(spark, sf)))
+
+
+def _current(spark, sf) -> DataFrame:
+    return campaigns.prepare_current(*study.current_inputs(spark, sf), study.CURRENT_SPECIES)
+
+
+def _historic(spark, sf) -> DataFrame:
+    return campaigns.prepare_historic(*study.historic_inputs(spark, sf), *study.tree_inputs(spark, sf), study.STANDING_SPECIES)
+
+
+@query
+def study_soil(spark, sf):
+    """One soil sample per subplot: blank rows dropped, of several samples the one with a value."""
+    return rounded(campaigns.repair_soil(study.current_inputs(spark, sf)[2]))
+
+
+@query
+def study_net_basal_area(spark, sf):
+    """Basal area left per plot and zone after the harvest, by merged species, from diameters in mm."""
+    return rounded(campaigns.net_basal_area(*study.tree_inputs(spark, sf), study.STANDING_SPECIES))
+
+
+@query
+def study_current(spark, sf):
+    """The current campaign, prepared by the study's job."""
+    return rounded(_current(spark, sf))
+
+
+@query
+def study_historic(spark, sf):
+    """The earlier campaigns, prepared by the study's job."""
+    return rounded(_historic(spark, sf))
+
+
+@query
+def study_tidy(spark, sf):
+    """Both campaigns as one tidy table, counted per year, species, shoot flag and zone."""
+    rows = campaigns.integrate(_historic(spark, sf), _current(spark, sf))
+    ends = [F.count(F.lit(1)).alias("n"), F.sum("density").alias("density"), F.avg("pH").alias("pH"), F.avg("canopy_openness").alias("canopy_openness")]
+    areas = [F.avg("total_ba").alias("total_ba"), F.avg("quercus_sp_ba").alias("quercus_sp_ba"), F.avg("betula_sp_ba").alias("betula_sp_ba")]
+    return rounded(rows.groupBy("site", "year", "species", "shoot", "area_type").agg(*ends, *areas))
 
 
 @query
