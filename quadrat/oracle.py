@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quadrat import bindings as b
+from quadrat import study_bindings as study
+from quadrat.plans import study_values as v
 
 V = "site, plot, treatment, year, transect, subplot, area_m2"
 K = "site, plot, treatment, transect, subplot, area_m2"
@@ -491,3 +493,76 @@ ORACLE["glmm_gaussian_site"] = _with("cov") + f""", good AS (SELECT plot, canopy
         {_zoom(5)}
         SELECT CAST(n AS BIGINT) AS n, CAST(4 AS INTEGER) AS k, round(ll, 4) AS loglik, round(sqrt(s2), 4) AS sigma, TRUE AS converged,
           round(sqrt(s2 * exp(r)), 4) AS sd_plot, round(b0 + 50, 4) AS intercept, round(b1, 4) AS slope, round(8 - 2 * ll, 4) AS aic FROM best4"""
+
+
+def _case(col: str, values: dict) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in values.items()) + " END"
+
+
+def _study_zones(rules: list[tuple], source: str) -> str:
+    def test(rule) -> str:
+        _, code, plot, ranges = rule
+        parts = [f"code = '{code}'"] + ([f"plot = '{plot}'"] if plot else [])
+        if ranges:
+            parts.append("(" + " OR ".join(f"section BETWEEN {lo} AND {hi}" for lo, hi in ranges) + ")")
+        return "(" + " AND ".join(parts) + ")"
+
+    return " UNION ALL ".join(
+        f"SELECT *, '{z}' AS area_type FROM {source} WHERE " + " OR ".join(test(r) for r in rules if r[0] == z) for z in ("core", "extended")
+    )
+
+
+_KIND = {k: name for k, (_, name) in study.SPECIES.items()}
+_MERGED = {k: next((m for m, old in v.MERGED_SPECIES.items() if name in old), name) for k, name in _KIND.items()}
+_SITE = {r: s[0] for r, s in study.SITES.items()}
+_HECTARES = "CASE " + " ".join(
+    f"WHEN area_type = '{z}' AND code = '{c}'" + (f" AND plot = '{p}'" if p else "") + f" THEN {a}::DOUBLE" for z, c, p, a in v.ZONE_AREAS_HA
+) + " END"
+_HOME = f"""home AS (SELECT n_nationkey, {_case('r_name', _SITE)} AS site, {_case('r_name', {r: s[1] for r, s in study.SITES.items()})} AS code,
+      CASE WHEN n_nationkey % 2 = 0 THEN {_case('r_name', {r: s[2] for r, s in study.SITES.items()})}
+        ELSE {_case('r_name', {r: s[3] for r, s in study.SITES.items()})} END AS plot,
+      CASE WHEN n_nationkey % 2 = 0 THEN 'control' ELSE 'thinned' END AS treatment FROM nation JOIN region ON n_regionkey = r_regionkey),
+    place AS (SELECT c_custkey, site, plot, treatment, {_case('c_mktsegment', study.TRANSECTS)} AS transect,
+      CASE WHEN c_custkey % 6 = 0 THEN '{v.SUBPLOT_LEFT_OUT}' ELSE CAST(c_custkey % 6 AS VARCHAR) END AS subplot
+      FROM customer JOIN home ON c_nationkey = n_nationkey)"""
+_SOIL = """sample AS (SELECT site, plot, treatment, transect, subplot, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 1e5 END AS ph, o_orderpriority AS w
+      FROM orders JOIN place ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),
+    soil AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY site, plot, treatment, transect, subplot
+      ORDER BY ph NULLS LAST, w) AS rn FROM sample) WHERE rn = 1)"""
+
+ORACLE["study_soil"] = f"""WITH {_HOME}, {_SOIL}
+    SELECT site, plot, treatment, transect, subplot, round(ph, 6) AS "pH", w AS "10g_measurement" FROM soil"""
+
+ORACLE["study_net_basal_area"] = f"""WITH {_HOME},
+    stem AS (SELECT site, code, plot, p_size * 25 AS section, {_case('p_type', _MERGED)} AS name, l_returnflag AS flag,
+      pi() * pow(l_quantity / 200, 2) * (l_linenumber % 3 + 1) AS a
+      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN home ON s_nationkey = n_nationkey),
+    gone AS (SELECT * FROM stem WHERE flag = 'A'),
+    s AS (SELECT site, code, plot, area_type, name, sum(a) AS a FROM ({_study_zones(v.STANDING_ZONES, 'stem')}) GROUP BY ALL),
+    r AS (SELECT code, plot, area_type, name, sum(a) AS a FROM ({_study_zones(v.REMOVED_ZONES, 'gone')}) GROUP BY ALL),
+    n AS (SELECT s.*, (s.a - COALESCE(r.a, 0)) / {_HECTARES.replace('area_type', 's.area_type').replace('code', 's.code').replace('plot', 's.plot')} AS ba
+      FROM s LEFT JOIN r ON s.code = r.code AND s.plot = r.plot AND s.area_type = r.area_type AND s.name = r.name WHERE s.a - COALESCE(r.a, 0) > 0)
+    SELECT site, plot, area_type, round(CASE WHEN count(*) = count(ba) THEN sum(ba) END, 6) AS total_ba, """ + ", ".join(
+    f"round(CASE WHEN count(*) FILTER (WHERE name = '{name}') = 0 THEN 0 ELSE max(ba) FILTER (WHERE name = '{name}') END, 6) AS {col}_ba"
+    for name, col in zip(study.STANDING_SPECIES, ["betula_sp", "pinus_sylvestris", "quercus_sp", "rubus_idaeus", "salix_sp"])
+) + " FROM n GROUP BY site, plot, area_type"
+
+_TRANSECT_OK = " OR ".join(f"(c.site = '{s}' AND c.transect IN ({', '.join(repr(t) for t in ts)}))" for s, ts in v.MEASURED_TRANSECTS.items())
+_AREAS = ["total_ba", *[x + "_ba" for x in ("betula_pendula", "betula_pubescens", "pinus_sylvestris", "quercus_sp", "rubus_idaeus", "salix_caprea")]]
+ORACLE["study_current"] = f"""WITH {_HOME}, {_SOIL},
+    plant AS (SELECT site, plot, treatment, transect, subplot, COALESCE({_case('p_type', _KIND)}, '0') AS species, COALESCE(l_returnflag = 'R', FALSE) AS shoot
+      FROM orders JOIN place ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey) ON o_orderkey = l_orderkey
+      WHERE year(o_orderdate) >= {study.FIRST_CURRENT}),
+    c AS (SELECT site, plot, treatment, transect, subplot, species, shoot, count(*) AS density FROM plant WHERE species <> '0' GROUP BY ALL
+      UNION ALL SELECT site, plot, treatment, transect, subplot, '{v.FOCAL_SPECIES}', FALSE, 0 FROM plant GROUP BY site, plot, treatment, transect, subplot
+      HAVING bool_or(species = '0') OR NOT bool_or(species = '{v.FOCAL_SPECIES}')),
+    reading AS (SELECT site, plot, treatment, transect, subplot, avg(value) AS o FROM events JOIN place ON user_id = c_custkey GROUP BY ALL),
+    stem AS (SELECT site, plot, treatment, {_case('p_type', _KIND)} AS name, sum(pi() * pow(l_quantity / 200, 2)) / {v.TREE_PLOT_AREA_HA} AS ba
+      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN home ON s_nationkey = n_nationkey GROUP BY ALL),
+    wide AS (SELECT site, plot, treatment, sum(ba) AS total_ba, """ + ", ".join(
+    f"COALESCE(max(ba) FILTER (WHERE name = '{name}'), 0) AS {col}" for name, col in zip(study.CURRENT_SPECIES, _AREAS[1:])
+) + f""" FROM stem GROUP BY site, plot, treatment)
+    SELECT c.site, c.plot, c.treatment, CAST({v.CURRENT_YEAR} AS INTEGER) AS year, c.transect, c.subplot, {v.CURRENT_AREA_M2}::DOUBLE AS area_m2, species, shoot, density,
+      round(o, 6) AS canopy_openness, round(ph, 6) AS "pH", """ + ", ".join(f"round(CASE WHEN {_TRANSECT_OK} THEN {a} END, 6) AS {a}" for a in _AREAS) + """
+    FROM c LEFT JOIN reading USING (site, plot, treatment, transect, subplot) LEFT JOIN soil USING (site, plot, treatment, transect, subplot)
+      LEFT JOIN wide USING (site, plot, treatment)"""
