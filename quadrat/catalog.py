@@ -581,6 +581,21 @@ def count_frequencies(spark, sf):
     return rounded(diagnostics.count_frequencies(rows, fit_glm(rows, _poisson(("treatment",))), 12), 5)
 
 
+@query
+def count_frequencies_all(spark, sf):
+    """As ``count_frequencies``, for every count up to the largest observed one."""
+    rows = _rows(spark, sf)
+    return rounded(diagnostics.count_frequencies(rows, fit_glm(rows, _poisson(crossed("treatment", "period")))), 5)
+
+
+@query
+def r2_methods(spark, sf):
+    """R2 of a Poisson model by all three methods, with the mean of the null model."""
+    rows = _rows(spark, sf)
+    m, null = fit_glm(rows, _poisson(crossed("treatment", "period"))), fit_glm(rows, _poisson(()))
+    return rounded(diagnostics.r2_nakagawa(rows, m, null_fit=null))
+
+
 @query
 def vif(spark, sf):
     return rounded(diagnostics.vif(b.base_with_covariates(spark, sf), ["canopy_openness", "pH"]))

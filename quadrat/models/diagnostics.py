@@ -6,19 +6,22 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.nulls import safe_corr
 from quadrat.functions.special import trigamma_value
 from quadrat.functions.tails import chi2_p_col
-from quadrat.models.families import row_terms, zero_probability
-from quadrat.models.glm import score
+from quadrat.models.families import next_count, row_terms, zero_probability
+from quadrat.models.glm import fit_sums, score
 from quadrat.models.glmm import Fit
-from quadrat.models.spec import complete
-from quadrat.operators.columns import union_all
 from quadrat.operators.quantiles import exact_quantiles, value_counts
 
+# Expected counts are worked out this many at a time, each block from its own first log-probability.
+COUNT_BLOCK = 1024
+
 
 def overdispersion(df: DataFrame, model: Fit) -> DataFrame:
     """Sum of squared Pearson residuals over the residual degrees of freedom, with its chi-square p."""
@@ -53,22 +56,36 @@ def residual_table(df: DataFrame, model: Fit, bins: int = 10) -> DataFrame:
     )
 
 
-def count_frequencies(df: DataFrame, model: Fit, upto: int = 20) -> DataFrame:
-    """Observed and expected number of rows per count 0..upto, and in a last row (``above``) of all higher counts.
+def count_frequencies(df: DataFrame, model: Fit, upto: int | None = None) -> DataFrame:
+    """Observed and expected number of rows per count, and in a last row (``above``) of all higher counts.
 
-    The row ``above`` is numbered upto + 1, and both columns add up to the number of rows. Rows with the same linear predictor are collapsed before they are paired with the counts.
+    Counts go from 0 to ``upto``, or to the largest count observed. The row ``above`` is numbered one higher, and both columns add up
+    to the number of rows. Rows with the same linear predictor are collapsed. Each then gives one vector per block of counts, whose
+    log-probabilities follow from the block's first by the family's recurrence; the vectors are summed.
     """
     scored = score(df, model)
-    eta = scored.groupBy(F.round("eta", 12).alias("eta")).agg(F.count(F.lit(1)).alias("rows"))
-    grid = eta.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(upto)))).withColumn("y", F.col("k").cast("double"))
+    response = F.col(model.spec.response)
+    if upto is None:
+        upto = int(scored.agg(F.max(response)).first()[0] or 0)
+    eta = scored.groupBy(F.round("eta", 12).alias("eta")).agg(F.count(F.lit(1)).cast("double").alias("rows"))
+    blocks = F.sequence(F.lit(0), F.lit(upto), F.lit(COUNT_BLOCK))
+    grid = eta.withColumn("start", F.explode(blocks)).withColumn("y", F.col("start").cast("double"))
     for step in row_terms(model.spec.family, math.log(model.dispersion) if model.dispersion else 0.0):
         grid = grid.withColumns({k: F.expr(v) for k, v in step.items()})
-    expected = grid.groupBy(F.col("y").cast("int").alias("count")).agg(
-        F.sum(F.col("rows") * F.exp("loglik")).alias("expected")
+    log_step = next_count(model.spec.family, model.dispersion)
+    ends = F.sequence(F.lit(1), F.lit(min(COUNT_BLOCK, upto + 1) - 1)) if upto else F.array().cast("array<int>")
+    logs = F.aggregate(
+        ends, F.array("loglik"), lambda done, k: F.concat(done, F.array(F.element_at(done, -1) + log_step(F.col("eta"), F.col("y") + k)))
     )
-    observed = scored.groupBy(F.col(model.spec.response).cast("int").alias("count")).agg(
-        F.count(F.lit(1)).alias("observed")
+    vectors = grid.select("start", "rows", array_to_vector(F.transform(logs, F.exp)).alias("p"))
+    # A mean of vectors is what the summarizer merges stably; times the rows it is their sum.
+    summed = vectors.groupBy("start").agg(
+        Summarizer.mean(F.col("p"), F.col("rows")).alias("p"), F.sum("rows").alias("rows")
     )
+    expected = summed.select("start", "rows", F.posexplode(vector_to_array("p"))).select(
+        (F.col("start") + F.col("pos")).alias("count"), (F.col("rows") * F.col("col")).alias("expected")
+    ).where(F.col("count") <= upto)
+    observed = scored.groupBy(response.cast("int").alias("count")).agg(F.count(F.lit(1)).alias("observed"))
     within = expected.join(observed, "count", "left").select(
         "count", F.lit(False).alias("above"), F.coalesce("observed", F.lit(0)).alias("observed"), "expected"
     )
@@ -92,22 +109,14 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def aic_table(fits: dict[str, Fit]) -> list[tuple[str, int, float]]:
-    return [(name, m.k, m.aic) for name, m in fits.items()]
-
-
-def compare_models(df: DataFrame, fits: dict[str, Fit]) -> DataFrame:
-    """Criteria, Akaike weights, R2, RMSE and a score in [0, 1] per model, best first.
+def compare_models(df: DataFrame, fits: dict[str, Fit], null_fit: Fit | None = None) -> DataFrame:
+    """Criteria, Akaike weights, R2, RMSE and a score in [0, 1] per model, mixed or not, best first; one scan serves all models.
 
     The score is the mean of the weights, the R2 values and the reversed RMSE after scaling each to [0, 1].
     """
     spark = df.sparkSession
-    rmse = union_all(*[
-        score(df, m).agg(F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("rmse")).withColumn("model", F.lit(name))
-        for name, m in fits.items()
-    ])
-    rmse_of = {r["model"]: r["rmse"] for r in rmse.collect()}
-    r2 = {name: _shares(df, m, "lognormal", None) for name, m in fits.items()}
+    sums = dict(zip(fits, fit_sums(df, list(fits.values())), strict=True))
+    r2 = {name: _shares(m, sums[name], "lognormal", null_fit) for name, m in fits.items()}
     names = list(fits)
 
     def weights(values: list[float]) -> list[float]:
@@ -121,11 +130,11 @@ def compare_models(df: DataFrame, fits: dict[str, Fit]) -> DataFrame:
 
     crit = {c: [getattr(fits[n], c) for n in names] for c in ("aic", "aicc", "bic")}
     wts = {c: weights(v) for c, v in crit.items()}
-    marks = [scaled(v) for v in wts.values()] + [scaled([-rmse_of[n] for n in names])]
+    marks = [scaled(v) for v in wts.values()] + [scaled([-sums[n]["rmse"] for n in names])]
     marks += [scaled([r2[n][i] for n in names]) for i in (0, 1)]
     rows = [
         (n, fits[n].k, *[float(crit[c][i]) for c in crit], *[float(wts[c][i]) for c in wts], r2[n][0], r2[n][1],
-         float(rmse_of[n]), float(np.mean([m[i] for m in marks])))
+         float(sums[n]["rmse"]), float(np.mean([m[i] for m in marks])))
         for i, n in enumerate(names)
     ]
     schema = (
@@ -135,13 +144,9 @@ def compare_models(df: DataFrame, fits: dict[str, Fit]) -> DataFrame:
     return spark.createDataFrame(rows, schema).orderBy(F.col("score").desc(), "model")
 
 
-def _shares(df: DataFrame, model: Fit, method: str, null_fit: Fit | None) -> tuple[float, float]:
-    rows = complete(df, model.spec)
-    one = score(rows, model).agg(
-        F.var_pop("fixed").alias("v"), F.avg(F.col(model.spec.response).cast("double")).alias("m")
-    ).first()
+def _shares(model: Fit, sums: dict[str, float], method: str, null_fit: Fit | None) -> tuple[float, float]:
+    var_f, lam = sums["fixed_var"], sums["mean"]
     var_r = sum(s * s for s in model.sds)
-    lam = one["m"]
     if null_fit is not None:
         lam = math.exp(null_fit.beta[0] + 0.5 * sum(s * s for s in null_fit.sds))
     disp = model.dispersion
@@ -153,8 +158,8 @@ def _shares(df: DataFrame, model: Fit, method: str, null_fit: Fit | None) -> tup
         var_d = {
             "delta": lambda: ratio, "lognormal": lambda: math.log1p(ratio), "trigamma": lambda: trigamma_value(1.0 / ratio),
         }[method]()
-    total = one["v"] + var_r + var_d
-    return one["v"] / total, (one["v"] + var_r) / total
+    total = var_f + var_r + var_d
+    return var_f / total, (var_f + var_r) / total
 
 
 def r2_nakagawa(
@@ -164,5 +169,6 @@ def r2_nakagawa(
 
     The expected count in that variance is the mean response, or, with ``null_fit``, the null model's mean.
     """
-    rows = [(m, *_shares(df, model, m, null_fit)) for m in methods]
+    (sums,) = fit_sums(df, [model])
+    rows = [(m, *_shares(model, sums, m, null_fit)) for m in methods]
     return df.sparkSession.createDataFrame(rows, "method string, r2_marginal double, r2_conditional double")

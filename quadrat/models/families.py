@@ -9,6 +9,7 @@ nb2, phi for nb1, the residual standard deviation for gaussian).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,3 +116,16 @@ def zero_probability(family: str, mu: Column, dispersion: float | None) -> Colum
     if family == "nb1":
         return F.pow(F.lit(1.0 + dispersion), -mu / F.lit(dispersion))
     raise ValueError("zero probability is for count families")
+
+
+def next_count(family: str, dispersion: float | None) -> Callable[[Column, Column], Column]:
+    """ln P(k) - ln P(k - 1) as a function of the linear predictor and k."""
+    if family == "poisson":
+        return lambda eta, k: eta - F.log(k)
+    if family == "nb2":
+        theta = F.lit(float(dispersion))
+        return lambda eta, k: F.log((k - 1 + theta) / k) + eta - F.log(F.exp(eta) + theta)
+    if family == "nb1":
+        phi = float(dispersion)
+        return lambda eta, k: F.log((k - 1 + F.exp(eta) / F.lit(phi)) / k) + F.lit(math.log(phi) - math.log1p(phi))
+    raise ValueError("expected counts are for count families")

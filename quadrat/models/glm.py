@@ -186,27 +186,52 @@ def variance_table(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, path string, variance double, at_bound boolean, converged boolean")
 
 
-def score(df: DataFrame, model: Fit) -> DataFrame:
-    """Complete rows with ``fixed`` (fixed part), ``eta``, fitted mean ``mu``, residual and Pearson residual.
+def with_eta(rows: DataFrame, model: Fit, fixed: str = "fixed", eta: str = "eta") -> DataFrame:
+    """The fixed part and the linear predictor as two more columns. A path without an estimated intercept counts as 0."""
+    spec = model.spec
+    rows = rows.withColumn(fixed, linear_predictor(spec, model.beta))
+    if model.effects is None:
+        return rows.withColumn(eta, F.col(fixed) + log_offset(spec))
+    depth = len(spec.groups)
+    effects = model.effects.select(
+        *[F.col(g).alias(f"__g{k}") for k, g in enumerate(spec.groups)],
+        F.expr(" + ".join(f"b{k}" for k in range(1, depth + 1))).alias("__random"),
+    )
+    rows = rows.withColumns({f"__k{k}": F.col(g).cast(T.StringType()) for k, g in enumerate(spec.groups)})
+    rows = left_join_on(rows, effects, {f"__k{k}": f"__g{k}" for k in range(depth)})
+    rows = rows.withColumn(eta, F.col(fixed) + log_offset(spec) + F.coalesce(F.col("__random"), F.lit(0.0)))
+    return rows.drop("__random", *[f"__k{k}" for k in range(depth)])
 
-    A path without an estimated intercept counts as 0.
-    """
+
+def score(df: DataFrame, model: Fit) -> DataFrame:
+    """Complete rows with ``fixed`` (fixed part), ``eta``, fitted mean ``mu``, residual and Pearson residual."""
     spec = model.spec
-    rows = complete(df, spec).withColumn("fixed", linear_predictor(spec, model.beta))
-    eta = F.col("fixed") + log_offset(spec)
-    if model.effects is not None:
-        depth = len(spec.groups)
-        effects = model.effects.select(
-            *[F.col(g).alias(f"__g{k}") for k, g in enumerate(spec.groups)],
-            F.expr(" + ".join(f"b{k}" for k in range(1, depth + 1))).alias("random"),
-        )
-        rows = rows.withColumns({f"__k{k}": F.col(g).cast(T.StringType()) for k, g in enumerate(spec.groups)})
-        rows = left_join_on(rows, effects, {f"__k{k}": f"__g{k}" for k in range(depth)}).drop(
-            *[f"__k{k}" for k in range(depth)]
-        )
-        eta = eta + F.coalesce(F.col("random"), F.lit(0.0))
-    rows = rows.withColumn("eta", eta).withColumn("mu", mean_of(spec.family, F.col("eta")))
+    rows = with_eta(complete(df, spec), model)
+    rows = rows.withColumn("mu", mean_of(spec.family, F.col("eta")))
     return rows.withColumns({
         "resid": F.col(spec.response) - F.col("mu"),
         "pearson": (F.col(spec.response) - F.col("mu")) / F.sqrt(variance_of(spec.family, F.col("mu"), model.dispersion)),
     })
+
+
+def fit_sums(df: DataFrame, models: Sequence[Fit]) -> list[dict[str, float]]:
+    """Per model the variance of its fixed part, the mean response and the root mean squared residual, over the rows complete in it.
+
+    One scan and one aggregate for all models; a mixed model's intercepts are joined to the rows of that scan.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.select(*sorted({c for m in models for c in m.spec.variables()}))
+    parts: list[Column] = []
+    for i, m in enumerate(models):
+        rows = with_eta(rows, m, f"__fixed{i}", f"__eta{i}")
+        whole = reduce(lambda a, b: a & b, [
+            F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)) for c in m.spec.variables()
+        ])
+        y = F.col(m.spec.response).cast("double")
+        resid = F.when(whole, y - mean_of(m.spec.family, F.col(f"__eta{i}")))
+        parts += [
+            F.var_pop(F.when(whole, F.col(f"__fixed{i}"))).alias(f"v{i}"), F.avg(F.when(whole, y)).alias(f"m{i}"),
+            F.sqrt(F.avg(resid * resid)).alias(f"r{i}"),
+        ]
+    one = rows.agg(*parts).first()
+    return [{"fixed_var": one[f"v{i}"], "mean": one[f"m{i}"], "rmse": one[f"r{i}"]} for i in range(len(models))]

@@ -421,6 +421,20 @@ ORACLE: dict[str, str] = {
         SELECT count, FALSE AS above, observed, round(e, 5) AS expected FROM low
         UNION ALL SELECT 13, TRUE, (SELECT count(*) FROM base WHERE oak_count > 12),
           round((SELECT count(*) FROM base) - sum(e), 5) FROM low""",
+    "count_frequencies_all": _with("base") + """, f AS (SELECT round(ln(sum(oak_count) OVER w / sum(area_m2) OVER w * area_m2), 12) AS eta
+          FROM base WINDOW w AS (PARTITION BY treatment, period)), g AS (SELECT eta, count(*) AS n FROM f GROUP BY eta),
+        top AS (SELECT CAST(max(oak_count) AS INTEGER) AS m FROM base),
+        low AS (SELECT CAST(k AS INTEGER) AS count, COALESCE(o, 0) AS observed, e FROM (SELECT k, sum(n * exp(k * eta - exp(eta) - lgamma(k + 1))) AS e
+            FROM g, (SELECT unnest(generate_series(0, m)) AS k FROM top) GROUP BY k)
+          LEFT JOIN (SELECT oak_count, count(*) AS o FROM base GROUP BY 1) ON oak_count = k)
+        SELECT count, FALSE AS above, observed, round(e, 5) AS expected FROM low
+        UNION ALL SELECT (SELECT m + 1 FROM top), TRUE, 0, round((SELECT count(*) FROM base) - sum(e), 5) FROM low""",
+    "r2_methods": _with("rates") + """, v AS (SELECT sum(n * l * l) / sum(n) - pow(sum(n * l) / sum(n), 2) AS f, sum(total) / sum(exposure) AS x
+          FROM (SELECT *, ln(total / exposure) AS l FROM rates)),
+        d AS (SELECT 'delta' AS method, f, 1 / x AS o FROM v UNION ALL SELECT 'lognormal', f, ln(1 + 1 / x) FROM v
+          UNION ALL SELECT 'trigamma', f, (SELECT sum(1 / pow(x + i, 2)) FROM generate_series(0, 19) AS t(i))
+            + 1 / (x + 20) + 0.5 / pow(x + 20, 2) + 1 / pow(x + 20, 3) / 6 - 1 / pow(x + 20, 5) / 30 + 1 / pow(x + 20, 7) / 42 FROM v)
+        SELECT method, round(f / (f + o), 6) AS r2_marginal, round(f / (f + o), 6) AS r2_conditional FROM d""",
     "vif": _with("cov") + """SELECT unnest(['canopy_openness', 'pH']) AS term,
         round(1 / (1 - pow(corr(canopy_openness, "pH"), 2)), 6) AS vif FROM cov WHERE canopy_openness IS NOT NULL""",
     "path_coefs": _with("cov") + """, p AS (SELECT 'canopy_openness' AS response, 'total_ba' AS predictor, canopy_openness AS y,

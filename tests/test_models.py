@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from quadrat import catalog
 from quadrat.models import association, contrasts, diagnostics, figures, glm, paths
-from quadrat.models.glm import coef_table, fit_glm, fit_table, score, variance_table
+from quadrat.models.glm import coef_table, fit_glm, fit_sums, fit_table, score, variance_table
 from quadrat.models import glmm
-from quadrat.models.glmm import Batch, fit_glmm, fit_many
+from quadrat.models.glmm import Batch, Fit, fit_glmm, fit_many
 from quadrat.models.spec import INTERCEPT, ModelSpec, complete, crossed, design, with_levels
 from quadrat.plans.registry import PATH_MODELS, QUESTION_1, QUESTION_2, fit_registry
 
@@ -322,3 +322,50 @@ def test_least_squares_of_several_models(make):
             assert m.se[-1] == pytest.approx(math.sqrt(rss / m.n * np.linalg.inv(a.T @ a)[-1, -1]), rel=1e-6)
     with pytest.raises(ValueError, match="complete rows"):
         glm.fit_least_squares(df.limit(1), specs[2:])
+
+
+def _log_p(family, mu, k, disp):
+    """Log-probability of a count, from gamma functions."""
+    if family == "poisson":
+        return k * math.log(mu) - mu - math.lgamma(k + 1)
+    size = disp if family == "nb2" else mu / disp
+    return math.lgamma(k + size) - math.lgamma(size) - math.lgamma(k + 1) + size * math.log(size / (size + mu)) + k * math.log(mu / (size + mu))
+
+
+@pytest.mark.parametrize("family, disp, upto", [("poisson", None, None), ("nb2", 1.7, None), ("nb1", 0.6, None), ("nb2", 1.7, 5), ("poisson", None, 0)])
+def test_expected_counts_over_blocks(make, monkeypatch, family, disp, upto):
+    """Blocks of 4 counts: the range ends inside a block, at a block's end, and at 0."""
+    monkeypatch.setattr(diagnostics, "COUNT_BLOCK", 4)
+    rows = [(y, x) for y, x in [(0, 0.1), (3, 0.4), (11, 1.2), (3, 1.2), (None, 0.3), (0, 0.4)]]
+    df = make(rows, "y int, x double")
+    spec = ModelSpec("y", ("x",), None, (), family)
+    m = Fit(spec, ["(Intercept)", "x"], np.array([0.3, 1.1]), np.eye(2), 0.0, 5, (), disp)
+    got = {r["count"]: r for r in diagnostics.count_frequencies(df, m, upto).collect()}
+    top = 11 if upto is None else upto
+    assert sorted(got) == list(range(top + 2)) and [k for k, r in got.items() if r["above"]] == [top + 1]
+    full = [(y, math.exp(0.3 + 1.1 * x)) for y, x in rows if y is not None]
+    for k in range(top + 1):
+        assert got[k]["expected"] == pytest.approx(sum(math.exp(_log_p(family, mu, k, disp)) for _, mu in full), rel=1e-9)
+        assert got[k]["observed"] == sum(y == k for y, _ in full)
+    assert sum(r["observed"] for r in got.values()) == 5 and sum(r["expected"] for r in got.values()) == pytest.approx(5)
+
+
+def test_models_ranked_from_one_scan(spark, make):
+    """A mixed and a plain model with gaps in different columns: each is judged on its own complete rows."""
+    rows = [("a", 1, 0.5), ("a", 4, None), ("b", 2, 0.1), (None, 7, 0.9), ("b", 0, 0.2)]
+    df = make(rows, "g string, y int, x double")
+    effects = make([("a", 0.4), ("b", -0.2)], "g string, b1 double")
+    plain = Fit(ModelSpec("y", ("x",), None, (), "poisson"), ["(Intercept)", "x"], np.array([0.2, 0.7]), np.eye(2), -5.0, 4, (), None)
+    mixed = Fit(ModelSpec("y", ("x",), None, ("g",), "poisson"), ["(Intercept)", "x"], np.array([0.1, 0.6]), np.eye(2), -4.0, 3, (0.3,), effects=effects)
+    got = fit_sums(df, [plain, mixed])
+    random = {"a": 0.4, "b": -0.2}
+    for found, (b0, b1), kept, extra in [
+        (got[0], (0.2, 0.7), [r for r in rows if r[2] is not None], {}),
+        (got[1], (0.1, 0.6), [r for r in rows if None not in r], random),
+    ]:
+        fixed = [b0 + b1 * x for _, _, x in kept]
+        resid = [y - math.exp(f + extra.get(g, 0.0)) for (g, y, _), f in zip(kept, fixed)]
+        assert found["fixed_var"] == pytest.approx(np.var(fixed)) and found["mean"] == pytest.approx(np.mean([y for _, y, _ in kept]))
+        assert found["rmse"] == pytest.approx(math.sqrt(np.mean(np.square(resid))))
+    table = diagnostics.compare_models(df, {"plain": plain, "mixed": mixed}).collect()
+    assert {r["model"]: r["rmse"] for r in table} == pytest.approx({"plain": got[0]["rmse"], "mixed": got[1]["rmse"]})
