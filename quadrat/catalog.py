@@ -672,7 +672,7 @@ def model_compare(spark, sf):
         "treatment": fit(rows, _poisson(("treatment",))), "period": fit(rows, _poisson(("period",))),
         "both": fit(rows, _poisson(("treatment", "period"))), "crossed": fit(rows, _poisson(crossed("treatment", "period"))),
     }
-    return diagnostics.compare_models(rows, fits)
+    return rounded(diagnostics.compare_models(rows, fits), 4)
 
 
 @query

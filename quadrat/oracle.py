@@ -429,6 +429,28 @@ ORACLE: dict[str, str] = {
           LEFT JOIN (SELECT oak_count, count(*) AS o FROM base GROUP BY 1) ON oak_count = k)
         SELECT count, FALSE AS above, observed, round(e, 5) AS expected FROM low
         UNION ALL SELECT (SELECT m + 1 FROM top), TRUE, 0, round((SELECT count(*) FROM base) - sum(e), 5) FROM low""",
+    "model_compare": _with("rates").replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (
+          SELECT max(exposure) FILTER (WHERE treatment = 'control' AND period = 'early') AS ece, max(exposure) FILTER (WHERE treatment = 'control' AND period = 'late') AS ecl,
+            max(exposure) FILTER (WHERE treatment = 'thinned' AND period = 'early') AS ete, max(exposure) FILTER (WHERE treatment = 'thinned' AND period = 'late') AS etl,
+            sum(total) FILTER (WHERE treatment = 'control') AS nc, sum(total) FILTER (WHERE treatment = 'thinned') AS nt,
+            sum(total) FILTER (WHERE period = 'early') AS ne, sum(total) FILTER (WHERE period = 'late') AS nl FROM rates),
+        fit AS (SELECT 0 AS i, 1.0::DOUBLE AS c, 1.0::DOUBLE AS t, 1.0::DOUBLE AS e, 1.0::DOUBLE AS l
+          UNION ALL SELECT i + 1, c1, t1, ne / (c1 * ece + t1 * ete), nl / (c1 * ecl + t1 * etl) FROM (
+            SELECT i, nc / (e * ece + l * ecl) AS c1, nt / (e * ete + l * etl) AS t1, k.* FROM fit, c AS k WHERE i < 300)),
+        cell AS (SELECT treatment, period, sum(total) OVER t / sum(exposure) OVER t AS "treatment_", sum(total) OVER p / sum(exposure) OVER p AS "period_", total / exposure AS crossed_,
+            CASE treatment WHEN 'control' THEN f.c ELSE f.t END * CASE period WHEN 'early' THEN f.e ELSE f.l END AS both_
+          FROM rates, (SELECT * FROM fit WHERE i = 300) AS f WINDOW t AS (PARTITION BY treatment), p AS (PARTITION BY period)),
+        long AS (SELECT treatment, period, unnest(['treatment', 'period', 'both', 'crossed']) AS model, unnest([2, 2, 3, 4]) AS k,
+            unnest([treatment_, period_, both_, crossed_]) AS rate FROM cell),
+        s AS (SELECT model, any_value(k) AS k, count(*) AS n, sum(oak_count * ln(rate * area_m2) - rate * area_m2 - """ + LGAMMA_FACTORIAL + """) AS ll,
+            var_pop(ln(rate)) AS v, ln(1 + 1 / avg(oak_count)) AS o, sqrt(avg(pow(oak_count - rate * area_m2, 2))) AS rmse
+          FROM base JOIN long USING (treatment, period) GROUP BY model),
+        r AS (SELECT *, 2 * k - 2 * ll AS aic, 2 * k - 2 * ll + 2.0 * k * (k + 1) / (n - k - 1) AS aicc, k * ln(n) - 2 * ll AS bic, v / (v + o) AS r2 FROM s),
+        w AS (SELECT *, exp((min(aic) OVER () - aic) / 2) AS a1, exp((min(aicc) OVER () - aicc) / 2) AS a2, exp((min(bic) OVER () - bic) / 2) AS a3 FROM r),
+        x AS (SELECT *, a1 / sum(a1) OVER () AS w1, a2 / sum(a2) OVER () AS w2, a3 / sum(a3) OVER () AS w3 FROM w)
+        SELECT model, CAST(k AS INTEGER) AS k, round(aic, 4) AS aic, round(aicc, 4) AS aicc, round(bic, 4) AS bic, round(w1, 4) AS aic_wt, round(w2, 4) AS aicc_wt, round(w3, 4) AS bic_wt,
+          round(r2, 4) AS r2_marginal, round(r2, 4) AS r2_conditional, round(rmse, 4) AS rmse,
+          round((""" + " + ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())" for c in ("w1", "w2", "w3", "(-rmse)", "r2", "r2")) + """) / 6, 4) AS score FROM x""",
     "r2_methods": _with("rates") + """, v AS (SELECT sum(n * l * l) / sum(n) - pow(sum(n * l) / sum(n), 2) AS f, sum(total) / sum(exposure) AS x
           FROM (SELECT *, ln(total / exposure) AS l FROM rates)),
         d AS (SELECT 'delta' AS method, f, 1 / x AS o FROM v UNION ALL SELECT 'lognormal', f, ln(1 + 1 / x) FROM v
