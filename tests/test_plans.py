@@ -178,3 +178,22 @@ def test_sorted_sink(spark, tmp_path):
     assert found == sorted(found) and len(found) == 5000 and len(files) > 1
     assert max(map(len, files)) < 3000  # the key with two thirds of the rows is in several files
     assert load_tidy(spark, path).where("site = 'k3' AND year = 2").count() == sum(r[:2] == ("k3", 2) for r in rows)
+
+
+def test_modelling_bases_share_their_counts(make):
+    place = ("S", "P", "thinned")
+    rows = [
+        (*place, 2003, "T1", "1", 5.0, OAK, False, 3, 10.0, 4.0, 2.0, 1.0, "core"), (*place, 2003, "T1", "1", 5.0, OAK, True, 2, 10.0, 4.0, 2.0, 1.0, "core"),
+        (*place, 2003, "T1", "1", 5.0, OAK, False, 3, 10.0, 4.0, 6.0, 3.0, "extended"), (*place, 2025, "T1", "2", 5.0, OAK, False, 4, None, 5.0, 2.0, 1.0, "core"),
+    ]
+    tidy = make(rows, "site string, plot string, treatment string, year int, transect string, subplot string, area_m2 double, species string, "
+                      "shoot boolean, density long, canopy_openness double, pH double, total_ba double, quercus_sp_ba double, area_type string")
+    kept, area = [], F.lit(1.0)
+    out = bases.modelling_bases(tidy, early=[2003], area=area, keep=lambda df: kept.append(df) or df)
+    assert len(kept) == 3  # the core counts, the extended ones, the periods: the tidy table is read for the first two
+    for name in ("oaks_all", "oaks_noshoots", "oaks_all_ext", "oaks_noshoots_ext"):
+        assert rows_of(out[name].drop("period", "year_c")) == rows_of(bases.analysis_base(tidy, name, early=[2003], area=area))
+    for name in ("oaks_period", "oaks_0305", "oaks_2025", "oaks_sem"):
+        assert rows_of(out[name]) == rows_of(bases.analysis_base(tidy, name, early=[2003], area=area))
+    assert rows_of(out["oaks_all"], "subplot", "oak_count") == [("1", 5), ("2", 4)]
+    assert rows_of(out["oaks_noshoots_ext"], "subplot", "oak_count", "total_ba") == [("1", 3, 4.0), ("2", 4, 2.0)]
