@@ -1,6 +1,8 @@
 """Closed forms for the models without random intercepts, a dense evaluation for those with them."""
 
+import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -123,6 +125,41 @@ def _dense(batch, theta, family, number=0):
     return (n * loglik(eta)).sum() - 0.5 * (b * b / sd**2).sum() - np.log(sd).sum() - 0.5 * np.linalg.slogdet(h)[1]
 
 
+def _hill(value):
+    """A batch of one model without rows, whose log-likelihood is ``value(theta, allowed step of the intercepts)``."""
+    batch = Batch.__new__(Batch)
+    batch.models = [glmm.Model(0, ModelSpec("y", ("z",), groups=("site",), family="poisson"))]
+    batch.models[0].standardise({"n": 600_000, "m1": 0.0, "v1": 1.0, "my": 1.0, "vy": 2.0, "exposure": 600_000, "off": 0.0})
+    info = np.diag([6e5, 6e5, 10.0])
+    top = np.array([0.1, 0.2, 0.9])
+    batch.evaluate = lambda asked, tol: {
+        k: [glmm.Point(t, value(t, tol[k]) - 0.5 * (t - top) @ info @ (t - top), info @ (top - t), 1.5 * info, None) for t in thetas]
+        for k, thetas in asked.items()
+    }
+    return batch, top
+
+
+def test_fit_ends_though_many_leaves_share_a_small_error_of_the_intercepts(spark):
+    """The log determinant may be off by half the last step per leaf; 60,000 leaves must not hide what a step gains."""
+    sign = itertools.chain([1.0] * 3, itertools.repeat(-1.0))  # too high at first, too low near the top
+    batch, top = _hill(lambda theta, step: -6e5 + next(sign) * 0.5 * 60_000 * step)
+    point, converged, _, cov, full = batch.run("hessian", 60, 1e-5)[0]
+    assert converged is True and full
+    assert point.theta == pytest.approx(top, abs=2e-3)
+    assert np.diag(cov) == pytest.approx([1 / 6e5] * 2, rel=1e-6)
+
+
+def test_fit_without_a_way_up_is_returned_as_not_converged(spark):
+    """Gradient and value contradict each other: a row says so, in a type that a table takes."""
+    tries = itertools.count()
+    batch, _ = _hill(lambda theta, step: -1e9 * next(tries))
+    point, converged, iterations, cov, full = batch.run("information", 60, 1e-5)[0]
+    assert converged is False
+    fit = Fit(batch.models[0].spec, batch.models[0].terms, point.theta[:2], cov, point.value, 600_000, (0.4,), None, converged, iterations)
+    assert [r["converged"] for r in coef_table(spark, {"m": fit}).collect()] == [False, False]
+    assert [r["converged"] for r in variance_table(spark, {"m": replace(fit, at_bound=(False,))}).collect()] == [False]
+
+
 @pytest.mark.parametrize("family", ["poisson", "nb2", "nb1", "gaussian"])
 def test_objective_and_gradient_match_dense(nested, family):
     """Two models of one family in one batch, of other levels and terms, on two bases."""
