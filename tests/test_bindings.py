@@ -37,3 +37,11 @@ def test_filled_counts_under_the_key_and_takes_the_place_last(spark, make, tmp_p
     plan = b.filled(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if re.search(r"\bWindow \[", line)]
     assert windows and not any("subplot#" in line for line in windows)
+
+
+def test_items_are_dealt_before_they_are_counted(spark, make, tmp_path):
+    """A count in the scan would hold nearly all rows of a file split; an order's items are few."""
+    plan = b._found(spark, _tables(make, tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    kinds = [line.lstrip(" :+-") for line in plan if not re.search(r"\bProject \[", line)]
+    at = next(k for k, line in enumerate(kinds) if line.startswith("Aggregate [l_orderkey"))
+    assert kinds[at + 1].startswith("RepartitionByExpression [l_orderkey")
