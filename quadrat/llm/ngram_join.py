@@ -7,8 +7,10 @@ A document is the set of its distinct n-word shingles (64-bit hashes; two shingl
    order of all shingles: rare ones first, so passages that many documents share come last.
 2. A second pass keeps each document's prefix, the first ``n - ceil(percent * n / 100) + 1`` shingles in that order. Linked
    documents share a prefix shingle. Equal word sequences are one class; classes of equal size and prefix are one group.
-3. Groups meet by prefix shingle; pairs are filtered by size and by the positions of the shared shingle.
-4. Surviving pairs are expanded to member classes and verified on their full texts.
+3. Groups meet by prefix shingle; of the shingles that the same groups share one is enough. Pairs are filtered by size and by
+   the positions of the shared shingle.
+4. Surviving pairs are expanded to member classes and verified on their full texts, which are dealt by ``doc_id`` once, for
+   all rounds of verification.
 
 Only components are wanted, so pairs that can't change them are left out: first the smallest group of each list meets
 the others and the smallest member of each group its members; then, after linking, list entries still in different
@@ -37,6 +39,8 @@ CHUNK = 1 << 14
 BUCKETS = 256  # of a sketch
 BLOCK = 512  # list entries compared with the entries outside the list's first component in one group
 NEAREST = 4  # pairs of an entry and a component that are verified first
+PAIRS = 1 << 14  # sketches compared at once
+STAYS, BOTH, PROBES = 0, 1, 2  # roles of an entry in a block: compared with, both, compared with the others
 
 
 def _sets(texts, n: int):
@@ -89,9 +93,12 @@ def slot_counts(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc_id, size, s1, s2 (hash of the word sequence), p1, p2 (hash of the prefix), prefix; docs: doc_id, text without nulls."""
+    """doc_id, size, s1, s2 (hash of the word sequence), p1, p2 (hash of the prefix), prefix, sketch; docs: doc_id, text without nulls.
+
+    sketch: how many of a set's shingles fall in each bucket, 255 at most.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, size int, s1 long, s2 long, p1 long, p2 long, prefix array<long>"
+    schema = "doc_id long, size int, s1 long, s2 long, p1 long, p2 long, prefix array<long>, sketch binary"
 
     def run(batches):
         import pyarrow as pa
@@ -101,7 +108,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
             for low, high, words, bounds, hashes, at in _sets(batch.column(1), n):
                 sizes = np.diff(at)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((hashes, shared.value[(hashes & mask).astype(np.int64)], owner))
+                # by owner, count and hash: within an owner the hashes are in order
+                seen = np.minimum(shared.value[(hashes & mask).astype(np.int64)], np.uint64((1 << 40) - 1)).astype(np.int64)
+                order = np.argsort((owner << 40) | seen, kind="stable")
                 kept = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
                 rank = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
                 chosen = hashes[order][rank < np.repeat(kept, sizes)]
@@ -111,7 +120,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chosen.view(np.int64)))
                 longs = [pa.array(x.view(np.int64)) for x in (s1, s2, p1, p2)]
                 ids = batch.column(0).slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), *longs, prefix], ["doc_id", "size", "s1", "s2", "p1", "p2", "prefix"])
+                spread = np.bincount(owner * BUCKETS + (hashes >> np.uint64(56)).astype(np.int64), minlength=len(sizes) * BUCKETS)
+                spread = np.minimum(spread, 255).astype(np.uint8)
+                sketch = pa.Array.from_buffers(pa.binary(BUCKETS), len(sizes), [None, pa.py_buffer(spread)]).cast(pa.binary())
+                columns = [ids, pa.array(sizes, pa.int32()), *longs, prefix, sketch]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "s1", "s2", "p1", "p2", "prefix", "sketch"])
 
     return docs.mapInArrow(run, schema)
 
@@ -124,8 +137,12 @@ def _fits(percent: int, p: str, q: str):
     return (F.least(size, other) * 100 >= F.greatest(size, other) * percent) & (most >= needed)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs a, b whose texts link; texts: doc_id, text of every document in a pair."""
+def verified(pairs: DataFrame, texts: DataFrame, kept: Kept, n: int, percent: int) -> DataFrame:
+    """The pairs a, b whose texts link; texts: doc_id, text of every document in a pair, dealt by doc_id.
+
+    One document may be the ``a`` of many pairs: the texts of this side are written, so that both sides of the second join are
+    plain exchanges and such a document can be split.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -143,8 +160,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 good[k] = common > 0 and 100 * common >= percent * union
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    side = lambda t, c: t.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+    first = kept.keep(texts.join(pairs.select(F.col("a").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
+    joined = pairs.join(side(texts, "b"), "b").join(side(first, "a"), "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -153,6 +171,14 @@ def ngram_links(docs: DataFrame, kept: Kept, n: int, percent: int) -> tuple[Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = slot_counts(docs.select("text"), n)
     found = kept.keep(prefixes(docs, counts, n, percent))
+    work = Kept(docs.sparkSession, "ngram-work")
+    joined = kept.keep(components(_links(docs, found, work, n, percent), work))
+    work.clear()
+    return found.select("doc_id", F.col("size").alias("n_shingles")), joined
+
+
+def _links(docs: DataFrame, found: DataFrame, kept: Kept, n: int, percent: int) -> DataFrame:
+    """Edges a, b between linked documents, enough for their components."""
     named = found.where("size > 0 and doc_id is not null")
 
     classes = kept.keep(named.groupBy("s1", "s2", "size", "p1", "p2").agg(F.min("doc_id").alias("rep")))
@@ -164,24 +190,24 @@ def ngram_links(docs: DataFrame, kept: Kept, n: int, percent: int) -> tuple[Data
     entries = heads.select(F.col("doc_id").alias("gid"), "size", F.posexplode("prefix").alias("pos", "token"))
     leads = entries.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("last"))
     leads = kept.keep(leads.where("lead <> last").select("token", "lead"))
-    lists = kept.keep(entries.join(leads.hint("merge"), "token").distinct())
+    lists = _distinct_lists(kept.keep(entries.join(leads.hint("merge"), "token").distinct()), kept)
 
     several = groups.where("members > 1").select("gid")
     members = classes.join(groups.hint("merge"), ["size", "p1", "p2"]).select("gid", "rep")
     members = kept.keep(members.join(lists.select("gid").union(several).distinct().hint("merge"), "gid", "left_semi"))
     if is_empty(members):
-        return found.select("doc_id", F.col("size").alias("n_shingles")), components(links, kept)
+        return links
     active = members.select(F.col("rep").alias("doc_id")).distinct()
     near = only_in_bitmap(docs.where("doc_id is not null"), "doc_id", id_bitmap(active, "doc_id"))
-    texts = near.join(active.hint("merge"), "doc_id", "left_semi")
-    texts = kept.keep(texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeated(found) else texts)
+    texts = near.repartition(shuffle_width(docs.sparkSession), "doc_id")
+    texts = kept.keep_dealt(texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeated(found) else texts, "doc_id")
 
     first = lists.where("gid = lead").alias("p")
     stars = lists.where("gid <> lead").alias("q").join(first.hint("merge"), F.col("p.token") == F.col("q.token")).where(_fits(percent, "p", "q"))
     stars = stars.select(F.col("p.gid").alias("a"), F.col("q.gid").alias("b"))
     within = members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     pairs = kept.keep(stars.union(within).distinct())
-    links = kept.keep(links.union(verified(pairs, texts, n, percent)))
+    links = kept.keep(links.union(verified(pairs, texts, kept, n, percent)))
 
     # what is still apart: list entries by class, with the component of each class
     rows = lists.join(members.hint("merge"), "gid").select("token", F.col("rep").alias("id"), "size", "pos")
@@ -195,12 +221,25 @@ def ngram_links(docs: DataFrame, kept: Kept, n: int, percent: int) -> tuple[Data
             break
         if marks is None:
             ids = rows.select(F.col("id").alias("doc_id")).distinct()
-            marks = kept.keep(_sketches(texts.join(ids.hint("merge"), "doc_id", "left_semi"), n))
+            marks = found.select("doc_id", "sketch").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            marks = kept.keep(marks)
         near_pairs = _near(rows, marks, percent, most, kept).join(pairs.hint("merge"), ["a", "b"], "left_anti")
         near_pairs = kept.keep(near_pairs)
         pairs = kept.keep(pairs.union(near_pairs))
-        links = kept.keep(links.union(verified(near_pairs, texts, n, percent)))
-    return found.select("doc_id", F.col("size").alias("n_shingles")), components(links, kept)
+        links = kept.keep(links.union(verified(near_pairs, texts, kept, n, percent)))
+    return links
+
+
+def _distinct_lists(lists: DataFrame, kept: Kept) -> DataFrame:
+    """Of the lists with the same groups one: documents that share a passage share a list for each of its shingles.
+
+    Any shared shingle will do: its list has the same pairs, and its positions bound what they can share as well. Lists are
+    told apart by 128 bits of hashes of their groups and by their length.
+    """
+    marks = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    named = lists.groupBy("token").agg(F.count("*").alias("entries"), *marks)
+    chosen = named.groupBy("entries", "mark0", "mark1").agg(F.min("token").alias("token")).select("token")
+    return kept.keep(lists.join(chosen.hint("merge"), "token"))
 
 
 def _repeated(found: DataFrame) -> bool:
@@ -218,48 +257,49 @@ def _apart(rows: DataFrame, joined: DataFrame, kept: Kept) -> DataFrame:
     return named.join(bounds.hint("merge"), "token")
 
 
-def _sketches(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, sketch: how many of a set's shingles fall in each bucket, 255 at most."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for low, high, _, _, hashes, at in _sets(batch.column(1), n):
-                owner = np.repeat(np.arange(high - low), np.diff(at))
-                counts = np.bincount(owner * BUCKETS + (hashes >> np.uint64(56)).astype(np.int64), minlength=(high - low) * BUCKETS)
-                rows = np.minimum(counts, 255).astype(np.uint8).reshape(high - low, BUCKETS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "sketch"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
-
-
 def _near(rows: DataFrame, marks: DataFrame, percent: int, most: int | None, kept: Kept) -> DataFrame:
     """Pairs a, b of list entries in different components whose sketches allow a link; ``most``: the nearest of each entry and component.
 
     Of such a pair at least one entry is outside the list's first component. Entries are dealt into blocks, and those outside go to
-    all blocks of their list.
+    all blocks of their list; in a list of one block they are there already.
     """
     blocks = kept.keep(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     known = rows.join(marks.select(F.col("doc_id").alias("id"), "sketch").hint("merge"), "id").join(blocks.hint("merge"), "token")
     known = kept.keep(known)
-    own = known.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("probe", F.lit(False))
-    outside = known.where("component <> low").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-    dealt = own.unionByName(outside).select("token", "block", "probe", "id", "size", "component", "sketch")
-    dealt = dealt.repartition(shuffle_width(rows.sparkSession), "token", "block").sortWithinPartitions("token", "block")
-
-    def compare(part: dict):
-        to, of = np.flatnonzero(~part["probe"]), np.flatnonzero(part["probe"])
-        for k in of:
-            size, sizes = part["size"][k], part["size"][to]
-            room = ((100 - percent) * (size + sizes)) // (100 + percent)
-            away = np.abs(part["sketch"][to].astype(np.int16) - part["sketch"][k].astype(np.int16)).sum(axis=1)
-            hit = np.flatnonzero((away <= room) & (np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * percent) & (part["component"][to] != part["component"][k]))
-            if most is not None and len(hit) > most:
-                hit = hit[np.lexsort((away[hit], part["component"][to][hit]))]
-                group = part["component"][to][hit]
-                hit = hit[np.arange(len(hit)) - np.searchsorted(group, group) < most]
-            yield part["id"][k], part["id"][to[hit]]
+    apart, several = F.col("component") != F.col("low"), F.col("blocks") > 1
+    role = F.when(~apart | several, F.lit(STAYS)).otherwise(F.lit(BOTH))
+    own = known.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("role", role)
+    outside = known.where(apart & several).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.unionByName(outside.withColumn("role", F.lit(PROBES))).select("token", "block", "role", "id", "size", "component", "sketch")
+    dealt = dealt.repartition(shuffle_width(rows.sparkSession), "token", "block").sortWithinPartitions("token", "block", "role")
+
+    def compare(part: dict, edges: np.ndarray):
+        """Pairs of each probe and the entries of its block; the blocks lie between the edges, in each the entries first."""
+        stays = np.add.reduceat(part["role"] != PROBES, edges[:-1])
+        block = np.repeat(np.arange(len(stays)), np.diff(edges))
+        probes = np.flatnonzero(part["role"] != STAYS)
+        ends = np.cumsum(stays[block[probes]])
+        sketch, at = part["sketch"].astype(np.int16), 0
+        while at < len(probes):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            many = stays[block[probes[at:to]]]
+            one = np.repeat(probes[at:to], many)
+            two = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + edges[block[one]]
+            size, other = part["size"][one], part["size"][two]
+            hit = (np.minimum(size, other) * 100 >= np.maximum(size, other) * percent) & (part["component"][one] != part["component"][two])
+            one, two, room = one[hit], two[hit], ((100 - percent) * (size + other) // (100 + percent))[hit]
+            away = np.abs(sketch[one] - sketch[two]).sum(axis=1)
+            hit = away <= room
+            one, two, away = one[hit], two[hit], away[hit]
+            if most is not None and len(one):
+                component = part["component"][two]
+                order = np.lexsort((away, component, one))
+                one, two, component = one[order], two[order], component[order]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(one) != 0) | (np.diff(component) != 0)]))
+                rank = np.arange(len(one)) - np.repeat(first, np.diff(np.concatenate([first, [len(one)]])))
+                one, two = one[rank < most], two[rank < most]
+            yield part["id"][one], part["id"][two]
+            at = to
 
     def run(batches):
         import pyarrow as pa
@@ -267,18 +307,18 @@ def _near(rows: DataFrame, marks: DataFrame, percent: int, most: int | None, kep
         held = None
         for batch in _with_end(batches):
             if batch is not None:
-                now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("token", "block", "probe", "id", "size", "component")}
+                now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("token", "block", "role", "id", "size", "component")}
                 now["size"] = now["size"].astype(np.int64)
-                now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, BUCKETS)
+                now["sketch"] = np.array(sh.text_buffer(batch.column("sketch"))[0]).reshape(batch.num_rows, BUCKETS)
                 held = now if held is None else {name: np.concatenate([held[name], now[name]]) for name in now}
             if held is None or not len(held["token"]):
                 continue
             edges = np.flatnonzero((np.diff(held["token"]) != 0) | (np.diff(held["block"]) != 0)) + 1
             edges = np.concatenate([[0], edges, [len(held["token"])] if batch is None else []]).astype(np.int64)
             one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                for who, whom in compare({name: x[low:high] for name, x in held.items()}):
-                    one.append(np.full(len(whom), who))
+            if len(edges) > 1:
+                for who, whom in compare({name: x[:edges[-1]] for name, x in held.items()}, edges):
+                    one.append(who)
                     two.append(whom)
             held = {name: x[edges[-1]:] for name, x in held.items()}
             x, y = np.concatenate(one), np.concatenate(two)

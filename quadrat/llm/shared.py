@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -41,6 +42,14 @@ class Kept(Scratch):
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """The same of rows that are dealt by ``key`` to as many partitions as a shuffle has: joins on it leave them where they lie."""
+        name = f"scratch_{uuid.uuid4().hex}"
+        out = df.write.bucketBy(shuffle_width(self.spark), key).sortBy(key).option("compression", "zstd")
+        out.option("path", f"{self.path}/{next(self.count)}").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -107,7 +107,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.nd
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, ordered by document and hash, and their offsets by document."""
     hashes, docs = shingle_hashes(words, bounds, n)
-    order = np.lexsort((hashes, docs))
+    order = np.argsort(hashes)
+    order = order[np.argsort(docs[order].astype(np.uint16) if len(bounds) <= 1 << 16 else docs[order], kind="stable")]
     hashes, docs = hashes[order], docs[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])

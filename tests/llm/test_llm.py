@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from quadrat.llm.shared import Kept
 from quadrat.llm import byte_bpe, embedding_dedup, fill_in_middle, fingerprints, language_id, mixing, ngram_join, sentencepiece_sampling, source_audit, substring_dedup
 from quadrat.llm import shingles, token_counts, token_files, url_filters
 from quadrat.llm import queries
@@ -476,6 +477,63 @@ def test_ngram_join_texts_of_one_id(spark):
     assert sorted(got, key=repr) == sorted([(k, None if k is None else k if k == 12 else 1) for k, _ in rows], key=repr)
 
 
+def test_ngram_lists_that_say_the_same(spark):
+    """Documents that share a passage share a list for each of its shingles: one is enough, and no other list goes."""
+    lists = {10: [1, 2], 11: [1, 2], 12: [1, 2, 3], 13: [2, 3], 14: [1, 2, 3], 15: [3, 4]}
+    rows = [(token, gid, 50, token + gid) for token, gids in lists.items() for gid in gids]
+    kept = Kept(spark, "test")
+    left = ngram_join._distinct_lists(spark.createDataFrame(rows, "token long, gid long, size int, pos int"), kept)
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if r[0] in (10, 12, 13, 15))
+    kept.clear()
+
+
+def test_ngram_texts_are_dealt_once(spark, monkeypatch, tmp_path):
+    """Each round of verification meets the texts where they lie, and only the result's tables stay."""
+    joins = []
+    verified = ngram_join.verified
+
+    def watched(pairs, texts, kept, n, percent):
+        plan = texts.join(pairs.select(pairs["b"].alias("doc_id")).hint("merge"), "doc_id")._jdf.queryExecution().executedPlan().toString()
+        joins.append(plan.count("Exchange hashpartitioning"))
+        return verified(pairs, texts, kept, n, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", watched)
+    monkeypatch.setattr("quadrat.session.shared_folder", lambda _: str(tmp_path))
+    texts = [" ".join(f"w{(k * 7) % 200 + i}" for i in range(60 + k % 3)) for k in range(80)]
+    ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90)
+    assert joins and set(joins) == {1}
+    assert not [x for x in tmp_path.glob("ngram-work-*")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
+
+
+def test_ngram_near_pairs_of_all_roles(spark, monkeypatch):
+    """Pairs of list entries whose sketches allow a link: those of lists of one block and of several, as a plain loop finds them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS", 8)
+    rng = np.random.default_rng(5)
+    marks = {k: rng.integers(0, 2, ngram_join.BUCKETS).astype(np.uint8) for k in range(30)}
+    for k in range(10, 30):
+        marks[k] = marks[k % 5].copy()
+        marks[k][rng.integers(0, ngram_join.BUCKETS, 9)] += 1
+    sizes = {k: int(marks[k].sum()) for k in marks}
+    lists = {token: sorted(rng.choice(30, 2 + token % 12, replace=False).tolist()) for token in range(24)}
+    rows = [(t, i, sizes[i], 0, i % 7, min(j % 7 for j in ids)) for t, ids in lists.items() for i in ids]
+    df = spark.createDataFrame(rows, "token long, id long, size int, pos int, component long, low long")
+    known = spark.createDataFrame([(k, bytes(m)) for k, m in marks.items()], "doc_id long, sketch binary")
+    kept = Kept(spark, "test")
+    want = set()
+    for ids in lists.values():
+        for a, b in ((a, b) for a in ids for b in ids if a < b and a % 7 != b % 7):
+            away = np.abs(marks[a].astype(int) - marks[b].astype(int)).sum()
+            near = away <= 10 * (sizes[a] + sizes[b]) // 190
+            if near and 100 * min(sizes[a], sizes[b]) >= 90 * max(sizes[a], sizes[b]):
+                want.add((a, b))
+    assert want and {tuple(r) for r in ngram_join._near(df, known, 90, None, kept).collect()} == want
+    some = {tuple(r) for r in ngram_join._near(df, known, 90, 1, kept).collect()}
+    assert some and some <= want
+    kept.clear()
+
+
 def test_one_per_group(spark, repeated):
     rows = ngram_join.one_per_group(repeated).collect()
     ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
