@@ -45,3 +45,13 @@ def test_items_are_dealt_before_they_are_counted(spark, make, tmp_path):
     kinds = [line.lstrip(" :+-") for line in plan if not re.search(r"\bProject \[", line)]
     at = next(k for k, line in enumerate(kinds) if line.startswith("Aggregate [l_orderkey"))
     assert kinds[at + 1].startswith("RepartitionByExpression [l_orderkey")
+
+
+def test_counts_and_places_are_dealt_by_rows(spark, make, tmp_path, monkeypatch):
+    """Partitions of a size in bytes would hold millions of counts: they compress well."""
+    monkeypatch.setattr(b, "TASK_ROWS", 1)
+    sf = _tables(make, tmp_path)
+    for rows in (b.filled, b.seedlings):
+        plan = rows(spark, sf).groupBy(*b.VISIT, "species", "shoot").count()._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if re.search(r"hashpartitioning\([^)]*(custkey|subplot)#", line)]
+        assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
