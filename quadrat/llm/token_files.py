@@ -34,6 +34,7 @@ LANES, EVERY = 2048, 64
 SCALE = 20  # bits of the frequency table
 LOW = 1 << 31  # smallest state between two ids
 CACHED = 600_000  # words kept in a worker
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ENDING = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # signs that the tokenizer always parts from a letter before them
 
 
@@ -59,8 +60,27 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.plain = self._letters_go_through()
         self.clear()
 
+    def _letters_go_through(self) -> bool:
+        """Whether words of lower-case ASCII letters reach the tokenizer's model as they are."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if any(token.content.isascii() and token.content.isalpha() for token in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        words = [*LETTERS, LETTERS, LETTERS[::-1]]
+        same = normal is None or all(normal.normalize_str(x) == x for x in words)
+        return same and (cut is None or all([y for y, _ in cut.pre_tokenize_str(x)] == [x] for x in words))
+
+    def _encoded(self, parts: list[str]):
+        """Ids of each part; those of ASCII letters, which are lower-case, need the tokenizer's model only."""
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        plain = [self.plain and x.isascii() and x.isalpha() for x in parts]
+        others = iter(encode([x for x, alone in zip(parts, plain, strict=True) if not alone], add_special_tokens=False))
+        tokenize = self.tokenizer.model.tokenize
+        for part, alone in zip(parts, plain, strict=True):
+            yield [x.id for x in tokenize(part)] if alone else next(others).ids
+
     def clear(self) -> None:
         self.spans = SpanIndex()
         self.parts: dict[str, int] = {}
@@ -80,9 +100,8 @@ class WordIds:
                 member(number(word, len(self.parts)))
             end(len(members))
         fresh = list(islice(reversed(self.parts), len(self.parts) - held))[::-1]
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for found in encode(fresh, add_special_tokens=False):
-            self.part_ids.extend(found.ids)
+        for found in self._encoded(fresh):
+            self.part_ids.extend(found)
             self.part_begins.append(len(self.part_ids))
         begins, which = np.frombuffer(self.part_begins, np.int64), np.array(members, np.int64)
         low, high = begins[which], begins[which + 1]

@@ -770,3 +770,40 @@ def test_registered():
     names = list(entry.queries())
     assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)) and "pipeline" in names
     assert "quadrat.llm.queries" in sys.modules
+
+
+def test_ascii_words_need_the_model_only():
+    path = token_files.default_tokenizer()
+    words = token_files.WordIds(path)
+    want = [words.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Unwontedly", "plain", "s", "don't", "élan", "x2,")]
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.seen += texts
+            return self.inner.encode_batch(texts, **kw)
+
+    words.tokenizer = Watched(words.tokenizer)
+    ids, bounds = words.of_texts(*shingles.text_buffer(["Unwontedly", "plain", "s", "don't", "élan", "x2,"]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+    assert sorted(words.tokenizer.seen) == ["don't", "x2,", "élan"]
+
+
+def test_small_pieces_give_the_same(spark, monkeypatch):
+    """Memory of a worker follows these sizes, results don't."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+
+    def found():
+        yield sorted(tuple(r) for r in byte_bpe.encode(docs).selectExpr("doc_id", "sha2(array_join(ids, ' '), 256)").collect())
+        yield sorted(tuple(r) for r in ngram_join.ngram_join(docs).collect())
+        yield sorted(tuple(r) for r in language_id.language_id(docs).select("doc_id", "lang_pred").collect())
+
+    whole = list(found())
+    for module, name in ((byte_bpe, "AT_ONCE"), (language_id, "AT_ONCE"), (ngram_join, "VERIFIED")):
+        monkeypatch.setattr(module, name, 1 if name == "VERIFIED" else 1 << 12)
+    assert list(found()) == whole
