@@ -36,7 +36,8 @@ from quadrat.llm.pieces import span_hashes, spread
 from quadrat.llm.shared import ship
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-HELD_BYTES = 64 << 20
+HELD_BYTES = 96 << 20
+AT_ONCE = 1 << 20  # bytes of texts worked on together
 ALONE = 512  # bytes from which a piece walks by itself
 END = 256
 ROOT, NONE = 0, -1
@@ -369,7 +370,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
         for batch in batches:
             data, offsets = sh.text_buffer(batch.column(1))
-            for low, high in sh.pieces(offsets, 1 << 21):
+            for low, high in sh.pieces(offsets, AT_ONCE):
                 ids, bounds = transducer(path).encode_texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], classes.value)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], ["doc_id", "ids"])
