@@ -28,6 +28,7 @@ from quadrat.llm.shared import mix64, ship
 
 SLOTS, ORDERS, PENALTY, SMOOTH = 1 << 16, (1, 2, 3, 4), 20.0, 0.5
 PER_LANGUAGE = 4000
+AT_ONCE = 1 << 18  # bytes of texts worked on together: their tables take a hundred times that
 FAR = 1e4  # below every candidate's score
 # First code points of script ranges of the Unicode standard, by script (0: no letters of a script listed)
 RANGES = [
@@ -151,7 +152,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for batch in batches:
             names = batch.column(1).to_pylist()
             data, offsets = sh.text_buffer(batch.column(0))
-            for low, high in sh.pieces(offsets):
+            for low, high in sh.pieces(offsets, AT_ONCE):
                 _, _, bounds, counts, own, edges = word_features(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                 if not len(counts):
                     continue
@@ -199,7 +200,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
             texts = batch.column(1)
             data, offsets = sh.text_buffer(texts)
             names, shares, spans = [], [], []
-            for low, high in sh.pieces(offsets):
+            for low, high in sh.pieces(offsets, AT_ONCE):
                 part = data[offsets[low]:offsets[high]]
                 starts, stops, bounds, counts, own, edges = word_features(part, offsets[low:high + 1] - offsets[low])
                 scores = word_scores(model, counts, own, edges)

@@ -40,13 +40,15 @@ BUCKETS = 256  # of a sketch
 BLOCK = 512  # list entries compared with the entries outside the list's first component in one group
 NEAREST = 4  # pairs of an entry and a component that are verified first
 PAIRS = 1 << 14  # sketches compared at once
+AT_ONCE = 1 << 18  # bytes of texts worked on together
+VERIFIED = 512  # pairs of texts verified at once
 STAYS, BOTH, PROBES = 0, 1, 2  # roles of an entry in a block: compared with, both, compared with the others
 
 
 def _sets(texts, n: int):
     """For each piece of a pyarrow string column: first row, end row, words, word bounds, set hashes, set bounds."""
     data, offsets = sh.text_buffer(texts)
-    for low, high in sh.pieces(offsets):
+    for low, high in sh.pieces(offsets, AT_ONCE):
         part = data[offsets[low]:offsets[high]]
         words, bounds = sh.word_hashes(part, offsets[low:high + 1] - offsets[low])
         yield low, high, words, bounds, *sh.shingle_sets(words, bounds, n)
@@ -147,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, kept: Kept, n: int, percent: in
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (x.slice(low, VERIFIED) for x in batches for low in range(0, x.num_rows, VERIFIED)):
             rows = batch.num_rows
             both = pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())])
             sets = []
