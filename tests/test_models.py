@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -149,6 +150,65 @@ def test_fit_ends_though_many_leaves_share_a_small_error_of_the_intercepts(spark
     assert np.diag(cov) == pytest.approx([1 / 6e5] * 2, rel=1e-6)
 
 
+def test_dispersion_that_rises_to_its_bound_gets_there_in_few_steps(spark):
+    """A response that is constant within its leaves: the slope in the log of the residual sd stays as it is up to the bound."""
+    model = glmm.Model(0, ModelSpec("w", ("z",), groups=("site",), family="gaussian"))
+    model.standardise({"n": 8000, "m1": 0.0, "v1": 1.0, "my": 50.0, "vy": 36.0, "exposure": 8000, "off": 0.0})
+    info, top = np.diag([8e3, 8e3, 10.0, 32e3]), np.array([49.0, 0.5, 5.0])
+
+    def at(theta):
+        away = (theta[:3] - top) * np.diag(info)[:3]
+        return glmm.Point(theta, -0.5 * away @ (theta[:3] - top) - 8e3 * theta[-1], np.array([*-away, -8e3]), info, None)
+
+    ascent, evaluations = model.maximise(), 0
+    asked = next(ascent)
+    with pytest.raises(StopIteration) as stop:
+        while True:
+            evaluations += len(asked)
+            asked = ascent.send([at(theta) for theta in asked])
+    point, converged, _ = stop.value.value
+    assert converged and point.theta[:3] == pytest.approx(top, abs=1e-3)
+    assert point.theta[-1] == pytest.approx(glmm.LOG_DISPERSION_BOUNDS[0] + math.log(6.0))
+    assert evaluations <= 12  # 37 with steps that stay as long as the information says
+
+
+@pytest.mark.parametrize("family", ["poisson", "nb2", "gaussian"])
+def test_levels_of_one_task_and_joined_ones_agree(nested, monkeypatch, family):
+    response, offset = ("w", None) if family == "gaussian" else ("y", "area_m2")
+    found = []
+    for few, hot in ((glmm.FEW_NODES, glmm.HOT_ROWS), (10, 7), (0, glmm.HOT_ROWS)):
+        monkeypatch.setattr(glmm, "FEW_NODES", few)
+        batch = Batch([(nested, ModelSpec(response, ("treatment", "z"), offset, ("site", "transect", "subplot"), family))], hot)
+        start = batch.models[0].start()
+        found.append((batch._top(2), batch.evaluate({0: [start, start + 0.05]}, {0: 1e-8})[0]))
+        batch.close()
+    assert [top for top, _ in found][::2] == [3, 0] and found[1][0] < 3
+    for _, points in found[1:]:
+        for one, other in zip(found[0][1], points, strict=True):
+            assert other.value == pytest.approx(one.value, abs=1e-8) and other.grad == pytest.approx(one.grad, abs=1e-6)
+
+
+def test_poisson_passes_read_sums_per_leaf_in_one_task(nested):
+    """The rows are read once a theta; few leaves go through a pass without an exchange."""
+    batch = Batch([(nested, ModelSpec("y", ("treatment", "z"), "area_m2", ("site", "transect", "subplot"), "poisson"))])
+    par = batch._parameters({0: [batch.models[0].start()]})
+    state = batch.scratch.keep(batch._leaf_sums(batch.state.join(F.broadcast(par.select("m", "t")), "m"), par, 1))
+    plan = batch._newton_step(state, par)._jdf.queryExecution().executedPlan().toString()
+    batch.close()
+    assert "Generate inline" in plan and "Exchange hashpartitioning" not in plan and "scratch_" not in plan
+
+
+def test_families_are_fitted_side_by_side(nested, monkeypatch):
+    """Each waits for the other one to begin."""
+    begun = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(glmm.Batch, "run", lambda self, *rest: begun.wait() and [] or [])
+    monkeypatch.setattr(glmm.Batch, "__init__", lambda self, jobs, hot_rows: self.__dict__.update(models=[]))
+    monkeypatch.setattr(glmm.Batch, "close", lambda self: None)
+    specs = [ModelSpec("y", ("z",), None, (), "poisson"), ModelSpec("w", ("z",), None, (), "gaussian")]
+    with pytest.raises(ValueError, match="shorter"):  # nothing is fitted here
+        fit_many([(nested, spec) for spec in specs])
+
+
 def test_fit_without_a_way_up_is_returned_as_not_converged(spark):
     """Gradient and value contradict each other: a row says so, in a type that a table takes."""
     tries = itertools.count()
